@@ -32,7 +32,7 @@ def parse_only(raw: str) -> list[str]:
 class Settings:
     query: str = ""
     location: str = ""
-    limit: int = 20
+    limit: int | None = 20  # per source; None for no limit
     sources: list[str] = field(default_factory=lambda: ["maps"])
     only: list[str] = field(default_factory=list)
     min_score: int = 0

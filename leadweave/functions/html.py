@@ -13,6 +13,8 @@ from pyspark.sql import Column, functions as F
 from leadweave.fixed_values import SPACE
 
 _GAP = "\x01"
+# Entity names and characters as the text of one map, so that plans hold one literal.
+_ENTITIES = "\x02".join(f"{n}\x03{chr(c)}" for n, c in {**name2codepoint, "apos": 39}.items())
 _TAG = r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 _COMMENT = r"<!--.*?(?:-->|\z)"
 
@@ -42,10 +44,7 @@ def _character(code: Column) -> Column:
 
 def _entity(piece: Column) -> Column:
     """Decode the text after one ``&``."""
-    names = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in [*name2codepoint, "apos"]]),
-        F.array(*[F.lit(chr(c)) for c in [*name2codepoint.values(), 39]]),
-    )
+    names = F.str_to_map(F.lit(_ENTITIES), F.lit("\x02"), F.lit("\x03"))
     decimal = F.regexp_extract(piece, r"^#([0-9]{1,8})(?![0-9])", 1)
     hexadecimal = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,7})(?![0-9a-fA-F])", 1)
     word = F.regexp_extract(piece, r"^([a-zA-Z][a-zA-Z0-9]*);", 1)

@@ -194,7 +194,7 @@ def lookup_term(location: str) -> Column:
 def own_site_hits(hits: DataFrame) -> DataFrame:
     """Per search term, the first hit that is no directory."""
     good = hits.where(~contains_any(F.col("href"), LOOKUP_SKIP_PARTS))
-    return good.groupBy("search_term").agg(F.min_by("href", F.struct("page_no", "pos")).alias("found_site"))
+    return good.groupBy("search_term").agg(F.min_by("href", F.struct("page_no", "pos", "href")).alias("found_site"))
 
 
 def with_looked_up_site(leads: DataFrame, hits: DataFrame, location: str, spread: str = "seq") -> DataFrame:
@@ -213,8 +213,8 @@ def found_addresses(places: DataFrame) -> DataFrame:
     shown = present(direct)
     return places.groupBy("search_term").agg(
         F.coalesce(
-            F.min_by(direct, F.when(shown, F.coalesce("pos", F.lit(0)))),
-            F.min_by(listed, "pos"),
+            F.min_by(direct, F.when(shown, F.struct("pos", direct))),
+            F.min_by(listed, F.struct("pos", listed)),
         ).alias("found_address")
     )
 

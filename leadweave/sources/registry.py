@@ -12,16 +12,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from leadweave.operators.enrich import with_looked_up_site
-from leadweave.operators.skew import first_per_group, skew_join
+from leadweave.operators.skew import first_per_group
 from leadweave.sources import result_pages as R
 
-_RUN_STEP = 1 << 40
+# Above any rank: page numbers below a million, times the step of a page.
+_RUN_STEP = 1 << 52
 
 
 def _of_search(pages: DataFrame, settings) -> DataFrame:
     return pages.where(F.col("search_term") == settings.search_term)
 
 
+def _limited(results: DataFrame, settings) -> DataFrame:
+    """The first results of the search; without a limit, their order serves as rank."""
+    if settings.limit is None:
+        return results.withColumnRenamed("place_order", "source_rank")
+    return first_per_group(results, ["search_term"], "place_order", settings.limit, "source_rank")
+
+
 def _columns(df: DataFrame) -> DataFrame:
     absent = [F.lit(None).cast("string").alias(c) for c in ("website", "description", "address") if c not in df.columns]
     return df.select("*", *absent).select("company_name", "website", "description", "address", "source_rank")
@@ -30,7 +38,7 @@ def _columns(df: DataFrame) -> DataFrame:
 def maps_source(tables, settings) -> DataFrame:
     """Place pages of the first place links. The limit counts links, before names are read."""
     urls = R.place_urls(_of_search(tables.feed_pages, settings))
-    urls = first_per_group(urls, ["search_term"], "place_order", settings.limit, "source_rank")
+    urls = _limited(urls, settings)
     return _columns(R.place_rows(tables.place_pages).join(urls, "url"))
 
 
@@ -38,7 +46,7 @@ def directory_source(tables, settings) -> DataFrame:
     """The first directory cards, with websites looked up by name."""
     cards = R.directory_cards(_of_search(tables.directory_pages, settings))
     cards = cards.withColumn("place_order", R.result_order("page_no", "pos")).withColumnRenamed("name", "company_name")
-    cards = first_per_group(cards, ["search_term"], "place_order", settings.limit, "source_rank")
+    cards = _limited(cards, settings)
     cards = cards.drop("search_term", "page_no", "pos").withColumn("website", F.lit(None).cast("string"))
     found = with_looked_up_site(cards, R.search_hits(tables.lookup_pages), settings.location, "source_rank")
     return _columns(found)
@@ -48,7 +56,7 @@ def search_source(tables, settings) -> DataFrame:
     """The first leads among the search hits."""
     leads = R.search_leads(_of_search(tables.search_pages, settings), settings.legacy_hosts)
     leads = leads.withColumn("place_order", R.result_order("page_no", "pos"))
-    return _columns(first_per_group(leads, ["search_term"], "place_order", settings.limit, "source_rank"))
+    return _columns(_limited(leads, settings))
 
 
 SOURCES = {"maps": maps_source, "pj": directory_source, "google": search_source}
