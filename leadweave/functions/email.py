@@ -9,7 +9,7 @@ from leadweave.fixed_values import (
     PLACEHOLDER_LOCALS, PLACEHOLDER_LOCAL_PARTS, SPACE,
 )
 from leadweave.functions.html import find_all
-from leadweave.functions.text import contains_any, present, strip
+from leadweave.functions.text import contains_any, matches_any, present, strip
 
 _S = f"[{SPACE}]*"
 
@@ -34,7 +34,7 @@ def is_valid_email(email: Column) -> Column:
         email.rlike(rf"^(?:{ADDRESS})\z")
         & ~domain.isin(PLACEHOLDER_EMAIL_DOMAINS + BARE_EMAIL_DOMAINS)
         & ~local.isin(PLACEHOLDER_LOCALS)
-        & ~contains_any(local, PLACEHOLDER_LOCAL_PARTS)
+        & ~matches_any(local, PLACEHOLDER_LOCAL_PARTS)
         & ~e.rlike(rf"(?:{image})\z")
     )
 
@@ -73,7 +73,8 @@ def in_code(text: Column) -> Column:
 
 def spelled_out(text: Column) -> Column:
     """``name [at] host [dot] tld`` and its variants, as addresses."""
-    possible = text.rlike("at|AT|At|arobase") & text.rlike("dot|DOT|Dot|point")
+    # Without these words there is no match; the first test is the rarer one to pass.
+    possible = contains_any(text, ["dot", "DOT", "Dot", "point"]) & contains_any(text, ["at", "AT", "At", "arobase"])
     matches = F.coalesce(F.when(possible, find_all(text, SPELLED_OUT)), find_all(F.lit(""), "x"))
 
     def restore(match):

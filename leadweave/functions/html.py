@@ -10,11 +10,16 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
-from leadweave.fixed_values import SPACE
+from leadweave.functions.text import let
 
 _GAP = "\x01"
-# Entity names and characters as the text of one map, so that plans hold one literal.
-_ENTITIES = "\x02".join(f"{n}\x03{chr(c)}" for n, c in {**name2codepoint, "apos": 39}.items())
+# Entity names and characters as the text of one map, so that plans hold one literal; the most
+# frequent first.
+_ENTITIES = "\x02".join(
+    f"{name};\x03{chr(code)}"
+    for name, code in {"amp": 38, "lt": 60, "gt": 62, "quot": 34, "nbsp": 160, "apos": 39, **name2codepoint}.items()
+)
+_REFERENCE = r"^(?:#[0-9]{1,8}(?![0-9])|#[xX][0-9a-fA-F]{1,7}(?![0-9a-fA-F])|[a-zA-Z][a-zA-Z0-9]*(?=;));?"
 _TAG = r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 _COMMENT = r"<!--.*?(?:-->|\z)"
 
@@ -35,42 +40,37 @@ def find_all(text: Column, pattern: str, group: int = 0, needs: str | None = Non
     return F.coalesce(found, _none())
 
 
-def _character(code: Column) -> Column:
-    """The character of a code point; empty for anything that is none."""
-    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
-    raw = F.unhex(F.lpad(F.hex(code), 8, "0"))
-    return F.when(valid, F.decode(raw, "UTF-32")).otherwise("")
+def _character(reference: Column) -> Column:
+    """The character of a numeric reference; empty for a number that is none."""
+    digits = F.regexp_extract(reference, "^#[xX]?([0-9a-fA-F]+)", 1)
+    number = F.when(reference.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10))
+    valid = lambda n: ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n < 0x110000))
+    return let(number.cast("long"), lambda n: F.when(
+        valid(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    ).otherwise(""))
 
 
 def _entity(piece: Column) -> Column:
     """Decode the text after one ``&``."""
     names = F.str_to_map(F.lit(_ENTITIES), F.lit("\x02"), F.lit("\x03"))
-    decimal = F.regexp_extract(piece, r"^#([0-9]{1,8})(?![0-9])", 1)
-    hexadecimal = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,7})(?![0-9a-fA-F])", 1)
-    word = F.regexp_extract(piece, r"^([a-zA-Z][a-zA-Z0-9]*);", 1)
-    rest = F.regexp_replace(piece, r"^(?:#[xX][0-9a-fA-F]+|#[0-9]+);?", "")
-    after_word = F.substring(piece, F.length(word) + 2, F.length(piece))
-    return (
-        F.when(F.startswith(piece, F.lit("amp;")), F.concat(F.lit("&"), F.substring(piece, F.lit(5), F.length(piece))))
-        .when(decimal != "", F.concat(_character(decimal.cast("long")), rest))
-        .when(hexadecimal != "", F.concat(_character(F.conv(hexadecimal, 16, 10).cast("long")), rest))
-        .when(word == "", F.concat(F.lit("&"), piece))
-        .otherwise(
-            F.coalesce(
-                F.concat(F.try_element_at(names, word), after_word),
-                F.concat(F.lit("&"), piece),
-            )
+
+    def decoded(reference):
+        character = F.when(F.startswith(reference, F.lit("#")), _character(reference)).otherwise(
+            F.try_element_at(names, reference)
         )
-    )
+        rest = F.substring(piece, F.length(reference) + 1, F.length(piece))
+        return F.concat(F.coalesce(character, F.concat(F.lit("&"), reference)), rest)
+
+    return let(F.regexp_extract(piece, _REFERENCE, 0), decoded)
 
 
 def decode_entities(text: Column) -> Column:
     """Named and numeric references, once each (``&amp;lt;`` gives ``&lt;``)."""
-    pieces = F.split(text, "&")
-    head = F.get(pieces, F.lit(0))
-    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _entity)
-    decoded = F.concat(head, F.array_join(rest, ""))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+    def joined(pieces):
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(_entity(p))), "")
+
+    return joined(F.split(text, "&"))
 
 
 def markup(html: Column) -> Column:
@@ -125,21 +125,21 @@ def _meta_content(markup_: Column, attribute: str, value: str) -> Column:
 def meta_description(markup_: Column) -> Column:
     """The page's own description, else the one for link previews, else empty. Not stripped."""
     own = _meta_content(markup_, "name", "description")
-    return F.when(own != "", own).otherwise(_meta_content(markup_, "property", "og:description"))
+    shared = _meta_content(markup_, "property", "og:description")
+    return let(own, lambda o: F.when(o != "", o).otherwise(shared))
 
 
 def flat_element(markup_: Column, tag: str) -> Column:
-    """Inside of the first element of this tag; empty if there is none.
+    """The first element of this tag, with its tags; empty if there is none.
 
     Null where a pattern cannot tell: elements nested in themselves, or never closed.
     """
-    opening = rf"(?i)<{tag}(?=[\s/>])"
-    inner = F.regexp_extract(markup_, rf"(?is)<{tag}(?=[\s/>])[^>]*+>(.*?)</{tag}\s*>", 1)
-    closed = markup_.rlike(rf"(?is)<{tag}(?=[\s/>])[^>]*+>.*?</{tag}\s*>")
-    return (
-        F.when(~markup_.rlike(opening), "")
-        .when(closed & ~inner.rlike(opening), inner)
-    )
+    opening = rf"<{tag}(?=[\s/>])"
+    found = F.regexp_extract(markup_, rf"(?is){opening}[^>]*+>.*?</{tag}\s*>", 0)
+    return let(found, lambda e: (
+        F.when((e == "") & ~markup_.rlike(f"(?i){opening}"), "")
+        .when((e != "") & ~e.rlike(f"(?is).{opening}"), e)
+    ))
 
 
 def body_of(markup_: Column) -> Column:
@@ -156,6 +156,3 @@ def may_match_attribute_selectors(markup_: Column) -> Column:
     return markup_.rlike(
         r"""(?is)\s(?:role|id|class)\s*=\s*(?:"[^"]*|'[^']*)?(?:main|content)"""
     )
-
-
-SPACE_CLASS = f"[{SPACE}]"

@@ -10,6 +10,11 @@ from pyspark.sql import Column, functions as F
 from leadweave.fixed_values import BOILERPLATE, DESCRIPTION_LENGTH, SPACE, SPACE_CHARS
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)``, with *value* computed once however often *fn* uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def present(c: Column) -> Column:
     """Neither null nor empty. Never null itself."""
     return c.isNotNull() & (c != "")
@@ -27,18 +32,32 @@ def strip(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    # Lone spaces, by far the most, need no replacement; the first class rules letters out fast.
+    other = rf"[[^\x20-\x7e]&&[{SPACE}]]"
+    return F.trim(F.regexp_replace(c, f" [{SPACE}]+|{other}[{SPACE}]*", " "))
 
 
 def contains_any(c: Column, parts) -> Column:
+    """For a column that is there already: the fastest test, but it names *c* once per part."""
     return reduce(or_, [F.contains(c, F.lit(p)) for p in parts])
 
 
+def matches_any(c: Column, parts) -> Column:
+    """The same for an expression: one pattern, so *c* is computed once."""
+    return c.rlike("|".join(rf"\Q{p}\E" for p in parts))
+
+
 def drop_boilerplate(c: Column) -> Column:
     """Squeeze, split at full stops, drop boilerplate sentences, join again."""
-    sentences = F.transform(F.split(squeeze(c), r"\."), lambda s: F.trim(s))
-    kept = F.filter(sentences, lambda s: (s != "") & ~contains_any(F.lower(s), BOILERPLATE))
-    return F.array_join(kept, ". ")
+
+    def kept(text):
+        sentences = F.filter(F.transform(F.split(text, r"\."), lambda s: F.trim(s)), lambda s: s != "")
+        genuine = F.filter(sentences, lambda s: ~contains_any(F.lower(s), BOILERPLATE))
+        # Most texts have no such phrase at all; one look tells.
+        suspect = let(F.lower(text), lambda t: contains_any(t, BOILERPLATE))
+        return F.array_join(F.when(suspect, genuine).otherwise(sentences), ". ")
+
+    return let(squeeze(c), kept)
 
 
 def _head(c: Column, length: int) -> Column:
@@ -46,12 +65,15 @@ def _head(c: Column, length: int) -> Column:
     return F.regexp_replace(F.substring(c, 1, length), r" [^ ]*\z", "")
 
 
+def _cut(c: Column, length: int, head: Column) -> Column:
+    return F.when(F.length(c) <= length, c).otherwise(F.concat(head, F.lit("…")))
+
+
 def cut(c: Column, length: int = DESCRIPTION_LENGTH) -> Column:
     """At most *length* characters, cut at a word, without trailing punctuation, plus an ellipsis."""
-    short = F.rtrim(_head(c, length), F.lit(".,;:"))
-    return F.when(F.length(c) <= length, c).otherwise(F.concat(short, F.lit("…")))
+    return let(c, lambda t: _cut(t, length, F.rtrim(_head(t, length), F.lit(".,;:"))))
 
 
 def cut_snippet(c: Column, length: int = DESCRIPTION_LENGTH) -> Column:
     """As :func:`cut`, but keeps trailing punctuation."""
-    return F.when(F.length(c) <= length, c).otherwise(F.concat(_head(c, length), F.lit("…")))
+    return let(c, lambda t: _cut(t, length, _head(t, length)))

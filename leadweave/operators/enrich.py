@@ -9,9 +9,9 @@ from leadweave.fixed_values import (
 )
 from leadweave.functions import email as E, html as H
 from leadweave.functions.dom import content_blocks
-from leadweave.functions.text import contains_any, cut, drop_boilerplate, present, strip
+from leadweave.functions.text import cut, drop_boilerplate, matches_any, present, strip
 from leadweave.functions.url import is_http_url, site_base, with_scheme
-from leadweave.operators.skew import skew_join
+from leadweave.operators.skew import hot_keys, skew_join
 from leadweave.session import settle
 
 
@@ -30,11 +30,8 @@ def usable_pages(crawl: DataFrame) -> DataFrame:
 def with_page_text(pages: DataFrame) -> DataFrame:
     """Add ``markup``, ``visible`` and ``scripts``; each is computed once and used several times."""
     html = F.coalesce("html", F.lit(""))
-    return (
-        pages.withColumn("markup", H.markup(html))
-        .withColumn("scripts", H.script_text(html))
-        .withColumn("visible", H.text_of(F.col("markup")))
-    )
+    texts = pages.withColumns({"markup": H.markup(html), "scripts": H.script_text(html)})
+    return texts.withColumn("visible", H.text_of(F.col("markup")))
 
 
 def email_strategies() -> dict[str, Column]:
@@ -60,13 +57,10 @@ def with_blocks(pages: DataFrame) -> DataFrame:
     Elements that patterns can tell are cut out of the markup; the page goes to the tree parser
     only if an earlier element is nested or unclosed, or a role, id or class may name a block.
     """
-    flat = pages.select(
-        "*",
-        *[H.flat_element(F.col("markup"), tag).alias(f"flat_{tag}") for tag in ("main", "article", "section")],
-    )
-    for tag in ("main", "article", "section"):
-        flat = flat.withColumn(f"flat_{tag}", drop_boilerplate(H.text_of(F.col(f"flat_{tag}"))))
-    main, article, section = (F.col(f"flat_{tag}") for tag in ("main", "article", "section"))
+    tags = ("main", "article", "section")
+    flat = pages.withColumns({f"flat_{t}": H.flat_element(F.col("markup"), t) for t in tags})
+    flat = flat.withColumns({f"flat_{t}": drop_boilerplate(H.text_of(F.col(f"flat_{t}"))) for t in tags})
+    main, article, section = (F.col(f"flat_{t}") for t in tags)
     long = lambda c: F.length(c) > MIN_BLOCK_LENGTH
     clear = main.isNotNull() & (
         long(main)
@@ -94,18 +88,20 @@ def with_description(pages: DataFrame) -> DataFrame:
     return described.withColumn("description", cut(text)).drop("meta", "block")
 
 
+def _candidates(strategy: int, found: Column) -> Column:
+    return F.transform(found, lambda c: F.struct(F.lit(strategy).alias("strategy"), E.clean_email(c).alias("email")))
+
+
 def page_features(crawl: DataFrame) -> DataFrame:
     """Per usable page: best address, its strategy (0 is best), description, and whether it has HTML."""
-    texts = with_page_text(usable_pages(crawl))
-    firsts = F.array(*[
-        F.struct(F.lit(i).alias("strategy"), F.get(E.accepted(c), F.lit(0)).alias("email"))
-        for i, c in enumerate(email_strategies().values())
-    ])
-    best = F.get(F.filter("firsts", lambda f: f["email"].isNotNull()), F.lit(0))
-    found = with_description(texts.withColumn("firsts", firsts)).withColumn("best", best)
+    has_html = present(F.col("html"))
+    texts = with_page_text(usable_pages(crawl).withColumn("has_html", has_html))
+    # One pass of cleaning and judging over the candidates of all strategies.
+    tagged = F.concat(*[_candidates(i, found) for i, found in enumerate(email_strategies().values())])
+    best = F.get(F.filter(tagged, lambda c: E.is_valid_email(c["email"])), F.lit(0))
+    found = with_description(texts.withColumn("best", best).drop("html", "visible", "scripts"))
     return found.select(
-        "url", F.col("best.email").alias("email"), F.col("best.strategy").alias("strategy"),
-        "description", present(F.col("html")).alias("has_html"),
+        "url", F.col("best.email").alias("email"), F.col("best.strategy").alias("strategy"), "description", "has_html"
     )
 
 
@@ -152,15 +148,20 @@ def site_contacts(features: DataFrame) -> DataFrame:
 
 
 def lead_pages(leads: DataFrame, features: DataFrame) -> DataFrame:
-    """Leads with the address and description of their homepage and the contacts of their site."""
+    """Leads with the address and description of their homepage and the contacts of their site.
+
+    Both inputs are read several times: settle them first if they are costly.
+    """
     url = F.when(present(F.col("website")), with_scheme(F.col("website")))
-    keyed = leads.withColumn("url", url).withColumn("base", site_base(F.col("url")))
+    keyed = leads.withColumn("url", url).withColumns({
+        "base": site_base(F.col("url")), "fetch": F.when(is_http_url(F.col("url")), F.col("url")),
+    })
     home = features.select(
-        "url", F.col("email").alias("home_email"), F.col("description").alias("home_description")
+        F.col("url").alias("fetch"), F.col("email").alias("home_email"), F.col("description").alias("home_description")
     )
-    reached = keyed.withColumn("fetch", F.when(is_http_url(F.col("url")), F.col("url")))
-    joined = skew_join(reached, home.withColumnRenamed("url", "fetch"), "fetch", "lead_id").drop("fetch")
-    return skew_join(joined, site_contacts(features), "base", "lead_id").drop("base")
+    joined = skew_join(keyed, home, "fetch", "lead_id")
+    contacts = site_contacts(features)
+    return skew_join(joined, contacts, "base", "lead_id", hot=hot_keys(keyed, "base")).drop("base", "fetch")
 
 
 def enriched(leads: DataFrame, crawl: DataFrame) -> DataFrame:
@@ -193,7 +194,7 @@ def lookup_term(location: str) -> Column:
 
 def own_site_hits(hits: DataFrame) -> DataFrame:
     """Per search term, the first hit that is no directory."""
-    good = hits.where(~contains_any(F.col("href"), LOOKUP_SKIP_PARTS))
+    good = hits.where(~matches_any(F.col("href"), LOOKUP_SKIP_PARTS))
     return good.groupBy("search_term").agg(F.min_by("href", F.struct("page_no", "pos", "href")).alias("found_site"))
 
 
@@ -223,10 +224,21 @@ def needs_address() -> Column:
     return ~present(F.col("address")) & present(strip(F.col("company_name")))
 
 
-def with_backfilled_address(leads: DataFrame, places: DataFrame, location: str) -> DataFrame:
-    """Fill missing addresses; ``address_filled`` tells where."""
-    asked = leads.withColumn("search_term", F.when(needs_address(), lookup_term(location)))
-    found = skew_join(asked, found_addresses(places), "search_term", "lead_id")
+def _asking(leads: DataFrame, location: str) -> DataFrame:
+    return leads.withColumn("search_term", F.when(needs_address(), lookup_term(location)))
+
+
+def with_backfilled_address(
+    leads: DataFrame, places: DataFrame, location: str, earlier: DataFrame | None = None
+) -> DataFrame:
+    """Fill missing addresses; ``address_filled`` tells where.
+
+    *earlier* is a settled frame of the same leads with the same names and addresses, to count on
+    when *leads* is costly to read twice.
+    """
+    asked = _asking(leads, location)
+    hot = hot_keys(_asking(leads if earlier is None else earlier, location), "search_term")
+    found = skew_join(asked, found_addresses(places), "search_term", "lead_id", hot=hot)
     filled = needs_address() & F.col("found_address").isNotNull()
     return (
         found.withColumn("address_filled", filled)

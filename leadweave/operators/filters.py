@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadweave.fixed_values import JUNK_NAME_PARTS, JUNK_SITES, REQUIRED_FIELDS
-from leadweave.functions.text import contains_any, present, strip
+from leadweave.functions.text import matches_any, present, strip
 from leadweave.functions.url import on_listed_site, site_key
 
 
@@ -21,7 +21,7 @@ def is_junk_site(legacy_hosts: bool = False) -> Column:
 
 
 def is_junk_name() -> Column:
-    return contains_any(F.lower("company_name"), JUNK_NAME_PARTS)
+    return matches_any(F.lower("company_name"), JUNK_NAME_PARTS)
 
 
 def is_empty_record() -> Column:

@@ -16,22 +16,28 @@ _HOT_ROWS_DEFAULT = "100000"
 _WINDOW_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "left") -> DataFrame:
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """The most frequent keys, HOT_KEYS at most, so that the list is bounded whatever the data.
+
+    Counts combine before the shuffle. *df* is read once more for this: pass a settled frame or a
+    cheap one.
+    """
+    hot_rows = int(df.sparkSession.conf.get(_HOT_ROWS_SETTING, _HOT_ROWS_DEFAULT))
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= hot_rows)
+    return counts.orderBy(F.desc("count"), key).limit(HOT_KEYS).select(key)
+
+
+def skew_join(
+    left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "left", hot: DataFrame | None = None
+) -> DataFrame:
     """Join on *key*, unique in *right*, with the hot keys of *left* spread over salts.
 
-    The hot keys are the HOT_KEYS most frequent ones, so the broadcast list and the copies made of
-    the right side are bounded whatever the data. *spread* is a column that varies within a key.
-    Rows without key are spread as well.
+    *spread* is a column that varies within a key. Rows without key are spread as well. *hot* is
+    for a *left* that is costly to read twice: its hot keys, counted on an earlier frame.
     """
-    spark = left.sparkSession
-    salts = fan_out(spark)
-    hot_rows = int(spark.conf.get(_HOT_ROWS_SETTING, _HOT_ROWS_DEFAULT))
-    hot = F.broadcast(
-        left.where(F.col(key).isNotNull()).groupBy(key).count()
-        .where(F.col("count") >= hot_rows)
-        .orderBy(F.desc("count"), key).limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
-    )
+    salts = fan_out(left.sparkSession)
+    hot = hot_keys(left, key) if hot is None else hot
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     drawn = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     salted = left.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_hot") | F.col(key).isNull(), drawn).otherwise(0)

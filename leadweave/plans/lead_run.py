@@ -63,10 +63,12 @@ def run(tables: LandedTables, settings: Settings) -> LeadRun:
 
     # Source parsing runs once; the keys and the merge both read the result.
     sightings = settle(counted(discover(tables, settings), "discovered"))
-    leads = merged_leads(sightings, settings.dedup_mode, settings.legacy_hosts)
-    leads = filters.valid_leads(enrich.enriched(counted(leads, "merged"), tables.crawl))
+    merged = merged_leads(sightings, settings.dedup_mode, settings.legacy_hosts)
+    # The joins count their hot keys on the merged leads, so these are written once.
+    merged = settle(counted(merged, "merged"))
+    leads = filters.valid_leads(enrich.enriched(merged, tables.crawl))
     if settings.address_backfill and tables.places is not None:
-        leads = enrich.with_backfilled_address(leads, tables.places, settings.location)
+        leads = enrich.with_backfilled_address(leads, tables.places, settings.location, earlier=merged)
         leads = counted(leads, "valid", F.count_if("address_filled").alias("addresses_filled"))
         leads = leads.drop("address_filled")
     else:

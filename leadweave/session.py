@@ -38,3 +38,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def fan_out(spark: SparkSession) -> int:
     """Into how many parts a hot group is split."""
     return max(8, min(2000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def spread_scan(scan: DataFrame, key: str) -> DataFrame:
+    """A scan of wide rows, spread by *key* if it has fewer partitions than there are cores.
+
+    Meant for page and document text, where the work per row is heavy. A large table has many more
+    partitions than cores and is returned as it is, without a shuffle. *scan* must be a plain scan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan

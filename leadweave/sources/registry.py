@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leadweave.operators.enrich import with_looked_up_site
 from leadweave.operators.skew import first_per_group
+from leadweave.session import settle
 from leadweave.sources import result_pages as R
 
 # Above any rank: page numbers below a million, times the step of a page.
@@ -47,7 +48,8 @@ def directory_source(tables, settings) -> DataFrame:
     cards = R.directory_cards(_of_search(tables.directory_pages, settings))
     cards = cards.withColumn("place_order", R.result_order("page_no", "pos")).withColumnRenamed("name", "company_name")
     cards = _limited(cards, settings)
-    cards = cards.drop("search_term", "page_no", "pos").withColumn("website", F.lit(None).cast("string"))
+    # The look-up reads the cards twice; their pages should be parsed once.
+    cards = settle(cards.select("company_name", "address", "source_rank", F.lit(None).cast("string").alias("website")))
     found = with_looked_up_site(cards, R.search_hits(tables.lookup_pages), settings.location, "source_rank")
     return _columns(found)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadweave.fixed_values import CONTACT_PATHS
+from leadweave.session import spread_scan
 
 LOCATION = "Bordeaux"
 
@@ -192,12 +193,15 @@ RECIPES = {
     "place_pages": PLACE_PAGES, "lookup_hits": LOOKUP_HITS, "places": PLACES, "verdicts": VERDICTS,
 }
 GIVEN = ["supplier", "customer", "nation", "orders", "pages", "documents"]
+# Tables of long texts, with their keys.
+TEXT_KEYS = {"pages": "page_id", "documents": "doc_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given or derived table as a DataFrame."""
     if name in GIVEN:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread_scan(scan, TEXT_KEYS[name]) if name in TEXT_KEYS else scan
     recipe = RECIPES[name].replace("{location}", LOCATION)
     inputs = {n: table(spark, sf_dir, n) for n in [*GIVEN, *RECIPES] if "{%s}" % n in recipe}
     return spark.sql(recipe, **inputs)

@@ -121,8 +121,8 @@ def test_meta_description(apply):
 
 
 def test_flat_element(apply):
-    cases = {"<main>a<p>b</main>": "a<p>b", "<x>": "", "<main>a<main>b</main></main>": None, "<main>open": None,
-             "<mainframe>x</mainframe>": "", "<MAIN id=q>z</main >": "z"}
+    cases = {"x<main>a<p>b</main>y": "<main>a<p>b</main>", "<x>": "", "<main>a<main>b</main></main>": None, "<main>open": None,
+             "<mainframe>x</mainframe>": "", "<MAIN id=q>z</main >": "<MAIN id=q>z</main >"}
     assert apply(lambda c: H.flat_element(c, "main"), list(cases)) == list(cases.values())
 
 
