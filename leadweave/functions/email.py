@@ -19,6 +19,9 @@ _DOT = rf"{_S}(?:\[|\(|\{{)?{_S}(?:dot|DOT|Dot|point){_S}(?:\]|\)|\}})?{_S}"
 _LOCAL = r"[a-zA-Z0-9._%+\-]+"
 _LABEL = r"[a-zA-Z0-9\-]+"
 SPELLED_OUT = rf"({_LOCAL}){_AT}({_LABEL}(?:{_DOT}{_LABEL})+)"
+# Where a run of local-part characters begins, or where the last match ended. A match that fails
+# there fails at every later character of the run, so long runs cost one try instead of one each.
+_RUN_START = r"(?:(?<![a-zA-Z0-9._%+\-])|\G)"
 # A mail link anywhere in text or code.
 MAIL_LINK = rf"""(?i)mailto:{_S}["']?{_S}({ADDRESS})"""
 # Characters cut from the end of a candidate.
@@ -57,7 +60,7 @@ def accepted(candidates: Column) -> Column:
 
 
 def in_text(text: Column) -> Column:
-    return find_all(text, ADDRESS, needs="@")
+    return find_all(text, _RUN_START + ADDRESS, needs="@")
 
 
 def in_links(targets: Column) -> Column:
@@ -75,7 +78,7 @@ def spelled_out(text: Column) -> Column:
     """``name [at] host [dot] tld`` and its variants, as addresses."""
     # Without these words there is no match; the first test is the rarer one to pass.
     possible = contains_any(text, ["dot", "DOT", "Dot", "point"]) & contains_any(text, ["at", "AT", "At", "arobase"])
-    matches = F.coalesce(F.when(possible, find_all(text, SPELLED_OUT)), find_all(F.lit(""), "x"))
+    matches = F.coalesce(F.when(possible, find_all(text, _RUN_START + SPELLED_OUT)), find_all(F.lit(""), "x"))
 
     def restore(match):
         local = F.regexp_extract(match, SPELLED_OUT, 1)

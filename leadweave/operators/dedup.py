@@ -43,9 +43,7 @@ def exact_slots(keys: DataFrame) -> DataFrame:
     keys = settle(with_bucket(keys, "seq", "bucket"))
     on_site = F.col("site").isNotNull()
     firsts = keys.where(on_site).groupBy("site").agg(F.min("seq").alias("seq"))
-    marked = keys.join(firsts.select("seq", F.lit(True).alias("opens")), "seq", "left").withColumn(
-        "by_site", F.when(on_site & F.col("opens").isNull(), F.col("site"))
-    )
+    marked = keys.join(firsts.select("seq", F.lit(True).alias("opens")), "seq", "left")
     links = settle(_name_links(marked))
     sites = _site_slots(links.where(on_site).select("site", "parent", "root"))
     routes = keys.where(on_site).select(
@@ -59,11 +57,14 @@ def exact_slots(keys: DataFrame) -> DataFrame:
 
 def _name_links(marked: DataFrame) -> DataFrame:
     """For each sighting not placed by its site: the site it follows, or its root."""
-    unnamed = marked.where(F.col("name").isNull() & F.col("by_site").isNull()).select(
+    by_site = F.when(F.col("site").isNotNull() & F.col("opens").isNull(), F.col("site"))
+    unnamed = marked.where(F.col("name").isNull() & by_site.isNull()).select(
         "seq", "site", "name", F.lit(None).cast("string").alias("parent"), F.col("seq").alias("root")
     )
     # A hot name is cut into buckets of seq; what a bucket hands on to the later ones is one row.
-    cells = marked.where(F.col("name").isNotNull()).repartition("name", "bucket")
+    # Both branches below read this one shuffle: they need the same columns and the same filter.
+    cells = marked.where(F.col("name").isNotNull() & F.col("bucket").isNotNull())
+    cells = cells.repartition("name", "bucket").withColumn("by_site", by_site)
     earlier = Window.partitionBy("name", "bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     within = cells.withColumn("latest", F.last("by_site", ignorenulls=True).over(earlier))
     handed = cells.groupBy("name", "bucket").agg(

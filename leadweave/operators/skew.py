@@ -52,10 +52,12 @@ def skew_join(
 def spread_min(df: DataFrame, key: str, spread: str, value: str, out: str) -> DataFrame:
     """Add the least *value* of each *key*; a hot key's rows stay apart by salt.
 
-    Only one row per key and salt meets in the second step.
+    Only one row per key and salt meets in the second step. Both steps read the same shuffle, which
+    is why the salt cannot be null and rows without key are left out at once.
     """
-    drawn = F.pmod(F.xxhash64(spread), F.lit(fan_out(df.sparkSession))).cast("int")
-    salted = df.withColumn("_salt", drawn).repartition(key, "_salt")
+    drawn = F.pmod(F.xxhash64(spread), F.lit(fan_out(df.sparkSession)))
+    salted = df.where(F.col(key).isNotNull()).withColumn("_salt", F.coalesce(drawn.cast("int"), F.lit(0)))
+    salted = salted.repartition(key, "_salt")
     least = salted.groupBy(key, "_salt").agg(F.min(value).alias(out))
     least = least.withColumn(out, F.min(out).over(Window.partitionBy(key)))
     return salted.join(least, [key, "_salt"]).drop("_salt")
@@ -71,8 +73,9 @@ def with_bucket(df: DataFrame, order: str, out: str = "_bucket") -> DataFrame:
     bounds = df.agg(F.percentile_approx(order, shares, parts * 20)).first()[0] or []
     splits = [float("-inf"), *sorted({float(b) for b in bounds}), float("inf")]
     if len(splits) < 3:
-        return df.withColumn(out, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=order, outputCol=out).transform(df)
+        return df.withColumn(out, F.lit(0))
+    bucketed = Bucketizer(splits=splits, inputCol=order, outputCol=out).transform(df)
+    return bucketed.withColumn(out, F.col(out).cast("int"))
 
 
 def numbered(df: DataFrame, groups: list[str], order: str, out: str, across: list[Column] | None = None) -> DataFrame:
@@ -81,13 +84,10 @@ def numbered(df: DataFrame, groups: list[str], order: str, out: str, across: lis
     Rows are numbered within buckets of *order*; the bucket totals, few per group, give the start
     of each bucket. With *across*, groups follow one another in that order and numbers run on.
     """
-    bucketed = with_bucket(df, order).repartition(*groups, "_bucket")
+    bucketed = with_bucket(df, order)
     cell = [*groups, "_bucket"]
     totals = bucketed.groupBy(*cell).agg(F.count("*").alias("_rows"))
-    if across is None:
-        before = Window.partitionBy(*groups).orderBy("_bucket")
-    else:
-        before = Window.orderBy(*across, "_bucket")
+    before = Window.partitionBy(*groups).orderBy("_bucket") if across is None else Window.orderBy(*across, "_bucket")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*cell, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*cell).orderBy(order)

@@ -25,9 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write *df* to the shared folder and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write *df* as a table in the shared folder and go on from there.
+
+    Written rows survive the loss of executors, later reads take only the columns they need, and
+    the size of the table is known to the joins that follow.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -309,7 +309,7 @@ FROM (SELECT search_term, page_no, pos, href, title, nullif(snippet, '') AS snip
     "dedup_closure": "SELECT seq, slot FROM closure_slots",
     "dedup_merge": "SELECT * FROM by_owner",
     "dedup_merge_closure": "SELECT * FROM by_owner",
-    "score_leads": "SELECT lead_id, score FROM scored",
+    "score": "SELECT lead_id, score FROM scored",
     "min_score": "SELECT lead_id, score FROM scored WHERE score >= 8",
     "rank_leads": "SELECT lead_id, company_name, score FROM scored ORDER BY score DESC, lead_id",
     "only_fields": f"SELECT lead_id FROM plain WHERE {present('email')} AND {present('website')} AND {present('address')}",
@@ -336,7 +336,7 @@ FROM (SELECT search_term, page_no, pos, href, title, nullif(snippet, '') AS snip
     "site_pages": "SELECT * FROM contacts",
     "email_best": f"SELECT lead_id, email FROM raw_enriched WHERE {present('email')}",
     "enrich_homepage": "SELECT lead_id, url, home_email, home_description FROM raw_enriched",
-    "enrich_leads": "SELECT lead_id, website, email, description, contact_page, address FROM raw_enriched",
+    "enrich": "SELECT lead_id, website, email, description, contact_page, address FROM raw_enriched",
     "website_lookup": f"SELECT lead_id, CASE WHEN {present('website')} THEN website ELSE site END AS website FROM raw_plain LEFT JOIN found_sites ON search_term = company_name || ' {LOCATION}'",
     "address_backfill": f"""SELECT lead_id, CASE WHEN {present('address')} THEN address ELSE coalesce(found_address, address) END AS address,
   NOT {present('address')} AND found_address IS NOT NULL AS address_filled FROM raw_plain LEFT JOIN found_addresses ON search_term = company_name || ' {LOCATION}'""",

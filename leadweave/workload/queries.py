@@ -224,9 +224,7 @@ def dedup_merge_closure(spark, sf_dir):
 # --- score, filters, order -----------------------------------------------------------------------
 
 
-@_register
-def score_leads(spark, sf_dir):
-    return _scored(spark, sf_dir).select("lead_id", "score")
+QUERIES["score"] = lambda spark, sf_dir: _scored(spark, sf_dir).select("lead_id", "score")
 
 
 @_register
@@ -370,9 +368,9 @@ def _enriched(spark, sf_dir):
     return enrich.enriched(leads, table(spark, sf_dir, "crawl"))
 
 
-@_register
-def enrich_leads(spark, sf_dir):
-    return _enriched(spark, sf_dir).select("lead_id", "website", "email", "description", "contact_page", "address")
+QUERIES["enrich"] = lambda spark, sf_dir: _enriched(spark, sf_dir).select(
+    "lead_id", "website", "email", "description", "contact_page", "address"
+)
 
 
 @_register

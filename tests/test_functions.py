@@ -85,6 +85,21 @@ def test_spelled_out(apply):
     assert apply(E.spelled_out, list(cases)) == list(cases.values())
 
 
+def test_addresses_in_text(apply):
+    import re
+
+    from leadweave.fixed_values import ADDRESS
+
+    texts = ["a@b.co.x@y.com", "x@y.fr,z@w.fr;q@@r.fr", "-a.b+c%d@e-f.museum. a@b", "é@x.fr ü.a@x.fr", "a@b.c1.de@f.gh", ""]
+    assert apply(E.in_text, texts) == [re.findall(ADDRESS, t) for t in texts]
+
+
+def test_long_runs_are_not_quadratic(apply):
+    run = "abcdefgh" * 100_000
+    assert apply(E.in_text, [run + " a@x.fr " + run]) == [["a@x.fr"]]
+    assert apply(E.spelled_out, [run + " dot a at x dot fr " + run]) == [["a@x.fr"]]
+
+
 def test_visible_text(apply):
     cases = {
         "<p>a</p><p>b</p>": "a b", "x<script>var t='</p>';</script>y": "x y", "a<!-- <p>no</p> -->b": "a b",
