@@ -79,6 +79,11 @@ def markup(html: Column) -> Column:
     return F.regexp_replace(html, pattern, _GAP)
 
 
+def parsable(markup_: Column) -> Column:
+    """Markup for the tree parser, which keeps texts apart at an empty tag."""
+    return F.replace(markup_, F.lit(_GAP), F.lit("<wbr>"))
+
+
 def script_text(html: Column) -> Column:
     """All script bodies outside comments, kept apart."""
     pattern = f"(?is){_COMMENT}|{_element('script', '(.*?)')}"

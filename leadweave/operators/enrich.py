@@ -71,7 +71,7 @@ def with_blocks(pages: DataFrame) -> DataFrame:
     )
     by_pattern = F.when(long(main), main).when(long(article), article).when(long(section), section)
     parsed = flat.withColumn("clear", F.coalesce(clear, F.lit(False))).withColumn(
-        "blocks", content_blocks(F.when(~F.col("clear"), F.col("markup")))
+        "blocks", content_blocks(F.when(~F.col("clear"), H.parsable(F.col("markup"))))
     )
     by_tree = F.get(F.filter(F.transform("blocks", drop_boilerplate), long), F.lit(0))
     return parsed.withColumn("block", F.when(F.col("clear"), by_pattern).otherwise(by_tree)).drop(

@@ -166,24 +166,27 @@ LOOKUP_HITS = """
 SELECT company_name || ' {location}' AS search_term, 0 AS page_no, 0 AS pos, 'https://www.pagesjaunes.fr/pros/' || source_rank AS href
 FROM {raw_leads} WHERE source = 'pj'
 UNION ALL
-SELECT company_name || ' {location}', 0, 1, 'https://www.agence' || source_rank || '.fr/' FROM {raw_leads} WHERE source = 'pj' AND source_rank % 3 > 0
+SELECT company_name || ' {location}', 0, 1, CASE WHEN source_rank % 3 = 0 THEN 'https://www.yelp.fr/biz/' ELSE 'https://www.agence' END || source_rank || '.fr/'
+FROM {raw_leads} WHERE source = 'pj'
 UNION ALL
-SELECT company_name || ' {location}', 1, 0, 'https://late' || source_rank || '.fr/' FROM {raw_leads} WHERE source = 'pj' AND source_rank % 2 > 0
+SELECT company_name || ' {location}', 1, 0, CASE WHEN source_rank % 2 = 0 THEN 'https://www.societe.com/' ELSE 'https://late' END || source_rank || '.fr/'
+FROM {raw_leads} WHERE source = 'pj'
 """
 PLACES = """
 SELECT company_name || ' {location}' AS search_term, CAST(NULL AS STRING) AS direct_address, 1 AS pos,
        CASE WHEN source_rank % 5 = 0 THEN NULL ELSE source_rank || ' quai ' || source END AS address
-FROM {raw_leads} WHERE source_rank % 2 = 0
+FROM {raw_leads} WHERE source <> 'google'
 UNION ALL
-SELECT company_name || ' {location}', NULL, 2, 'second ' || source_rank FROM {raw_leads} WHERE source_rank % 4 = 0
+SELECT company_name || ' {location}', NULL, 2, 'second ' || source_rank FROM {raw_leads} WHERE source <> 'google'
 UNION ALL
-SELECT company_name || ' {location}', ' direct ' || source_rank || ' ', 3, NULL FROM {raw_leads} WHERE source_rank % 7 = 0
+SELECT company_name || ' {location}', CASE WHEN source_rank % 7 = 0 THEN ' direct ' || source_rank || ' ' END, 3, NULL
+FROM {raw_leads} WHERE source <> 'google'
 """
 
 VERDICTS = """
 SELECT seq AS lead_key, CASE seq % 6 WHEN 0 THEN ' Oui.' WHEN 1 THEN 'yes' WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN 'OUI, tout à fait' ELSE 'non' END AS answer,
        CASE WHEN seq % 9 = 0 THEN 'timeout' END AS error
-FROM {sightings} WHERE seq % 11 > 0
+FROM {sightings} WHERE email IS NOT NULL
 """
 
 RECIPES = {

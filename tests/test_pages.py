@@ -49,6 +49,7 @@ BLOCK = "Long enough text of a block that has more than fifty characters in it"
     ("<main>" + "x" * 50 + "</main>", None), ("<main>" + "x" * 51 + "</main>", "x" * 51),
     (f"<main>{BLOCK}. Accept all. More</main>", BLOCK + ". More"),
     (f"<main>{BLOCK}<script>no</script><style>no</style><!-- no --></main>", BLOCK),
+    (f"<div id=main>{BLOCK}<script>no</script>one<!-- no -->two</div>", BLOCK + " one two"),
     ("<p>nothing", None),
 ])
 def test_content_block(spark, html, expected):
