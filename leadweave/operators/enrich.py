@@ -164,13 +164,30 @@ def lead_pages(leads: DataFrame, features: DataFrame) -> DataFrame:
     return skew_join(joined, contacts, "base", "lead_id", hot=hot_keys(keyed, "base")).drop("base", "fetch")
 
 
+# Up to this many bytes of site names are sent to every executor to pick their pages.
+SITE_LIST_BYTES = 64 << 20
+
+
+def pages_of(leads: DataFrame, crawl: DataFrame, most_bytes: int = SITE_LIST_BYTES) -> DataFrame:
+    """The crawled pages on the sites of *leads*, picked in the scan without moving any HTML.
+
+    The list of sites is measured first. If it is too long to broadcast, the leads are so many that
+    all pages are kept; the joins that follow find theirs.
+    """
+    base = site_base(with_scheme(F.col("website")))
+    sites = leads.where(present(F.col("website"))).select(base.alias("base")).where("base is not null").distinct()
+    if (sites.agg(F.sum(F.octet_length("base") + 16)).first()[0] or 0) > most_bytes:
+        return crawl
+    return crawl.join(F.broadcast(sites), site_base(F.col("url")) == F.col("base"), "left_semi")
+
+
 def enriched(leads: DataFrame, crawl: DataFrame) -> DataFrame:
     """Leads with e-mail, description and contact page from their site.
 
     A lead without website stays as it is; the others get the full URL even if no page was found,
     and lose an earlier contact page.
     """
-    features = settle(page_features(crawl))
+    features = settle(page_features(pages_of(leads, crawl)))
     has_site = F.col("url").isNotNull()
     found = lead_pages(leads, features)
     return found.select(

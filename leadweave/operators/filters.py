@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leadweave.fixed_values import JUNK_NAME_PARTS, JUNK_SITES, REQUIRED_FIELDS
 from leadweave.functions.text import matches_any, present, strip
-from leadweave.functions.url import on_listed_site, site_key
+from leadweave.functions.url import on_listed_site, site
 
 
 def valid_leads(leads: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def valid_leads(leads: DataFrame) -> DataFrame:
 
 
 def is_junk_site(legacy_hosts: bool = False) -> Column:
-    return on_listed_site(site_key(F.col("website"), legacy_hosts), JUNK_SITES)
+    return on_listed_site(site(F.col("website"), legacy_hosts), JUNK_SITES)
 
 
 def is_junk_name() -> Column:

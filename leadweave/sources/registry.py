@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from leadweave.operators.enrich import with_looked_up_site
+from leadweave.operators.enrich import lookup_term, with_looked_up_site
 from leadweave.operators.skew import first_per_group
 from leadweave.session import settle
 from leadweave.sources import result_pages as R
@@ -39,8 +39,9 @@ def _columns(df: DataFrame) -> DataFrame:
 def maps_source(tables, settings) -> DataFrame:
     """Place pages of the first place links. The limit counts links, before names are read."""
     urls = R.place_urls(_of_search(tables.feed_pages, settings))
-    urls = _limited(urls, settings)
-    return _columns(R.place_rows(tables.place_pages).join(urls, "url"))
+    # Written, the links have a known size: a short list is broadcast, and only its pages are parsed.
+    urls = settle(_limited(urls, settings).select("url", "source_rank"))
+    return _columns(R.place_rows(tables.place_pages.join(urls, "url")))
 
 
 def directory_source(tables, settings) -> DataFrame:
@@ -50,8 +51,9 @@ def directory_source(tables, settings) -> DataFrame:
     cards = _limited(cards, settings)
     # The look-up reads the cards twice; their pages should be parsed once.
     cards = settle(cards.select("company_name", "address", "source_rank", F.lit(None).cast("string").alias("website")))
-    found = with_looked_up_site(cards, R.search_hits(tables.lookup_pages), settings.location, "source_rank")
-    return _columns(found)
+    asked = cards.select(lookup_term(settings.location).alias("search_term"))
+    hits = R.search_hits(tables.lookup_pages.join(asked, "search_term", "left_semi"))
+    return _columns(with_looked_up_site(cards, hits, settings.location, "source_rank"))
 
 
 def search_source(tables, settings) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leadweave.fixed_values import SEARCH_SKIP_SITES, TITLE_SUFFIXES
 from leadweave.functions import dom, html as H
 from leadweave.functions.text import cut_snippet, present, strip
-from leadweave.functions.url import on_listed_site, site_key
+from leadweave.functions.url import on_listed_site, site
 
 # Page number and place on the page, as one number that orders the results of a search.
 _PAGE_STEP = 1 << 32
@@ -36,11 +36,15 @@ def place_urls(feed_pages: DataFrame) -> DataFrame:
 
 
 def place_rows(place_pages: DataFrame) -> DataFrame:
-    """Name, address and website of each place page ``(url, html)``; pages without a name are dropped."""
-    read = place_pages.select("url", dom.place_fields("html").alias("f")).select("url", "f.*")
+    """Name, address and website of each place page ``(url, html)``; pages without a name are dropped.
+
+    Other columns are kept.
+    """
+    kept = [c for c in place_pages.columns if c != "html"]
+    read = place_pages.select(*kept, dom.place_fields("html").alias("f")).select(*kept, "f.*")
     first_text = lambda c: F.get(F.filter(c, lambda v: present(v)), F.lit(0))
     return read.select(
-        "url", first_text("names").alias("company_name"), first_text("addresses").alias("address"),
+        *kept, first_text("names").alias("company_name"), first_text("addresses").alias("address"),
         F.get(F.filter("hrefs", lambda h: F.startswith(h, F.lit("http"))), F.lit(0)).alias("website"),
     ).where(F.col("company_name").isNotNull())
 
@@ -75,17 +79,17 @@ def clean_title(title: Column) -> Column:
 def search_leads(pages: DataFrame, legacy_hosts: bool = False) -> DataFrame:
     """Leads among the hits: no listed sites, one per site and page."""
 
-    def site(hit):
-        return F.coalesce(site_key(hit["href"], legacy_hosts), F.lit(""))
+    def of_site(hit):
+        return F.coalesce(site(hit["href"], legacy_hosts), F.lit(""))
 
     def skipped(hit):
         if legacy_hosts:
-            return site(hit).rlike("(?:%s)$" % "|".join(s.replace(".", r"\.") for s in SEARCH_SKIP_SITES))
-        return on_listed_site(site(hit), SEARCH_SKIP_SITES)
+            return of_site(hit).rlike("(?:%s)$" % "|".join(s.replace(".", r"\.") for s in SEARCH_SKIP_SITES))
+        return on_listed_site(of_site(hit), SEARCH_SKIP_SITES)
 
     usable = F.filter("hits", lambda h: F.startswith(h["href"], F.lit("http")) & present(strip(h["title"])) & ~skipped(h))
     kept = _with_hits(pages).withColumn("usable", usable).select(
-        "search_term", "page_no", F.posexplode(_first_of_each(F.col("usable"), site)).alias("pos", "hit")
+        "search_term", "page_no", F.posexplode(_first_of_each(F.col("usable"), of_site)).alias("pos", "hit")
     )
     return kept.select(
         "search_term", "page_no", "pos",

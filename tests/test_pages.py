@@ -108,6 +108,16 @@ def test_enrich(spark, crawl_of):
     assert got[4]["score"] == 4 and got[1]["score"] == 0
 
 
+def test_pages_of_leads(spark, crawl_of):
+    crawl = crawl_of(page("https://a.fr/x", "1"), page("https://a.fr/contact", "2"), page("https://b.fr", "3"))
+    leads = spark.createDataFrame([lead(1, website="a.fr"), lead(2), lead(3, website="c.fr")], LEAD)
+    picked = enrich.pages_of(leads, crawl)
+    assert sorted(r["html"] for r in picked.collect()) == ["1", "2"]
+    assert "BroadcastHashJoin" in picked._jdf.queryExecution().executedPlan().toString()
+    assert enrich.pages_of(leads, crawl, most_bytes=10).count() == 3
+    assert enrich.pages_of(leads.where("lead_id = 2"), crawl).count() == 0
+
+
 def test_contact_frontier_order(spark):
     df = spark.createDataFrame([lead(1, website="a.fr/x"), lead(2), lead(3, website=" ")], LEAD)
     rows = enrich.contact_frontier(df).orderBy("pos").collect()
