@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from leadweave.session import settle
@@ -34,3 +35,16 @@ def components(links: DataFrame) -> DataFrame:
             break
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def least_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Within one task: for each of *n* nodes the least node reachable over the links *i*-*j*."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        root = root[root]
+        if (root == before).all():
+            return root

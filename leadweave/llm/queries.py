@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from leadweave.llm import mixing, secrets, simhash, substring, url_rules
+from leadweave.llm import (
+    embed_dedup, mixing, quality, secrets, sentencepiece, simhash, substring, token_store, topk, url_rules,
+)
 from leadweave.llm.common import table
+from leadweave.llm.sql import ORACLE_SQL  # noqa: F401  registered beside the queries
+from leadweave.session import shared_path
 
 # Fixed values of the contract: host, path, verdict.
 URL_RULES = (
@@ -19,6 +24,22 @@ URL_RULES = (
 )
 
 
+# Models and vocabularies are read where they lie on every worker.
+PIECE_MODEL, BYTE_VOCABULARY, END_ID = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken", 50256
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = documents.select("doc_id", sentencepiece.round_trip(F.col("text"), public_tokenizers.path(PIECE_MODEL)).alias("x"))
+    spans = F.concat_ws(",", F.array_join(F.col("x.starts").cast("array<string>"), ","), F.array_join(F.col("x.ends").cast("array<string>"), ","))
+    return found.select(
+        "doc_id", F.size("x.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("x.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("x.decoded", 256).alias("decoded_sha256"),
+        F.sha2(spans, 256).alias("spans_sha256"),
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
     # In training order, by the first position of a document; those not taken come last.
@@ -32,6 +53,23 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slot of the shards, as read back from them."""
+    folder = shared_path(spark, "shards")
+    n = token_store.write_shards(
+        table(spark, sf_dir, "documents"), folder,
+        public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN, END_ID,
+    )
+    if not n:
+        return spark.createDataFrame([], "slot long, shard long, n_ids long, ids_sha256 string")
+    slots = token_store.read_slots(spark, folder)
+    return slots.select("slot", "shard", (F.octet_length("tokens") / 2).cast("long").alias("n_ids"), F.sha2("tokens", 256).alias("ids_sha256"))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -54,6 +92,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.deduplicated(table(spark, sf_dir, "documents"), width=13)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -66,11 +114,14 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
+    "op3_token_store": op3_token_store,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_simhash": op6_simhash,
+    "op7_topk": op7_topk,
+    "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_rules": op10_url_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -56,7 +56,7 @@ ADDED = (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"Bearer\x20+([A-Za-z0-9._~+/=-]+)", 1, 20, True),
-    Rule("login_url", r"://[^\s/:@]+:([^\s/:@]+)@", 1, 6),
+    Rule("login_url", r"://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@", 1, 6),
 )
 RULES = BASE + ADDED
 
