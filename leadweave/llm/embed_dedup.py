@@ -132,6 +132,7 @@ def _compare(threshold: float, axes: dict[int, np.ndarray]) -> Callable[[Iterato
                 dim, same = pair["dim"], pair["same"]
                 read = lambda c, kind: np.frombuffer(pair[c], kind)
                 x, y = read("x_vectors", "<f8").reshape(-1, dim), read("y_vectors", "<f8").reshape(-1, dim)
+                extreme = any(not 1e-100 < m < 1e100 for v in (x, y) for m in (np.abs(v).max(axis=1).min(), np.abs(v).max()))
                 turn = axes.get(dim)
                 a, b = _unit(x), _unit(y)
                 a, b = (a, b) if turn is None else (a @ turn, b @ turn)
@@ -141,6 +142,7 @@ def _compare(threshold: float, axes: dict[int, np.ndarray]) -> Callable[[Iterato
                 keep = [np.empty(0, bool)]
                 for s in range(0, len(i), 1 << 14):
                     p, q = x[i[s:s + (1 << 14)]], y[j[s:s + (1 << 14)]]
+                    p, q = (v / np.abs(v).max(axis=1, keepdims=True) for v in (p, q)) if extreme else (p, q)
                     cosine = np.einsum("nd,nd->n", p, q) / (np.linalg.norm(p, axis=1) * np.linalg.norm(q, axis=1))
                     keep.append(cosine >= threshold)
                 near = np.concatenate(keep)
@@ -154,6 +156,22 @@ def _compare(threshold: float, axes: dict[int, np.ndarray]) -> Callable[[Iterato
     return rows
 
 
+def _leading(axes: dict[int, np.ndarray]) -> Callable[[Column], Column]:
+    """The coordinate of unit vectors along the first axis of their length, or the first one without axes."""
+
+    @F.arrow_udf("double")
+    def lead(batch: pa.Array) -> pa.Array:
+        found = np.zeros(len(batch))
+        sizes = batch.value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(sizes):
+            rows = np.flatnonzero(sizes == dim)
+            unit = _unit(_matrix(batch.take(pa.array(rows)), dim))
+            found[rows] = unit @ axes[dim][:, 0] if dim in axes else unit[:, 0]
+        return pa.array(found)
+
+    return lead
+
+
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, tile: int = TILE) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row per vector."""
     vectors = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
@@ -164,15 +182,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, tile: int =
     dims = classes.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     axes = {dims["dim"]: principal_axes(classes, dims["dim"])} if dims else {}
 
-    leading = {dim: turn[:, 0].tolist() for dim, turn in axes.items()}
-    lead = F.element_at("vector", 1) / F.sqrt(_squares(F.col("vector")))
-    for dim, axis in leading.items():
-        along = F.aggregate(
-            F.zip_with("vector", F.array(*map(F.lit, axis)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x
-        ) / F.sqrt(_squares(F.col("vector")))
-        lead = F.when(F.size("vector") == dim, along).otherwise(lead)
     placed = classes.select(
-        F.col("label").cast("long").alias("label"), F.size("vector").alias("dim"), lead.alias("lead"), "id", "n", "vector"
+        F.col("label").cast("long").alias("label"), F.size("vector").alias("dim"), _leading(axes)("vector").alias("lead"),
+        "id", "n", "vector",
     )
     ordered = placed.repartitionByRange("label", "dim", "lead", "id").sortWithinPartitions("label", "dim", "lead", "id")
     tiles = settle(ordered.mapInArrow(
@@ -207,7 +219,3 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, tile: int =
     return found.unionByName(alone).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
     )
-
-
-def _squares(vector: Column) -> Column:
-    return F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)

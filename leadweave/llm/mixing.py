@@ -105,9 +105,8 @@ def curriculum(
     spark = documents.sparkSession
     # The order within a source is by a keyed hash, cut into ranges of the hash: a source of any size
     # spreads over all ranges, and one row per range carries the running total.
-    key = F.xxhash64(F.lit(seed), "doc_id", "text")
     parts = spread(spark)
-    sized = settle(documents.select("doc_id", "source", n_words(whole_text()).alias("size"), key.alias("key")))
+    sized = settle(documents.select("doc_id", "source", n_words(whole_text()).alias("size"), _key(seed).alias("key"), _key(seed + 1).alias("twin")))
     cut = sized.withColumn("part", F.floor((F.shiftrightunsigned("key", 32) * parts) / F.lit(1 << 32)).cast("int"))
     cells = cut.groupBy("source", "part").agg(F.sum("size").alias("cell_size"))
     targets = source_targets(cells.withColumnRenamed("cell_size", "size"), schedules, budget, most)
@@ -124,7 +123,7 @@ def curriculum(
     )
     begin, words = F.col("start") + F.col("ahead"), F.round("target").cast("long")
     passes = F.sequence(F.lit(0), F.lit(int(most) + (most > int(most)) - 1))
-    middle = lambda p: (begin + p * F.col("source_size") + F.col("size") / 2) / F.col("target")
+    middle = lambda p: (begin + p * F.col("source_size") + F.col("size") / 2) / F.nullif("target", F.lit(0.0))
 
     def copy(p: Column) -> Column:
         due, time = F.least(middle(p), F.lit(1.0)), None
@@ -138,13 +137,38 @@ def curriculum(
         )
 
     taken = F.filter(F.transform(passes, copy), lambda c: c["words"] > 0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("copies"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("copies"), "key", "twin")
+
+
+def _key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+
+
+def mixed_documents(documents: DataFrame, seed: int = 7, **settings: object) -> DataFrame:
+    """The rows of *documents*, as often as the mix takes them, in training order.
+
+    Documents are taken whole: the one at which a source's demand ends is in if at least half of its words are.
+    Rows that agree in id, source and text are repeats: each comes as often as it is taken, with the other
+    columns of one of them.
+    """
+    plan = curriculum(documents, seed=seed, **settings)
+    whole = F.filter("copies", lambda c: 2 * c["words"] >= F.col("size"))
+    due = F.transform(whole, lambda c: c["position"])
+    taken = plan.groupBy(F.col("key").alias("_key"), F.col("twin").alias("_twin")).agg(
+        F.flatten(F.collect_list(due)).alias("_positions")
+    ).where(F.size("_positions") > 0)
+    given = documents.columns
+    rows = documents.withColumns({"_key": _key(seed), "_twin": _key(seed + 1)}).join(taken, ["_key", "_twin"])
+    repeat = F.row_number().over(Window.partitionBy("_key", "_twin").orderBy("_key"))
+    once = rows.withColumn("_repeat", repeat).where("_repeat = 1")
+    due_rows = once.select(*given, "_key", F.explode("_positions").alias("_position"))
+    return due_rows.repartitionByRange("_position", "_key").sortWithinPartitions("_position", "_key").select(*given)
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row per taken copy, sorted by training position over all partitions."""
     copies = mixed.select("*", F.explode("copies").alias("copy")).select(
-        *[c for c in mixed.columns if c != "copies"], "copy.pass", "copy.position", "copy.words"
+        *[c for c in mixed.columns if c not in ("copies", "key", "twin")], "copy.pass", "copy.position", "copy.words"
     )
     ties = F.xxhash64("doc_id", "pass")
     return copies.repartitionByRange("position", ties).sortWithinPartitions("position", ties)
