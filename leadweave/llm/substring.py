@@ -7,7 +7,7 @@ decide which hashes have to be counted across the cluster:
 1. Each window names its anchor, the least hash among the word runs (``ANCHOR`` words) within it. Equal
    windows have equal anchors, and neighbouring windows mostly share theirs, so a text has several
    times fewer anchors than windows. An anchor that only one document has rules out its windows.
-2. The windows under the other anchors are counted by two independent 64-bit hashes.
+2. The windows under the other anchors are counted by two independent hashes of 96 bits in all.
 
 In either step a task tells of each hash once: repeats within a segment (a bounded run of rows) are decided
 there. So a passage that a third of all documents hold sends one row per segment. Removed windows then
@@ -96,10 +96,39 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of equal values in a sorted array."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    return starts, np.diff(np.r_[starts, len(key)])
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values in sorted arrays."""
+    n = len(keys[0])
+    starts = np.flatnonzero(np.logical_or.reduce([np.r_[True, k[1:] != k[:-1]] for k in keys])) if n else np.empty(0, np.int64)
+    return starts, np.diff(np.r_[starts, n])
+
+
+def _rest(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[np.ndarray | None]:
+    """The values of each run after its first one, None if there are none."""
+    return [values[s + 1:s + n] if n > 1 else None for s, n in zip(starts.tolist(), counts.tolist())]
+
+
+def _places(ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """By document: its first place and the other ones."""
+    order = np.lexsort((place, ids))
+    ids, place = ids[order], place[order]
+    starts, counts = _groups(ids)
+    return ids[starts], place[starts], _rest(place, starts, counts)
+
+
+_PIECES = "one long, two int, doc_id long, place int, places array<int>"
+
+
+def _pieces(one: np.ndarray | None, two: np.ndarray | None, ids: np.ndarray, place: np.ndarray, rest: list) -> pa.RecordBatch:
+    """Windows of one document: those of one hash, or (no hash) those that are decided."""
+    hashes = [
+        pa.nulls(len(ids), kind) if h is None else pa.array(h.view(np.int64).astype(t))
+        for h, kind, t in ((one, pa.int64(), np.int64), (two, pa.int32(), np.int32))
+    ]
+    return pa.RecordBatch.from_arrays(
+        [*hashes, pa.array(ids), pa.array(place.astype(np.int32)), pa.array(rest, pa.list_(pa.int32()))],
+        ["one", "two", "doc_id", "place", "places"],
+    )
 
 
 def _anchor_rows(width: int, run: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -143,6 +172,7 @@ def _window_rows(width: int, run: int) -> Callable[[Iterator[pa.RecordBatch]], I
             at = np.flatnonzero(texts.whole)[at]
             ids = np.fromiter((r[0] for r in segment), np.int64, len(segment))[texts.row[at]]
             one, two = (texts.windows(b)[at] for b in _BASES)
+            two = _mixed(two) >> np.uint64(32)
             place = texts.place[at]
             order = np.lexsort((place, ids, two, one))
             one, two, ids, place = one[order], two[order], ids[order], place[order]
@@ -150,11 +180,10 @@ def _window_rows(width: int, run: int) -> Callable[[Iterator[pa.RecordBatch]], I
             least = ids[new][np.cumsum(new) - 1]
             # A larger id than the least one here is decided; the least one asks the other segments.
             decided = ids > least
-            for mask in (decided, ~decided):
-                hashes = [pa.array(h[mask].view(np.int64), mask=np.full(mask.sum(), mask is decided)) for h in (one, two)]
-                yield pa.RecordBatch.from_arrays(
-                    [*hashes, pa.array(ids[mask]), pa.array(place[mask].astype(np.int32))], ["one", "two", "doc_id", "place"]
-                )
+            yield _pieces(None, None, *_places(ids[decided], place[decided]))
+            one, two, ids, place = one[~decided], two[~decided], ids[~decided], place[~decided]
+            starts, counts = _groups(one, two)
+            yield _pieces(one[starts], two[starts], ids[starts], place[starts], _rest(place, starts, counts))
 
     return rows
 
@@ -208,16 +237,19 @@ def joined_words(text: Column) -> Column:
     return digest(text)
 
 
-def removed_windows(documents: DataFrame, width: int = WIDTH, run: int = ANCHOR) -> DataFrame:
-    """``doc_id, starts, text``: the documents with removed windows, and where those start (in words)."""
+def removed_windows(documents: DataFrame, copies: DataFrame, width: int = WIDTH, run: int = ANCHOR) -> DataFrame:
+    """``doc_id, starts``: the documents with removed windows, and where those start (in words).
+
+    *copies* are the ids that need no look, as all of their windows are in a smaller one.
+    """
     told = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    owned = shared_anchors(told, width, run)
-    asked = told.join(owned, "doc_id")
-    pieces = settle(asked.mapInArrow(_window_rows(width, run), "one long, two long, doc_id long, place int"))
+    owned = shared_anchors(told, width, run).join(copies, "doc_id", "left_anti")
+    pieces = settle(told.join(owned, "doc_id").mapInArrow(_window_rows(width, run), _PIECES))
     least = F.min("doc_id").over(Window.partitionBy("one", "two"))
     open_ = pieces.where("one is not null").withColumn("least", least).where("doc_id > least")
-    removed = pieces.where("one is null").select("doc_id", "place").unionByName(open_.select("doc_id", "place"))
-    return removed.groupBy("doc_id").agg(F.collect_set("place").alias("starts"))
+    removed = pieces.where("one is null").unionByName(open_.drop("least"))
+    every = F.array_union(F.array("place"), F.coalesce("places", F.array().cast("array<int>")))
+    return removed.groupBy("doc_id").agg(F.flatten(F.collect_list(every)).alias("starts"))
 
 
 def deduplicated(documents: DataFrame, width: int = WIDTH, run: int = ANCHOR) -> DataFrame:
@@ -230,7 +262,7 @@ def deduplicated(documents: DataFrame, width: int = WIDTH, run: int = ANCHOR) ->
     firsts = digests.where(F.col("n") >= width).groupBy("sha256").agg(F.min("doc_id").alias("first"))
     marked = digests.join(firsts, "sha256", "left")
     copies = settle(marked.where("doc_id > first").select("doc_id").distinct())
-    removed = removed_windows(documents, width, run).join(copies, "doc_id", "left_anti")
+    removed = removed_windows(documents, copies, width, run)
     cut = documents.where("text is not null").select("doc_id", "text").join(removed, "doc_id").mapInArrow(
         _cut_rows(width),
         "doc_id long, intervals array<struct<start:int,end:int>>, n_removed long, kept string",
