@@ -1,4 +1,7 @@
-"""Word lists and patterns the results depend on. Plain data, no logic."""
+"""Word lists and patterns the results depend on. Plain data, no logic.
+
+Sets are listed in alphabetical order, lists whose order counts in that order.
+"""
 
 # Legal forms dropped from company names.
 LEGAL_FORMS = ("sarl sas sa eurl sci snc ltd llc inc gmbh bv nv spa oy").split()
@@ -54,6 +57,9 @@ TITLE_SUFFIXES = [
     " - site officiel", " – site officiel", " | accueil", " - accueil", " | bienvenue",
 ]
 
+# Beginnings of an answer that keep a lead.
+ACCEPTED_ANSWERS = ["oui"]
+
 # Placeholder and platform e-mail domains.
 PLACEHOLDER_EMAIL_DOMAINS = (
     "bar.com company.com company.fr demo.com domain.com email.com example.com example.net "

@@ -11,13 +11,14 @@ from leadweave.fixed_values import (
 from leadweave.functions.html import find_all
 from leadweave.functions.text import contains_any, matches_any, present, strip
 
-_S = f"[{SPACE}]*"
+_S = f"[{SPACE}]*+"
 
 # Spelled-out "at" and "dot", with or without brackets.
 _AT = rf"{_S}(?:\[|\(|\{{)?{_S}(?:at|AT|At|arobase){_S}(?:\]|\)|\}})?{_S}"
 _DOT = rf"{_S}(?:\[|\(|\{{)?{_S}(?:dot|DOT|Dot|point){_S}(?:\]|\)|\}})?{_S}"
 _LOCAL = r"[a-zA-Z0-9._%+\-]+"
 _LABEL = r"[a-zA-Z0-9\-]+"
+# Fixed value: a spelled-out address.
 SPELLED_OUT = rf"({_LOCAL}){_AT}({_LABEL}(?:{_DOT}{_LABEL})+)"
 # Where a run of local-part characters begins, or where the last match ended. A match that fails
 # there fails at every later character of the run, so long runs cost one try instead of one each.

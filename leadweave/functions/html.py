@@ -19,13 +19,14 @@ _ENTITIES = "\x02".join(
     f"{name};\x03{chr(code)}"
     for name, code in {"amp": 38, "lt": 60, "gt": 62, "quot": 34, "nbsp": 160, "apos": 39, **name2codepoint}.items()
 )
-_REFERENCE = r"^(?:#[0-9]{1,8}(?![0-9])|#[xX][0-9a-fA-F]{1,7}(?![0-9a-fA-F])|[a-zA-Z][a-zA-Z0-9]*(?=;));?"
-_TAG = r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_REFERENCE = r"^(?:#[0-9]++|#[xX][0-9a-fA-F]++|[a-zA-Z][a-zA-Z0-9]*+(?=;));?"
+# What never ends runs to the end of the page, so that a pattern is not tried again behind it.
+_TAG = r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)"""
 _COMMENT = r"<!--.*?(?:-->|\z)"
 
 
 def _element(tag: str, body: str = ".*?") -> str:
-    return rf"<{tag}(?=[\s/>])[^>]*+>{body}(?:</{tag}\s*>|\z)"
+    return rf"<{tag}(?=[\s/>])[^>]*+(?:>|\z){body}(?:</{tag}\s*+>|\z)"
 
 
 def _none() -> Column:
@@ -42,10 +43,12 @@ def find_all(text: Column, pattern: str, group: int = 0, needs: str | None = Non
 
 def _character(reference: Column) -> Column:
     """The character of a numeric reference; empty for a number that is none."""
-    digits = F.regexp_extract(reference, "^#[xX]?([0-9a-fA-F]+)", 1)
-    number = F.when(reference.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10))
+    digits = F.regexp_extract(reference, "^#[xX]?0*+([0-9a-fA-F]*+)", 1)
+    number = F.when(F.length(digits) > 8, "0").when(
+        reference.rlike("^#[xX]"), F.conv(digits, 16, 10)
+    ).otherwise(F.conv(digits, 10, 10))
     valid = lambda n: ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n < 0x110000))
-    return let(number.cast("long"), lambda n: F.when(
+    return let(F.coalesce(number.cast("long"), F.lit(0)), lambda n: F.when(
         valid(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
     ).otherwise(""))
 
@@ -111,7 +114,8 @@ _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 def link_targets(markup_: Column) -> Column:
     """Decoded ``href`` values of all links, in page order."""
-    values = find_all(markup_, rf"(?is)<a(?=\s)[^>]*?\shref\s*=\s*{_VALUE}", 1)
+    # Up to the next link at most, so that links without target are not read to the end each.
+    values = find_all(markup_, rf"(?is)<a(?=\s)(?:(?!<a\s)[^>])*?\shref\s*+=\s*+{_VALUE}", 1)
     return F.transform(values, lambda v: decode_entities(_unquote(v)))
 
 
@@ -121,7 +125,7 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def _meta_content(markup_: Column, attribute: str, value: str) -> Column:
     """Content of the first meta tag whose attribute has exactly this value; empty if none."""
-    tags = find_all(markup_, r"""(?is)<meta(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+    tags = find_all(markup_, r"""(?is)<meta(?=[\s/])(?:[^>"']++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)""")
     wanted = rf"""\s(?i:{attribute})\s*=\s*(?:"{value}"|'{value}'|{value}(?=[\s/>]))"""
     first = F.get(F.filter(tags, lambda t: t.rlike(wanted)), F.lit(0))
     return F.coalesce(_attribute(first, "content"), F.lit(""))
@@ -140,19 +144,19 @@ def flat_element(markup_: Column, tag: str) -> Column:
     Null where a pattern cannot tell: elements nested in themselves, or never closed.
     """
     opening = rf"<{tag}(?=[\s/>])"
-    found = F.regexp_extract(markup_, rf"(?is){opening}[^>]*+>.*?</{tag}\s*>", 0)
+    pattern = rf"(?is){opening}[^>]*+(?:>|\z).*?(?:</{tag}\s*+>|\z)"
+    found = F.regexp_extract(markup_, pattern, 0)
     return let(found, lambda e: (
-        F.when((e == "") & ~markup_.rlike(f"(?i){opening}"), "")
-        .when((e != "") & ~e.rlike(f"(?is).{opening}"), e)
+        F.when(e == "", "").when(e.rlike(rf"(?i)</{tag}\s*+>\z") & ~e.rlike(f"(?is).{opening}"), e)
     ))
 
 
 def body_of(markup_: Column) -> Column:
     """What follows the body tag; without one, everything but the head."""
-    after = F.regexp_extract(markup_, r"(?is)<body(?=[\s/>])[^>]*+>(.*)\z", 1)
-    headless = F.regexp_replace(
-        markup_, r"(?is)<head(?=[\s>]).*?</head\s*>|<title(?=[\s>]).*?</title\s*>", _GAP
-    )
+    after = F.regexp_extract(markup_, r"(?is)<body(?=[\s/>])[^>]*+(?:>|\z)(.*)\z", 1)
+    # Up to the next such tag at most, so that unclosed ones are not read to the end each.
+    inside = lambda tag: rf"<{tag}(?=[\s>])(?:(?!<{tag}[\s>]).)*?</{tag}\s*+>"
+    headless = F.regexp_replace(markup_, rf"(?is){inside('head')}|{inside('title')}", _GAP)
     return F.when(markup_.rlike(r"(?is)<body(?=[\s/>])"), after).otherwise(headless)
 
 

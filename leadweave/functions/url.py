@@ -43,6 +43,16 @@ def site_key(url: Column, legacy: bool = False) -> Column:
     return F.nullif(site(url, legacy), F.lit(""))
 
 
+def resolved(link: Column, page: Column) -> Column:
+    """A link as an absolute URL, by the address of its page; as it is without one."""
+    origin = site_base(page)
+    folder = F.regexp_extract(page, r"^(https?://[^?#]*/)", 1)
+    below = F.when(folder.rlike("^https?://[^/]+/"), folder).otherwise(F.concat(origin, F.lit("/")))
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | origin.isNull(), link).when(
+        F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(page, "^(https?:)", 1), link)
+    ).when(F.startswith(link, F.lit("/")), F.concat(origin, link)).otherwise(F.concat(below, link))
+
+
 def is_http_url(url: Column) -> Column:
     return F.coalesce(url.rlike(r"^[\x00-\x20]*(?i:https?)://[^/?#]"), F.lit(False))
 

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from leadweave.functions.name import name_key
 from leadweave.functions.url import site_key
-from leadweave.operators.skew import skew_join, spread_min, with_bucket
-from leadweave.session import settle
+from leadweave.operators.skew import hot_keys, skew_join, spread_min, with_bucket
+from leadweave.session import discard, settle
 
 
 def duplicate_keys(sightings: DataFrame, legacy_hosts: bool = False) -> DataFrame:
@@ -41,6 +41,8 @@ def exact_slots(keys: DataFrame) -> DataFrame:
     """``(seq, name, slot)``: the slot is the ``seq`` of the company's first sighting."""
     # The bounds of the buckets read seq only, before any key is computed.
     keys = settle(with_bucket(keys, "seq", "bucket"))
+    if not keys.groupBy("seq").count().where("count > 1").isEmpty():
+        raise ValueError("seq must be unique among sightings")
     on_site = F.col("site").isNotNull()
     firsts = keys.where(on_site).groupBy("site").agg(F.min("seq").alias("seq"))
     marked = keys.join(firsts.select("seq", F.lit(True).alias("opens")), "seq", "left")
@@ -86,15 +88,22 @@ def _name_links(marked: DataFrame) -> DataFrame:
 
 
 def _site_slots(links: DataFrame) -> DataFrame:
-    """``(site, root)`` from ``(site, parent, root)``, doubling the step each round."""
-    while not links.where(F.col("root").isNull()).isEmpty():
-        open_ = links.where(F.col("root").isNull()).select("site", "parent")
-        target = links.select(
-            F.col("site").alias("parent"), F.col("parent").alias("next"), F.col("root")
+    """``(site, root)`` from ``(site, parent, root)``, doubling the step each round.
+
+    A round writes the links that are still open, and those that it has closed, apart: what was closed
+    before is not written again.
+    """
+    closed = links.where(F.col("root").isNotNull()).select("site", "root")
+    open_ = links.where(F.col("root").isNull()).select("site", "parent")
+    while not open_.isEmpty():
+        target = closed.select(F.col("site").alias("parent"), F.lit(None).cast("string").alias("next"), "root").unionByName(
+            open_.select(F.col("site").alias("parent"), F.col("parent").alias("next"), F.lit(None).cast("long").alias("root"))
         )
-        moved = skew_join(open_, target, "parent", "site").select("site", F.col("next").alias("parent"), "root")
-        links = settle(links.where(F.col("root").isNotNull()).unionByName(moved))
-    return links.select("site", "root")
+        hot = hot_keys(open_, "parent")
+        moved = settle(skew_join(open_, target, "parent", "site", hot=hot).select("site", F.col("next").alias("parent"), "root"))
+        closed = closed.unionByName(moved.where(F.col("root").isNotNull()).select("site", "root"))
+        open_ = moved.where(F.col("root").isNull()).select("site", "parent")
+    return closed
 
 
 def closure_slots(keys: DataFrame) -> DataFrame:
@@ -114,6 +123,7 @@ def _stars(edges: DataFrame) -> DataFrame:
     """
     edges = settle(edges)
     while not _is_star_forest(edges):
+        before = edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = spread_min(both, "a", "b", "b", "low")
         large = low.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
@@ -121,6 +131,7 @@ def _stars(edges: DataFrame) -> DataFrame:
         small = low.where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = small.unionByName(low.select("a", F.col("low").alias("b")))
         edges = settle(small.distinct())
+        discard(before)
     return edges
 
 
@@ -132,7 +143,7 @@ def _is_star_forest(edges: DataFrame) -> bool:
 
 
 def duplicate_slots(sightings: DataFrame, mode: str = "exact", legacy_hosts: bool = False) -> DataFrame:
-    """``(seq, slot)`` for every sighting; ``seq`` must be unique."""
+    """``(seq, slot)`` for every sighting. A repeated ``seq`` is an error."""
     keys = duplicate_keys(sightings, legacy_hosts)
     slots = exact_slots(keys) if mode == "exact" else closure_slots(keys)
     return slots.select("seq", "slot")

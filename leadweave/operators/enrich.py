@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from leadweave.fixed_values import (
-    CONTACT_PATHS, LOOKUP_SKIP_PARTS, MAX_CONTACT_PAGES, MIN_BLOCK_LENGTH, MIN_META_LENGTH,
+    CONTACT_PATHS, DESCRIPTION_LENGTH, LOOKUP_SKIP_PARTS, MAX_CONTACT_PAGES, MIN_BLOCK_LENGTH, MIN_META_LENGTH,
 )
 from leadweave.functions import email as E, html as H
 from leadweave.functions.dom import content_blocks
@@ -74,122 +76,164 @@ def with_blocks(pages: DataFrame) -> DataFrame:
         "blocks", content_blocks(F.when(~F.col("clear"), H.parsable(F.col("markup"))))
     )
     by_tree = F.get(F.filter(F.transform("blocks", drop_boilerplate), long), F.lit(0))
+    unread = ~F.col("clear") & F.col("markup").isNotNull() & F.col("blocks").isNull()
+    parsed = parsed.withColumn("unread", F.coalesce(unread, F.lit(False)))
     return parsed.withColumn("block", F.when(F.col("clear"), by_pattern).otherwise(by_tree)).drop(
         "blocks", "clear", "flat_main", "flat_article", "flat_section"
     )
 
 
-def with_description(pages: DataFrame) -> DataFrame:
-    """Add ``description``: meta text, else content block, else body text, cut to length."""
+def with_description(pages: DataFrame, length: int = DESCRIPTION_LENGTH) -> DataFrame:
+    """Add ``description``: meta text, else content block, else body text, cut to *length*.
+
+    Only pages whose meta text is too short are looked through for blocks; ``unread`` marks those that
+    the tree parser gave up on.
+    """
     meta = strip(H.meta_description(F.col("markup")))
-    described = with_blocks(pages.withColumn("meta", meta))
+    told = F.length("meta") > MIN_META_LENGTH
+    searched = pages.withColumn("meta", meta).withColumn("whole", F.col("markup")).withColumn(
+        "markup", F.when(~told, F.col("markup"))
+    )
+    described = with_blocks(searched)
     body = F.nullif(drop_boilerplate(H.text_of(H.body_of(F.col("markup")))), F.lit(""))
-    text = F.when(F.length("meta") > MIN_META_LENGTH, F.col("meta")).otherwise(F.coalesce("block", body))
-    return described.withColumn("description", cut(text)).drop("meta", "block")
+    text = F.when(told, F.col("meta")).otherwise(F.coalesce("block", body))
+    return described.withColumn("description", cut(text, length)).withColumn("markup", F.col("whole")).drop("meta", "block", "whole")
 
 
 def _candidates(strategy: int, found: Column) -> Column:
     return F.transform(found, lambda c: F.struct(F.lit(strategy).alias("strategy"), E.clean_email(c).alias("email")))
 
 
-def page_features(crawl: DataFrame) -> DataFrame:
-    """Per usable page: best address, its strategy (0 is best), description, and whether it has HTML."""
-    has_html = present(F.col("html"))
-    texts = with_page_text(usable_pages(crawl).withColumn("has_html", has_html))
+def page_contacts(pages: DataFrame) -> DataFrame:
+    """Add the best address of each usable page, its strategy (0 is best), and whether the page has HTML."""
+    texts = with_page_text(usable_pages(pages).withColumn("has_html", present(F.col("html"))))
     # One pass of cleaning and judging over the candidates of all strategies.
     tagged = F.concat(*[_candidates(i, found) for i, found in enumerate(email_strategies().values())])
     best = F.get(F.filter(tagged, lambda c: E.is_valid_email(c["email"])), F.lit(0))
-    found = with_description(texts.withColumn("best", best).drop("html", "visible", "scripts"))
-    return found.select(
-        "url", F.col("best.email").alias("email"), F.col("best.strategy").alias("strategy"), "description", "has_html"
+    found = texts.withColumn("best", best).drop("html", "visible", "scripts")
+    return found.withColumns({"email": F.col("best.email"), "strategy": F.col("best.strategy")}).drop("best")
+
+
+def page_features(crawl: DataFrame, length: int = DESCRIPTION_LENGTH) -> DataFrame:
+    """Per usable URL: best address, its strategy, description, and whether it has HTML."""
+    found = with_description(page_contacts(crawl), length)
+    return one_per_url(found.select("url", "email", "strategy", "description", "has_html", "unread"))
+
+
+def one_per_url(features: DataFrame) -> DataFrame:
+    """Of a URL crawled several times one page counts: with HTML first, then by best strategy, address and description."""
+    order = F.struct(
+        ~F.col("has_html"), F.coalesce("strategy", F.lit(99)), F.coalesce("email", F.lit("")), F.coalesce("description", F.lit(""))
     )
+    columns = [c for c in features.columns if c != "url"]
+    best = features.groupBy("url").agg(F.min_by(F.struct(*columns), order).alias("best"))
+    return best.select("url", *[F.col(f"best.{c}").alias(c) for c in columns])
 
 
 # --- contact pages of a site ---------------------------------------------------------------------
 
 
-def contact_frontier(leads: DataFrame) -> DataFrame:
+def contact_frontier(leads: DataFrame, paths: Sequence[str] = CONTACT_PATHS) -> DataFrame:
     """The contact-like URLs to request, in order: every lead's site with every path."""
-    paths = F.array(*[F.lit(p) for p in CONTACT_PATHS])
     return (
         leads.where(present(F.col("website")))
         .select("lead_id", site_base(with_scheme(F.col("website"))).alias("base"))
         .where(F.col("base").isNotNull())
-        .select("lead_id", "base", F.posexplode(paths).alias("pos", "path"))
+        .select("lead_id", "base", F.posexplode(F.array(*map(F.lit, paths))).alias("pos", "path"))
         .select("lead_id", "pos", F.concat("base", "path").alias("url"))
     )
 
 
-def _contact_pages(features: DataFrame) -> DataFrame:
+def contact_place(url: Column, paths: Sequence[str] = CONTACT_PATHS) -> Column:
+    """The place of a URL's path among *paths*, below zero if it is none of them."""
+    path = F.substring(url, F.length(site_base(url)) + 1, F.length(url))
+    return F.coalesce(F.array_position(F.array(*map(F.lit, paths)), path) - 1, F.lit(-1).cast("long"))
+
+
+def _contact_pages(features: DataFrame, paths: Sequence[str]) -> DataFrame:
     """The first contact pages of each site, ranked.
 
     The site and the path are read off the crawled URL, so sites need not be multiplied by paths.
-    URLs are unique, hence a site has at most one page per path and groups stay small.
+    Features are unique by URL, hence a site has at most one page per path and groups stay small.
     """
-    paths = F.array(*[F.lit(p) for p in CONTACT_PATHS])
-    base = site_base(F.col("url"))
-    pos = F.array_position(paths, F.substring("url", F.length(base) + 1, F.length("url"))) - 1
-    placed = features.where("has_html").select("*", base.alias("base"), pos.alias("pos")).where("pos >= 0")
+    placed = features.where("has_html").select(
+        "*", site_base(F.col("url")).alias("base"), contact_place(F.col("url"), paths).alias("pos")
+    ).where("pos >= 0")
     rank = F.row_number().over(Window.partitionBy("base").orderBy("pos"))
     return placed.withColumn("rank", rank).where(F.col("rank") <= MAX_CONTACT_PAGES)
 
 
-def site_contacts(features: DataFrame) -> DataFrame:
+def site_contacts(features: DataFrame, paths: Sequence[str] = CONTACT_PATHS) -> DataFrame:
     """Per site: its contact page, how many pages were kept, and the best address on them.
 
     The contact page comes first; among the others the strategy counts before the page.
     """
     order = F.struct(F.col("rank") > 1, "strategy", "rank")
-    return _contact_pages(features).groupBy("base").agg(
+    return _contact_pages(features, paths).groupBy("base").agg(
         F.min_by("url", "rank").alias("found_page"),
         F.count("*").alias("n_pages"),
         F.min_by("email", F.when(F.col("email").isNotNull(), order)).alias("site_email"),
     )
 
 
-def lead_pages(leads: DataFrame, features: DataFrame) -> DataFrame:
-    """Leads with the address and description of their homepage and the contacts of their site.
-
-    Both inputs are read several times: settle them first if they are costly.
-    """
+def _with_urls(leads: DataFrame) -> DataFrame:
+    """Add ``url`` (the website with scheme), ``base`` (its site) and ``fetch`` (the homepage to read)."""
     url = F.when(present(F.col("website")), with_scheme(F.col("website")))
-    keyed = leads.withColumn("url", url).withColumns({
+    return leads.withColumn("url", url).withColumns({
         "base": site_base(F.col("url")), "fetch": F.when(is_http_url(F.col("url")), F.col("url")),
     })
-    home = features.select(
+
+
+def lead_pages(leads: DataFrame, homes: DataFrame, contacts: DataFrame, paths: Sequence[str] = CONTACT_PATHS) -> DataFrame:
+    """Leads with the address and description of their homepage and the contacts of their site.
+
+    *homes* and *contacts* are features of pages, unique by URL. All are read several times: settle
+    them first if they are costly.
+    """
+    keyed = _with_urls(leads)
+    home = homes.select(
         F.col("url").alias("fetch"), F.col("email").alias("home_email"), F.col("description").alias("home_description")
     )
     joined = skew_join(keyed, home, "fetch", "lead_id")
-    contacts = site_contacts(features)
-    return skew_join(joined, contacts, "base", "lead_id", hot=hot_keys(keyed, "base")).drop("base", "fetch")
-
-
-# Up to this many bytes of site names are sent to every executor to pick their pages.
-SITE_LIST_BYTES = 64 << 20
+    found = site_contacts(contacts, paths)
+    return skew_join(joined, found, "base", "lead_id", hot=hot_keys(keyed, "base")).drop("base", "fetch")
 
 
-def pages_of(leads: DataFrame, crawl: DataFrame, most_bytes: int = SITE_LIST_BYTES) -> DataFrame:
-    """The crawled pages on the sites of *leads*, picked in the scan without moving any HTML.
+def pages_of(leads: DataFrame, crawl: DataFrame, paths: Sequence[str] = CONTACT_PATHS) -> tuple[DataFrame, DataFrame]:
+    """The crawled pages that *leads* can use: their homepages, and the contact-like pages of their sites.
 
-    The list of sites is measured first. If it is too long to broadcast, the leads are so many that
-    all pages are kept; the joins that follow find theirs.
+    The URL alone decides, before any HTML is looked at. The lists of URLs and sites are written, so their
+    sizes are known to the joins.
     """
-    base = site_base(with_scheme(F.col("website")))
-    sites = leads.where(present(F.col("website"))).select(base.alias("base")).where("base is not null").distinct()
-    if (sites.agg(F.sum(F.octet_length("base") + 16)).first()[0] or 0) > most_bytes:
-        return crawl
-    return crawl.join(F.broadcast(sites), site_base(F.col("url")) == F.col("base"), "left_semi")
+    asked = settle(_with_urls(leads).where("url is not null").select("fetch", "base").distinct())
+    homes = asked.where("fetch is not null").select(F.col("fetch").alias("url")).distinct()
+    sites = asked.where("base is not null").select("base").distinct()
+    contact = crawl.where(contact_place(F.col("url"), paths) >= 0)
+    return (
+        crawl.join(homes, "url", "left_semi"),
+        contact.join(sites, site_base(F.col("url")) == F.col("base"), "left_semi"),
+    )
 
 
-def enriched(leads: DataFrame, crawl: DataFrame) -> DataFrame:
+def enriched(
+    leads: DataFrame, crawl: DataFrame, paths: Sequence[str] = CONTACT_PATHS, length: int = DESCRIPTION_LENGTH,
+    unread: Observation | None = None,
+) -> DataFrame:
     """Leads with e-mail, description and contact page from their site.
 
     A lead without website stays as it is; the others get the full URL even if no page was found,
-    and lose an earlier contact page.
+    and lose an earlier contact page. *unread* counts the homepages that could not be parsed.
     """
-    features = settle(page_features(pages_of(leads, crawl)))
+    home_pages, contact_pages = pages_of(leads, crawl, paths)
+    homes = page_features(home_pages, length)
+    if unread is not None:
+        homes = homes.observe(unread, F.count_if("unread").alias("pages_unread"))
+    homes = settle(homes)
+    # Contact pages are read for addresses only.
+    contacts = page_contacts(contact_pages).withColumn("description", F.lit(None).cast("string"))
+    contacts = settle(one_per_url(contacts.select("url", "email", "strategy", "description", "has_html")))
     has_site = F.col("url").isNotNull()
-    found = lead_pages(leads, features)
+    found = lead_pages(leads, homes, contacts, paths)
     return found.select(
         "lead_id", "company_name",
         F.when(has_site, F.col("url")).otherwise(F.col("website")).alias("website"),

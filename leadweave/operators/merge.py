@@ -21,18 +21,28 @@ def _longest(c: str) -> Column:
     return F.max_by(c, order).alias(c)
 
 
+def merged_sources(records: DataFrame, slot: str) -> DataFrame:
+    """``slot, every``: the distinct sources of each slot, sorted. Repeats go before any list is made."""
+    pairs = records.select(slot, F.explode("sources").alias("source")).where("source is not null").distinct()
+    return pairs.groupBy(slot).agg(F.array_sort(F.collect_list("source")).alias("every"))
+
+
 def merge_records(records: DataFrame, slot: str) -> DataFrame:
     """One lead per *slot*. Every aggregate combines before the shuffle and has a bounded state."""
     alone = F.min("seq") == F.max("seq")
-    return records.groupBy(slot).agg(
+    merged = records.groupBy(slot).agg(
         _earliest("company_name"), _earliest("website"), _earliest("email"),
         _longest("description"), _earliest("contact_page"), _earliest("address"),
-        F.when(alone, F.min_by("sources", "seq"))
-        # Lists of source names repeat, so the distinct lists are few.
-        .otherwise(F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources"))))).alias("sources"),
+        F.when(alone, F.min_by("sources", "seq")).alias("own"),
+        F.when(~alone, F.lit(True)).alias("several"),
         F.lit(0).alias("score"),
         F.min("seq").alias("seq"),
     )
+    every = F.coalesce("every", F.array().cast("array<string>"))
+    joined = merged.join(merged_sources(records, slot), slot, "left")
+    sources = F.when(F.col("several"), every).otherwise(F.col("own"))
+    columns = [c for c in merged.columns if c not in ("own", "several")]
+    return joined.withColumn("sources", sources).select(*columns[:-2], "sources", *columns[-2:])
 
 
 def merge_duplicates(records: DataFrame, slots: DataFrame) -> DataFrame:

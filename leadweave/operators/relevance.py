@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leadweave.fixed_values import ACCEPTED_ANSWERS
 from leadweave.functions.text import first_present, strip
 
-# Beginnings of an answer that keep a lead.
-ACCEPTED = ["oui"]
 # Fixed value: stands for a missing description.
 NO_DESCRIPTION = "Non disponible"
 
@@ -24,16 +25,18 @@ def relevance_requests(leads: DataFrame, query: str) -> DataFrame:
     return leads.select(F.col("lead_id").alias("lead_key"), text.alias("request"))
 
 
-def keeps(answer: Column, error: Column) -> Column:
-    """An accepted answer keeps, any other refuses, an error keeps."""
+def keeps(answer: Column, error: Column, accepted: Sequence[str] = ACCEPTED_ANSWERS) -> Column:
+    """An answer that begins like an *accepted* one keeps, any other refuses, an error keeps."""
     said = F.lower(strip(F.coalesce(answer, F.lit(""))))
-    accepted = F.lit(False)
-    for start in ACCEPTED:
-        accepted = accepted | F.startswith(said, F.lit(start))
-    return error.isNotNull() | accepted
+    kept = error.isNotNull()
+    for start in accepted:
+        kept = kept | F.startswith(said, F.lit(start.lower()))
+    return kept
 
 
-def judged(leads: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Leads with a ``kept`` flag. A lead without verdict counts as an error. Keys are unique."""
-    flags = verdicts.select(F.col("lead_key").alias("lead_id"), keeps(F.col("answer"), F.col("error")).alias("kept"))
+def judged(leads: DataFrame, verdicts: DataFrame, accepted: Sequence[str] = ACCEPTED_ANSWERS) -> DataFrame:
+    """Leads with a ``kept`` flag. A lead without verdict counts as an error; of several verdicts on a lead
+    one that keeps it is enough."""
+    kept = keeps(F.col("answer"), F.col("error"), accepted)
+    flags = verdicts.groupBy(F.col("lead_key").alias("lead_id")).agg(F.bool_or(kept).alias("kept"))
     return leads.join(flags, "lead_id", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))

@@ -7,24 +7,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leadweave.session import fan_out
 
-# At most this many keys are treated as hot. Any other key then holds less than 1/HOT_KEYS of
-# the rows, or fewer than the hot-row threshold.
-HOT_KEYS = 256
 _HOT_ROWS_SETTING = "leadweave.skew.hotRows"
 _HOT_ROWS_DEFAULT = "100000"
-# Above this, Spark does not prune window groups before the shuffle.
-_WINDOW_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
+# A key counts as hot from this part of a shuffle partition's fair share of the rows on.
+_HOT_SHARE = 0.25
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """The most frequent keys, HOT_KEYS at most, so that the list is bounded whatever the data.
+    """The keys that would weigh on a partition; by share of the rows, so there are only a few per partition.
 
-    Counts combine before the shuffle. *df* is read once more for this: pass a settled frame or a
+    Counts combine before the shuffle. *df* is read twice more for this: pass a settled frame or a
     cheap one.
     """
-    hot_rows = int(df.sparkSession.conf.get(_HOT_ROWS_SETTING, _HOT_ROWS_DEFAULT))
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= hot_rows)
-    return counts.orderBy(F.desc("count"), key).limit(HOT_KEYS).select(key)
+    spark = df.sparkSession
+    hot_rows = int(spark.conf.get(_HOT_ROWS_SETTING, _HOT_ROWS_DEFAULT))
+    keyed = df.where(F.col(key).isNotNull())
+    least = max(hot_rows, int(keyed.count() * _HOT_SHARE / fan_out(spark)))
+    return keyed.groupBy(key).count().where(F.col("count") >= least).select(key)
 
 
 def skew_join(
@@ -78,11 +77,14 @@ def with_bucket(df: DataFrame, order: str, out: str = "_bucket") -> DataFrame:
     return bucketed.withColumn(out, F.col(out).cast("int"))
 
 
-def numbered(df: DataFrame, groups: list[str], order: str, out: str, across: list[Column] | None = None) -> DataFrame:
+def numbered(
+    df: DataFrame, groups: list[str], order: str, out: str, across: list[Column] | None = None, upto: int | None = None
+) -> DataFrame:
     """Add the 1-based position by *order* within *groups*, for groups of any size.
 
     Rows are numbered within buckets of *order*; the bucket totals, few per group, give the start
-    of each bucket. With *across*, groups follow one another in that order and numbers run on.
+    of each bucket. With *across*, groups follow one another in that order and numbers run on. With *upto*,
+    buckets that begin behind that position are left out.
     """
     bucketed = with_bucket(df, order)
     cell = [*groups, "_bucket"]
@@ -90,23 +92,19 @@ def numbered(df: DataFrame, groups: list[str], order: str, out: str, across: lis
     before = Window.partitionBy(*groups).orderBy("_bucket") if across is None else Window.orderBy(*across, "_bucket")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*cell, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    starts = starts if upto is None else starts.where(F.col("_start") < upto)
     within = Window.partitionBy(*cell).orderBy(order)
     return (
-        bucketed.withColumn("_place", F.row_number().over(within))
-        .join(starts, cell)
+        bucketed.join(starts, cell)
+        .withColumn("_place", F.row_number().over(within))
         .withColumn(out, F.col("_start") + F.col("_place"))
         .drop("_bucket", "_start", "_place")
     )
 
 
 def first_per_group(df: DataFrame, groups: list[str], order: str, n: int, out: str = "rank") -> DataFrame:
-    """The first *n* rows of each group, with their position.
+    """The first *n* rows of each group, with their position; the same way for any *n*.
 
-    A small *n* prunes every task's share of a group before the shuffle; a large one goes by
-    numbered buckets.
+    Buckets of *order* that begin behind the first *n* rows of their group drop out before any sort.
     """
-    if n <= int(df.sparkSession.conf.get(_WINDOW_LIMIT_SETTING, "1000")):
-        ranked = df.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(order)))
-    else:
-        ranked = numbered(df, groups, order, out)
-    return ranked.where(F.col(out) <= n).withColumn(out, F.col(out).cast("long"))
+    return numbered(df, groups, order, out, upto=n).where(F.col(out) <= n).withColumn(out, F.col(out).cast("long"))

@@ -13,7 +13,8 @@ from leadweave.operators.dedup import duplicate_slots
 from leadweave.operators.merge import merge_duplicates
 from leadweave.session import settle
 from leadweave.sinks.export import export
-from leadweave.sources.registry import discover
+from leadweave.sources.registry import discover, source_counts
+from leadweave.sources.result_pages import place_addresses
 
 
 @dataclass
@@ -27,7 +28,9 @@ class LandedTables:
     directory_pages: DataFrame | None = None
     lookup_pages: DataFrame | None = None
     search_pages: DataFrame | None = None
+    # Addresses for the back-fill: ready ones, or the landed map searches for single leads.
     places: DataFrame | None = None
+    address_pages: DataFrame | None = None
     verdicts: DataFrame | None = None
 
 
@@ -37,6 +40,7 @@ class LeadRun:
 
     kept: DataFrame
     refused: DataFrame | None
+    sources: DataFrame  # sightings found per source
     counters: dict[str, Observation] = field(default_factory=dict)
 
     def ranked(self) -> DataFrame:
@@ -63,12 +67,19 @@ def run(tables: LandedTables, settings: Settings) -> LeadRun:
 
     # Source parsing runs once; the keys and the merge both read the result.
     sightings = settle(counted(discover(tables, settings), "discovered"))
+    found = source_counts(sightings)
     merged = merged_leads(sightings, settings.dedup_mode, settings.legacy_hosts)
     # The joins count their hot keys on the merged leads, so these are written once.
     merged = settle(counted(merged, "merged"))
-    leads = filters.valid_leads(enrich.enriched(merged, tables.crawl))
-    if settings.address_backfill and tables.places is not None:
-        leads = enrich.with_backfilled_address(leads, tables.places, settings.location, earlier=merged)
+    counters["pages"] = Observation("pages")
+    leads = filters.valid_leads(enrich.enriched(
+        merged, tables.crawl, settings.contact_paths, settings.max_description_length, counters["pages"]
+    ))
+    places = tables.places
+    if places is None and tables.address_pages is not None:
+        places = place_addresses(tables.address_pages, tables.place_pages)
+    if settings.address_backfill and places is not None:
+        leads = enrich.with_backfilled_address(leads, places, settings.location, earlier=merged)
         leads = counted(leads, "valid", F.count_if("address_filled").alias("addresses_filled"))
         leads = leads.drop("address_filled")
     else:
@@ -84,11 +95,11 @@ def run(tables: LandedTables, settings: Settings) -> LeadRun:
     leads = filters.with_fields(leads, settings.only)
     leads = counted(score.with_min_score(leads, settings.min_score), "selected")
     if tables.verdicts is None:
-        return LeadRun(settle(leads), None, counters)
+        return LeadRun(settle(leads), None, found, counters)
     # Written once: both halves read it.
-    judged = settle(relevance.judged(leads, tables.verdicts))
+    judged = settle(relevance.judged(leads, tables.verdicts, settings.accepted_answers))
     kept, refused = (judged.where(F.col("kept") == flag).drop("kept") for flag in (True, False))
-    return LeadRun(kept, refused, counters)
+    return LeadRun(kept, refused, found, counters)
 
 
 def run_and_export(tables: LandedTables, settings: Settings, at: datetime | None = None) -> list[str]:

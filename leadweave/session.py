@@ -41,16 +41,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def fan_out(spark: SparkSession) -> int:
-    """Into how many parts a hot group is split."""
-    return max(8, min(2000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
+def discard(*settled: DataFrame) -> None:
+    """Delete the tables of *settled* frames that nothing will read again."""
+    for df in settled:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+        if path is not None and path.getName().startswith("settled-"):
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
-def spread_scan(scan: DataFrame, key: str) -> DataFrame:
-    """A scan of wide rows, spread by *key* if it has fewer partitions than there are cores.
 
-    Meant for page and document text, where the work per row is heavy. A large table has many more
-    partitions than cores and is returned as it is, without a shuffle. *scan* must be a plain scan.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+def fan_out(spark: SparkSession) -> int:
+    """Into how many parts a hot group is split: as many as a shuffle has."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -16,7 +16,7 @@ from leadweave.operators.skew import first_per_group
 from leadweave.session import settle
 from leadweave.sources import result_pages as R
 
-# Above any rank: page numbers below a million, times the step of a page.
+# Above any rank; a rank beyond it is an error.
 _RUN_STEP = 1 << 52
 
 
@@ -38,18 +38,19 @@ def _columns(df: DataFrame) -> DataFrame:
 
 def maps_source(tables, settings) -> DataFrame:
     """Place pages of the first place links. The limit counts links, before names are read."""
-    urls = R.place_urls(_of_search(tables.feed_pages, settings))
     # Written, the links have a known size: a short list is broadcast, and only its pages are parsed.
+    urls = settle(R.place_urls(_of_search(tables.feed_pages, settings)))
     urls = settle(_limited(urls, settings).select("url", "source_rank"))
-    return _columns(R.place_rows(tables.place_pages.join(urls, "url")))
+    pages = tables.place_pages.join(urls.select("url"), "url", "left_semi")
+    return _columns(R.place_rows(pages).join(urls, "url"))
 
 
 def directory_source(tables, settings) -> DataFrame:
     """The first directory cards, with websites looked up by name."""
     cards = R.directory_cards(_of_search(tables.directory_pages, settings))
     cards = cards.withColumn("place_order", R.result_order("page_no", "pos")).withColumnRenamed("name", "company_name")
-    cards = _limited(cards, settings)
-    # The look-up reads the cards twice; their pages should be parsed once.
+    # What follows reads the cards several times; their pages should be parsed once.
+    cards = _limited(settle(cards), settings)
     cards = settle(cards.select("company_name", "address", "source_rank", F.lit(None).cast("string").alias("website")))
     asked = cards.select(lookup_term(settings.location).alias("search_term"))
     hits = R.search_hits(tables.lookup_pages.join(asked, "search_term", "left_semi"))
@@ -60,7 +61,7 @@ def search_source(tables, settings) -> DataFrame:
     """The first leads among the search hits."""
     leads = R.search_leads(_of_search(tables.search_pages, settings), settings.legacy_hosts)
     leads = leads.withColumn("place_order", R.result_order("page_no", "pos"))
-    return _columns(_limited(leads, settings))
+    return _columns(_limited(settle(leads), settings))
 
 
 SOURCES = {"maps": maps_source, "pj": directory_source, "google": search_source}
@@ -90,11 +91,20 @@ def union_sources(frames: list[tuple[str, DataFrame]]) -> DataFrame:
 def arrived(sightings: DataFrame) -> DataFrame:
     """Add the arrival order ``seq`` and the tag.
 
-    ``seq`` packs run position and rank, so no global numbering is needed.
+    ``seq`` packs run position and rank, so no global numbering is needed. A rank that does not fit fails.
     """
     tag = F.array("source")
     tags = F.array_union("sources", tag) if "sources" in sightings.columns else tag
-    return sightings.withColumn("seq", F.col("run_pos") * F.lit(_RUN_STEP) + F.col("source_rank")).withColumn("sources", tags)
+    fits = (F.col("source_rank") >= 0) & (F.col("source_rank") < _RUN_STEP)
+    seq = F.when(fits, F.col("run_pos") * F.lit(_RUN_STEP) + F.col("source_rank")).otherwise(
+        F.raise_error(F.lit("source_rank must lie between 0 and 2^52")).cast("long")
+    )
+    return sightings.withColumn("seq", seq).withColumn("sources", tags)
+
+
+def source_counts(sightings: DataFrame) -> DataFrame:
+    """Sightings per source, from their tags."""
+    return sightings.select(F.explode("sources").alias("source")).groupBy("source").agg(F.count("*").alias("n_leads"))
 
 
 def discover(tables, settings) -> DataFrame:

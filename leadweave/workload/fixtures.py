@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadweave.fixed_values import CONTACT_PATHS
-from leadweave.session import spread_scan
 
 LOCATION = "Bordeaux"
 
@@ -52,6 +51,10 @@ FROM (
     FROM {pages}) a
   GROUP BY url) c
 JOIN {pages} p ON p.page_id = c.page_id
+UNION ALL
+SELECT url, 200, 'text/html', '<![foo[ x ]]><p>second@copy' || page_id || '.fr</p>' || html FROM {pages} WHERE page_id % 29 < 2
+UNION ALL
+SELECT url || '/blog/' || page_id, 200, 'text/html', html FROM {pages}
 """
 
 # Sightings by order; all sightings of a customer are one company.
@@ -123,7 +126,7 @@ SEARCH_PAGES = """
 SELECT page_id, search_term, page_no, 'https://www.google.fr/search?q=x' AS url,
   '<html><body><div class="g"><div><a href="' || href1 || '"><h3>' || title1 || '</h3></a></div><div class="VwiC3b"><span>' || snippet1 || '</span></div></div>'
   || '<div data-hveid="x"><a href=''' || href2 || '''><br><h3> Second <b>' || page_id || '</b></h3></a></div>'
-  || '<div><a href="' || href3 || '"><h3>Maps</h3></a></div><h3>No link</h3><div><a href="/settings"><h3>Own</h3></a></div></body></html>' AS html
+  || '<div><a href="' || href3 || '"><h3>Maps</h3></a></div><h3>No link</h3><div><a href="/settings"><h3>Own</h3></a></div><a href="http://[x"><h3>Bad</h3></a></body></html>' AS html
 FROM {hits}
 """
 CARDS = """
@@ -148,7 +151,7 @@ FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey
 FEED_PAGES = """
 SELECT search_term, place_no AS page_no,
   '<div role="feed"><a href="' || url || '">one</a><a href="https://other.fr/">no</a><a href="' || url || '">again</a>'
-  || '<a href="https://www.google.com/maps/place/' || (place_no - 1) || '">two</a></div>' AS html
+  || '<a href="/maps/place/' || (place_no - 1) || '">two</a></div>' AS html, 'https://www.google.com/maps/search/x' AS url
 FROM {places_seen}
 """
 PLACE_PAGES = """
@@ -159,6 +162,16 @@ SELECT url,
   || CASE place_no % 3 WHEN 0 THEN coalesce('<a data-item-id="authority" href="' || website || '">s</a>', '')
        ELSE '<a data-item-id="authority" href="/local">l</a>' || coalesce('<a aria-label="Visiter le site web" href="' || website || '">s</a>', '') END AS html
 FROM {places_seen}
+UNION ALL
+SELECT url, '<h1>Another page</h1>' FROM {places_seen} WHERE place_no % 8 = 0
+"""
+
+# Map searches for single places: some show the place itself, the others a list.
+ADDRESS_PAGES = """
+SELECT name || ' {location}' AS search_term, 0 AS page_no, 'https://www.google.com/maps/search/x' AS url,
+  CASE WHEN place_no % 3 = 0 THEN '<h1>x</h1><button data-item-id="address"><b class="fontBodyMedium"> direct ' || place_no || ' </b></button>'
+       ELSE '<div role="feed"><a href="/maps/place/' || place_no || '">one</a><a href="/maps/place/' || (place_no + 1) || '">two</a></div>' END AS html
+FROM {places_seen}
 """
 
 # Look-up results: own sites behind directory hits, and addresses of first places.
@@ -187,6 +200,19 @@ VERDICTS = """
 SELECT seq AS lead_key, CASE seq % 6 WHEN 0 THEN ' Oui.' WHEN 1 THEN 'yes' WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN 'OUI, tout à fait' ELSE 'non' END AS answer,
        CASE WHEN seq % 9 = 0 THEN 'timeout' END AS error
 FROM {sightings} WHERE email IS NOT NULL
+UNION ALL
+SELECT seq, 'non', NULL FROM {sightings} WHERE email IS NOT NULL AND seq % 8 = 0
+"""
+# Keyed by the arrival order of a run over maps, pj and google.
+LEAD_VERDICTS = """
+SELECT CASE source WHEN 'maps' THEN 0 WHEN 'pj' THEN 1 ELSE 2 END * 4503599627370496 + source_rank AS lead_key, seq AS first_seq, CASE seq % 3 WHEN 0 THEN 'Oui' WHEN 1 THEN 'non' END AS answer, CASE WHEN seq % 3 = 2 THEN 'timeout' END AS error
+FROM {raw_leads}
+"""
+
+# Look-up result pages for the names on directory cards.
+LOOKUP_PAGES = """
+SELECT c.name1 || ' {location}' AS search_term, s.page_no, s.url, s.html
+FROM {cards} c JOIN {search_pages} s ON s.page_id = c.page_no
 """
 
 RECIPES = {
@@ -194,17 +220,15 @@ RECIPES = {
     "spellings": SPELLINGS, "dressed": DRESSED, "hits": HITS, "search_pages": SEARCH_PAGES, "cards": CARDS,
     "directory_pages": DIRECTORY_PAGES, "places_seen": PLACES_SEEN, "feed_pages": FEED_PAGES,
     "place_pages": PLACE_PAGES, "lookup_hits": LOOKUP_HITS, "places": PLACES, "verdicts": VERDICTS,
+    "lead_verdicts": LEAD_VERDICTS, "address_pages": ADDRESS_PAGES, "lookup_pages": LOOKUP_PAGES,
 }
 GIVEN = ["supplier", "customer", "nation", "orders", "pages", "documents"]
-# Tables of long texts, with their keys.
-TEXT_KEYS = {"pages": "page_id", "documents": "doc_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given or derived table as a DataFrame."""
     if name in GIVEN:
-        scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return spread_scan(scan, TEXT_KEYS[name]) if name in TEXT_KEYS else scan
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     recipe = RECIPES[name].replace("{location}", LOCATION)
     inputs = {n: table(spark, sf_dir, n) for n in [*GIVEN, *RECIPES] if "{%s}" % n in recipe}
     return spark.sql(recipe, **inputs)

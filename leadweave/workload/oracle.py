@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from leadweave import fixed_values as V
 from leadweave.workload.fixtures import LOCATION, RECIPES, inputs_of, recipe_sql
+from leadweave.workload.queries import FEW_PATHS, SHORT
 
 
 def _q(text: str) -> str:
@@ -71,10 +72,10 @@ def squeezed(c):
     return f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
 
 
-def cut(c, tail=".,;:"):
-    head = f"regexp_replace(substring({c}, 1, 300), ' [^ ]*$', '')"
+def cut(c, tail=".,;:", length=300):
+    head = f"regexp_replace(substring({c}, 1, {length}), ' [^ ]*$', '')"
     head = f"rtrim({head}, '{tail}')" if tail else head
-    return f"CASE WHEN length({c}) <= 300 THEN {c} ELSE {head} || '…' END"
+    return f"CASE WHEN length({c}) <= {length} THEN {c} ELSE {head} || '…' END"
 
 
 def listed(site, sites):
@@ -164,14 +165,24 @@ _META = """CASE meta_kind WHEN 0 THEN 'About études and more, number ' || page_
   WHEN 2 THEN 'short' ELSE '' END"""
 
 
-def _enriched(leads: str) -> str:
+def _contacts(name: str, rows: str, features: str, paths: str) -> dict[str, str]:
+    return {
+        rows: f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY pos) AS rank FROM (
+  SELECT *, {site_base('url')} AS base, list_position({paths}, substring(url, length({site_base('url')}) + 1)) AS pos FROM {features}) p
+  WHERE pos > 0) r WHERE rank <= 4""",
+        name: f"""SELECT base, arg_min(url, rank) AS found_page, count(*) AS n_pages,
+  arg_min(email, (rank > 1, strategy, rank)) FILTER (WHERE email IS NOT NULL) AS site_email FROM {rows} GROUP BY base""",
+    }
+
+
+def _enriched(leads: str, features: str = "features", contacts: str = "contacts") -> str:
     return f"""SELECT l.lead_id, l.company_name, CASE WHEN l.url IS NULL THEN l.website ELSE l.url END AS website,
   CASE WHEN l.url IS NULL THEN l.email ELSE coalesce(s.site_email, h.email, l.email) END AS email,
   coalesce(h.description, l.description) AS description,
   CASE WHEN l.url IS NULL THEN l.contact_page ELSE s.found_page END AS contact_page, l.address, l.sources,
   h.email AS home_email, h.description AS home_description, l.url
 FROM (SELECT *, CASE WHEN {present('website')} THEN {with_scheme('website')} END AS url FROM {leads}) l
-LEFT JOIN features h ON h.url = l.url LEFT JOIN contacts s ON s.base = {site_base('l.url')}"""
+LEFT JOIN {features} h ON h.url = l.url LEFT JOIN {contacts} s ON s.base = {site_base('l.url')}"""
 
 
 def _report(slots: str) -> dict[str, str]:
@@ -181,19 +192,28 @@ def _report(slots: str) -> dict[str, str]:
         "report_enriched": _enriched("report_leads"),
         "report_filled": f"""SELECT e.* REPLACE (CASE WHEN {present('e.address')} THEN e.address ELSE coalesce(f.found_address, e.address) END AS address)
 FROM report_enriched e LEFT JOIN found_addresses f ON f.search_term = e.company_name || ' {LOCATION}'""",
-        "report": f"""SELECT {', '.join(c for c in EXPORT if c != 'score')}, {_SCORE} AS score FROM report_filled
+        "report": f"""SELECT lead_id, {', '.join(c for c in EXPORT if c != 'score')}, {_SCORE} AS score FROM report_filled
 WHERE {_REASON} IS NULL AND {_SCORE} >= 2""",
     }
 
 
 EXPORT = ["company_name", "website", "email", "description", "contact_page", "address", "sources", "score"]
 
+def _clean_title(c: str) -> str:
+    for suffix in V.TITLE_SUFFIXES:
+        c = f"regexp_replace({c}, '(?i){suffix.replace('|', chr(92) + '|')}$', '')"
+    return f"trim({c})"
+
+
+SEARCH_FOUND = f"""SELECT search_term, page_no, CAST(row_number() OVER (PARTITION BY search_term, page_no ORDER BY pos) - 1 AS INT) AS pos, {_clean_title('title')} AS company_name, href AS website, {cut('snippet', '')} AS description
+FROM (SELECT search_term, page_no, pos, href, title, nullif(snippet, '') AS snippet, row_number() OVER (PARTITION BY search_term, page_no, {site_key('href')} ORDER BY pos) AS rn
+  FROM serp WHERE NOT {listed(site_key('href'), V.SEARCH_SKIP_SITES)}) h WHERE rn = 1"""
+
 # Named steps, each with the steps it reads.
 _STEPS: dict[str, str] = {
     "raw_plain": "SELECT *, seq AS lead_id, CASE WHEN seq % 2 = 0 THEN 'old' || seq || '@x.fr' END AS email, 'old' AS contact_page, source AS sources FROM raw_leads",
     "plain": "SELECT *, seq AS lead_id, CAST(NULL AS STRING) AS contact_page, source AS sources FROM sightings",
     "by_name": _merged("plain", name_key("company_name")),
-    "by_owner": _merged("plain", "owner"),
     "scored": f"SELECT *, {_SCORE} AS score FROM by_name",
     "keys": f"SELECT seq, row_number() OVER (ORDER BY seq) AS rn, {site_key('website')} AS site, nullif({name_key('company_name')}, '') AS name FROM raw_leads",
     "key_pairs": "SELECT seq, 'd' || site AS k FROM keys WHERE site IS NOT NULL UNION ALL SELECT seq, 'n' || name FROM keys WHERE name IS NOT NULL",
@@ -206,19 +226,29 @@ _STEPS: dict[str, str] = {
     "exact_slots": "SELECT k.seq, o.slot FROM keys k JOIN ordered_pass o ON o.rn = k.rn",
     "usable": r"SELECT * FROM crawl WHERE status = 200 AND (contains(content_type, 'text/html') OR content_type = '')",
     "texts": f"""SELECT *, {long_enough(cleaned(text_of("regexp_extract(markup, '(?s)<article>(.*)</article>', 1)")), cleaned(text_of("regexp_extract(markup, '(?s)<body>(.*)', 1)")))} AS block, {text_of('markup')} AS visible FROM (SELECT *, {markup('html')} AS markup FROM crawl) t""",
-    "features": f"""SELECT url, coalesce({', '.join(f'({accepted(s)})[1]' for s in STRATEGIES.values())}) AS email,
+    "page_rows": f"""SELECT url, coalesce({', '.join(f'({accepted(s)})[1]' for s in STRATEGIES.values())}) AS email,
   CASE {' '.join(f'WHEN len({accepted(s)}) > 0 THEN {i}' for i, s in enumerate(STRATEGIES.values()))} END AS strategy,
-  {cut('block')} AS description, html <> '' AS has_html
+  {cut('block')} AS description, {cut('block', length=SHORT)} AS short, html <> '' AS has_html
 FROM texts WHERE status = 200 AND (contains(content_type, 'text/html') OR content_type = '')""",
-    "contact_rows": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY pos) AS rank FROM (
-  SELECT *, {site_base('url')} AS base, list_position({_CONTACT_PATHS}, substring(url, length({site_base('url')}) + 1)) AS pos FROM features) p
-  WHERE pos > 0) r WHERE rank <= 4""",
-    "contacts": """SELECT base, arg_min(url, rank) AS found_page, count(*) AS n_pages,
-  arg_min(email, (rank > 1, strategy, rank)) FILTER (WHERE email IS NOT NULL) AS site_email FROM contact_rows GROUP BY base""",
+    "features": """SELECT url, email, strategy, description, has_html FROM (SELECT *, row_number() OVER (PARTITION BY url
+  ORDER BY NOT has_html, coalesce(strategy, 99), coalesce(email, ''), coalesce(description, '')) AS copy FROM page_rows) p WHERE copy = 1""",
+    "short_features": """SELECT url, email, strategy, short AS description, has_html FROM (SELECT *, row_number() OVER (PARTITION BY url
+  ORDER BY NOT has_html, coalesce(strategy, 99), coalesce(email, ''), coalesce(short, '')) AS copy FROM page_rows) p WHERE copy = 1""",
+    **_contacts("contacts", "contact_rows", "features", _CONTACT_PATHS),
+    **_contacts("few_contacts", "few_contact_rows", "short_features", "[" + ", ".join(_q(p) for p in FEW_PATHS) + "]"),
+    "few_enriched": _enriched("raw_plain", "short_features", "few_contacts"),
     "raw_enriched": _enriched("raw_plain"),
     "found_sites": f"SELECT search_term, arg_min(href, (page_no, pos, href)) AS site FROM lookup_hits WHERE NOT {_LOOKUP} GROUP BY search_term",
     "found_addresses": """SELECT search_term, coalesce(arg_min(trim(direct_address), (pos, direct_address)) FILTER (WHERE trim(direct_address) <> ''),
   (list(address ORDER BY pos, address NULLS FIRST))[1]) AS found_address FROM places GROUP BY search_term""",
+    "place_found": """SELECT url, company_name, address, website FROM (SELECT *, row_number() OVER (PARTITION BY url
+  ORDER BY address IS NULL, company_name, coalesce(address, ''), coalesce(website, '')) AS copy FROM (
+    SELECT url, name AS company_name, address, website FROM places_seen WHERE place_no % 6 <> 0
+    UNION ALL SELECT url, 'Another page', NULL, NULL FROM places_seen WHERE place_no % 8 = 0) p) q WHERE copy = 1""",
+    "cards_found": """SELECT search_term, page_no, 0 AS pos, name1 AS name, address1 AS address FROM cards
+UNION ALL SELECT search_term, page_no, 1, name2, 'at home' FROM cards""",
+    "looked_up": "SELECT c.name1 AS name, h.href1 AS href FROM cards c JOIN hits h ON h.page_id = c.page_no",
+    "search_found": SEARCH_FOUND,
     "serp": f"""SELECT search_term, page_no, 0 AS pos, href1 AS href, {squeezed(decoded('title1'))} AS title, {squeezed(decoded('snippet1'))} AS snippet FROM hits
 UNION ALL SELECT search_term, page_no, 1, href2, 'Second ' || page_id, '' FROM hits
 UNION ALL SELECT search_term, page_no, 2, 'x', '', '' FROM hits WHERE false""",
@@ -254,19 +284,16 @@ def _mentions(text: str, name: str) -> bool:
     return re.search(rf"(?:FROM|JOIN) \(?{name}\b", text) is not None or text == name
 
 
-_SITE_OR_NONE = site_key("website")
+def _kept(verdicts: str, key: str = "lead_key") -> str:
+    return f"SELECT {key} AS lead_key, bool_or(error IS NOT NULL OR starts_with(lower(trim(coalesce(answer, ''))), 'oui')) AS kept FROM {verdicts} GROUP BY {key}"
+
+
 _URL_ENC = lambda c: f"replace(url_encode({c}), '%20', '+')"
 _DIRECTORY = V.DIRECTORY_URL.split("{what}")[0], V.DIRECTORY_URL.split("{what}")[1].split("{where}")[0], V.DIRECTORY_URL.split("{where}")[1].replace("{page}", "1")
-_RUN_ROWS = "(VALUES ('maps', 0), ('google', 1), ('maps', 2)) v(source, run_pos)"
+_RUN_ROWS = "(VALUES ('maps', 0), ('pj', 1), ('google', 2), ('maps', 3)) v(source, run_pos)"
 _SUFFIXED = "lower(title)"
 
 
-def _clean_title(c: str) -> str:
-    for suffix in V.TITLE_SUFFIXES:
-        c = f"regexp_replace({c}, '(?i){suffix.replace('|', chr(92) + '|')}$', '')"
-    return f"trim({c})"
-
-
 BODIES: dict[str, str] = {
     "normalize_url": f"SELECT page_id, {with_scheme('website')} AS url FROM spellings",
     "site_key": rf"""SELECT page_id, {host('website')} AS host, {site_key('website')} AS site,
@@ -293,22 +320,24 @@ FROM (SELECT name2 AS query, 'Île ~*' || search_term AS location FROM cards) s"
     "union_sources": f"SELECT run_pos * {1 << 52} + source_rank AS seq, source AS sources, company_name, website FROM raw_leads JOIN {_RUN_ROWS} USING (source)",
     "per_source_limit": f"SELECT run_pos, source, source_rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY source_rank) AS rn FROM raw_leads) r JOIN {_RUN_ROWS} USING (source) WHERE rn <= 20",
     "per_source_limit_large": f"SELECT run_pos, source, seq AS source_rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) AS rn FROM sightings) r JOIN {_RUN_ROWS} USING (source) WHERE rn <= 4000",
-    "source_counts": "SELECT source, count(*) AS n_leads FROM sightings GROUP BY source",
+    "source_counts": f"SELECT source, count(*) AS n_leads FROM raw_leads JOIN {_RUN_ROWS} USING (source) GROUP BY source",
     "place_urls": """SELECT search_term, url, min(place_order) AS place_order FROM (
   SELECT search_term, url, place_no * 4294967296 AS place_order FROM places_seen
   UNION ALL SELECT search_term, 'https://www.google.com/maps/place/' || (place_no - 1), place_no * 4294967296 + 2 FROM places_seen) p GROUP BY search_term, url""",
-    "place_rows": "SELECT url, name AS company_name, address, website FROM places_seen WHERE place_no % 6 <> 0",
-    "directory_cards": """SELECT search_term, page_no, 0 AS pos, name1 AS name, address1 AS address FROM cards
-UNION ALL SELECT search_term, page_no, 1, name2, 'at home' FROM cards""",
+    "place_rows": "SELECT * FROM place_found",
+    "place_addresses": """SELECT s.name || ' """ + LOCATION + """' AS search_term, CASE WHEN s.place_no % 3 = 0 THEN 'direct ' || s.place_no END AS direct_address,
+  CASE WHEN s.place_no % 3 <> 0 THEN p.address END AS address FROM places_seen s LEFT JOIN places_seen p ON p.place_no = s.place_no""",
+    "source_run": f"""SELECT 'maps' AS sources, company_name, website, CAST(NULL AS STRING) AS description, address FROM place_found
+UNION ALL SELECT 'pj', c.name, l.href, NULL, c.address FROM cards_found c LEFT JOIN looked_up l ON l.name = c.name
+UNION ALL SELECT 'google', company_name, website, description, NULL FROM search_found""",
+    "directory_cards": "SELECT * FROM cards_found",
     "serp_hits": "SELECT * FROM serp",
-    "serp_leads": f"""SELECT search_term, page_no, CAST(row_number() OVER (PARTITION BY search_term, page_no ORDER BY pos) - 1 AS INT) AS pos, {_clean_title('title')} AS company_name, href AS website, {cut('snippet', '')} AS description
-FROM (SELECT search_term, page_no, pos, href, title, nullif(snippet, '') AS snippet, row_number() OVER (PARTITION BY search_term, page_no, {site_key('href')} ORDER BY pos) AS rn
-  FROM serp WHERE NOT {listed(site_key('href'), V.SEARCH_SKIP_SITES)}) h WHERE rn = 1""",
+    "serp_leads": "SELECT * FROM search_found",
     "merge_fields": "SELECT * FROM by_name",
     "dedup_exact": "SELECT seq, slot FROM exact_slots",
     "dedup_closure": "SELECT seq, slot FROM closure_slots",
-    "dedup_merge": "SELECT * FROM by_owner",
-    "dedup_merge_closure": "SELECT * FROM by_owner",
+    "dedup_merge": ("SELECT * FROM report_leads", "exact_slots"),
+    "dedup_merge_closure": ("SELECT * FROM report_leads", "closure_slots"),
     "score": "SELECT lead_id, score FROM scored",
     "min_score": "SELECT lead_id, score FROM scored WHERE score >= 8",
     "rank_leads": "SELECT lead_id, company_name, score FROM scored ORDER BY score DESC, lead_id",
@@ -342,12 +371,15 @@ FROM (SELECT search_term, page_no, pos, href, title, nullif(snippet, '') AS snip
   NOT {present('address')} AND found_address IS NOT NULL AS address_filled FROM raw_plain LEFT JOIN found_addresses ON search_term = company_name || ' {LOCATION}'""",
     "relevance_requests": f"""SELECT lead_id AS lead_key, 'Query: agence web' || chr(10) || 'Company: ' || company_name || chr(10) || 'Website: ' || coalesce(website, '') || chr(10)
   || 'Description: ' || coalesce(nullif(description, ''), 'Non disponible') || chr(10) || 'Does the company''s main activity match ''agence web''? Answer ''oui'' or ''non''.' AS request FROM by_name""",
-    "relevance_split": "SELECT lead_id, v.lead_key IS NULL OR error IS NOT NULL OR starts_with(lower(trim(coalesce(answer, ''))), 'oui') AS kept FROM plain LEFT JOIN verdicts v ON v.lead_key = lead_id",
+    "relevance_split": f"SELECT lead_id, coalesce(kept, true) AS kept FROM plain LEFT JOIN ({_kept('verdicts')}) v ON v.lead_key = lead_id",
+    "export_run": (f"""SELECT f.format, NOT coalesce(kept, true) AS refused, company_name, website, score
+FROM report LEFT JOIN ({_kept('lead_verdicts', 'first_seq')}) v ON v.lead_key = lead_id CROSS JOIN (VALUES ('json'), ('csv')) f(format)""", "exact_slots"),
+    "enrich_settings": "SELECT lead_id, email, description, contact_page FROM few_enriched",
     "export_json": f"SELECT {', '.join(EXPORT)} FROM scored",
     "json_records": None,
     "export_csv": f"""SELECT company_name, website, email, nullif(description, '') AS description, contact_page, address, '[''' || replace(sources, ' ', ''', ''') || ''']' AS sources, CAST(score AS STRING) AS score FROM scored""",
-    "lead_report": ("SELECT * FROM report", "exact_slots"),
-    "lead_report_closure": ("SELECT * FROM report", "closure_slots"),
+    "lead_report": ("SELECT * EXCLUDE (lead_id) FROM report", "exact_slots"),
+    "lead_report_closure": ("SELECT * EXCLUDE (lead_id) FROM report", "closure_slots"),
 }
 
 

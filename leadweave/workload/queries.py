@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,7 +11,7 @@ from leadweave.config import Settings
 from leadweave.functions import email as E, html as H, name as N, text as T, url as U
 from leadweave.operators import dedup, enrich, filters, relevance, score
 from leadweave.operators.merge import merge_records
-from leadweave.plans.lead_run import LandedTables, merged_leads, run
+from leadweave.plans.lead_run import LandedTables, merged_leads, run, run_and_export
 from leadweave.schema import EXPORT_COLUMNS
 from leadweave.session import settle, shared_path
 from leadweave.sinks import export
@@ -125,7 +126,7 @@ def valid_leads(spark, sf_dir):
 
 # --- sources -------------------------------------------------------------------------------------
 
-_RUN = ["maps", "google", "maps"]
+_RUN = ["maps", "pj", "google", "maps"]
 
 
 @_register
@@ -146,9 +147,9 @@ def source_select(spark, sf_dir):
 
 @_register
 def union_sources(spark, sf_dir):
-    return _text(registry.arrived(registry.landed(table(spark, sf_dir, "raw_leads"), _RUN))).select(
-        "seq", "sources", "company_name", "website"
-    )
+    raw = table(spark, sf_dir, "raw_leads").drop("seq")
+    frames = [(name, raw.where(F.col("source") == name).drop("source")) for name in _RUN]
+    return _text(registry.union_sources(frames)).select("seq", "sources", "company_name", "website")
 
 
 @_register
@@ -165,7 +166,20 @@ def per_source_limit_large(spark, sf_dir):
 
 @_register
 def source_counts(spark, sf_dir):
-    return table(spark, sf_dir, "sightings").groupBy("source").agg(F.count("*").alias("n_leads"))
+    tables = LandedTables(crawl=table(spark, sf_dir, "crawl"), raw_leads=table(spark, sf_dir, "raw_leads"))
+    return registry.source_counts(registry.discover(tables, Settings(sources=_RUN, limit=None)))
+
+
+@_register
+def source_run(spark, sf_dir):
+    """All three sources from landed pages, as one search."""
+    one = lambda name: table(spark, sf_dir, name).withColumn("search_term", F.lit(f"agency {LOCATION}"))
+    tables = LandedTables(
+        crawl=table(spark, sf_dir, "crawl"), feed_pages=one("feed_pages"), place_pages=table(spark, sf_dir, "place_pages"),
+        directory_pages=one("directory_pages"), lookup_pages=table(spark, sf_dir, "lookup_pages"), search_pages=one("search_pages"),
+    )
+    settings = Settings(query="agency", location=LOCATION, sources=["maps", "pj", "google"], limit=None)
+    return _text(registry.discover(tables, settings)).select("sources", "company_name", "website", "description", "address")
 
 
 @_register
@@ -178,6 +192,13 @@ def place_rows(spark, sf_dir):
     return R.place_rows(table(spark, sf_dir, "place_pages"))
 
 
+@_register
+def place_addresses(spark, sf_dir):
+    return R.place_addresses(table(spark, sf_dir, "address_pages"), table(spark, sf_dir, "place_pages")).select(
+        "search_term", "direct_address", "address"
+    )
+
+
 @_register
 def directory_cards(spark, sf_dir):
     return R.directory_cards(table(spark, sf_dir, "directory_pages"))
@@ -213,12 +234,12 @@ def dedup_closure(spark, sf_dir):
 
 @_register
 def dedup_merge(spark, sf_dir):
-    return _text(merged_leads(_tagged(spark, sf_dir, "sightings"))).drop("score", "seq")
+    return _text(merged_leads(_tagged(spark, sf_dir, "raw_leads"))).drop("score", "seq")
 
 
 @_register
 def dedup_merge_closure(spark, sf_dir):
-    return _text(merged_leads(_tagged(spark, sf_dir, "sightings"), "closure")).drop("score", "seq")
+    return _text(merged_leads(_tagged(spark, sf_dir, "raw_leads"), "closure")).drop("score", "seq")
 
 
 # --- score, filters, order -----------------------------------------------------------------------
@@ -331,7 +352,7 @@ def description(spark, sf_dir):
 
 @_register
 def page_features(spark, sf_dir):
-    features = enrich.page_features(table(spark, sf_dir, "crawl"))
+    features = enrich.page_features(table(spark, sf_dir, "crawl")).drop("unread")
     return features.withColumn("strategy", F.coalesce("strategy", F.lit(-1)))
 
 
@@ -357,15 +378,15 @@ def email_best(spark, sf_dir):
 @_register
 def enrich_homepage(spark, sf_dir):
     features = settle(enrich.page_features(table(spark, sf_dir, "crawl")))
-    return enrich.lead_pages(_plain_leads(spark, sf_dir, "raw_leads"), features).select(
+    return enrich.lead_pages(_plain_leads(spark, sf_dir, "raw_leads"), features, features).select(
         "lead_id", "url", "home_email", "home_description"
     )
 
 
-def _enriched(spark, sf_dir):
+def _enriched(spark, sf_dir, **settings):
     old = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("old"), "seq", F.lit("@x.fr")))
     leads = _plain_leads(spark, sf_dir, "raw_leads").withColumn("email", old).withColumn("contact_page", F.lit("old"))
-    return enrich.enriched(leads, table(spark, sf_dir, "crawl"))
+    return enrich.enriched(leads, table(spark, sf_dir, "crawl"), **settings)
 
 
 QUERIES["enrich"] = lambda spark, sf_dir: _enriched(spark, sf_dir).select(
@@ -373,6 +394,16 @@ QUERIES["enrich"] = lambda spark, sf_dir: _enriched(spark, sf_dir).select(
 )
 
 
+FEW_PATHS, SHORT = ["/team", "/about", "/infos"], 60
+
+
+@_register
+def enrich_settings(spark, sf_dir):
+    """Other contact paths and a shorter description."""
+    found = _enriched(spark, sf_dir, paths=FEW_PATHS, length=SHORT)
+    return found.select("lead_id", "email", "description", "contact_page")
+
+
 @_register
 def website_lookup(spark, sf_dir):
     leads = _plain_leads(spark, sf_dir, "raw_leads")
@@ -400,12 +431,17 @@ def relevance_split(spark, sf_dir):
     return relevance.judged(_plain_leads(spark, sf_dir, "sightings"), table(spark, sf_dir, "verdicts")).select("lead_id", "kept")
 
 
+LEAD_JSON = (
+    "company_name string, website string, email string, description string, "
+    "contact_page string, address string, sources array<string>, score int"
+)
+
+
 @_register
 def export_json(spark, sf_dir):
     path = shared_path(spark, "export-json")
     export.write_json(_scored(spark, sf_dir), path)
-    return _text(spark.read.schema("company_name string, website string, email string, description string, "
-                                   "contact_page string, address string, sources array<string>, score int").json(path))
+    return _text(spark.read.schema(LEAD_JSON).json(path))
 
 
 @_register
@@ -424,17 +460,37 @@ def export_csv(spark, sf_dir):
 # --- whole runs ----------------------------------------------------------------------------------
 
 
-def report(spark, sf_dir, mode: str):
+def _run_inputs(spark, sf_dir, **settings):
     tables = LandedTables(
         crawl=table(spark, sf_dir, "crawl"), raw_leads=table(spark, sf_dir, "raw_leads"),
         places=table(spark, sf_dir, "places"),
     )
-    settings = Settings(
-        query="agence", location=LOCATION, limit=None, sources=["maps", "pj", "google"], dedup_mode=mode, min_score=2,
-    )
+    chosen = Settings(query="agence", location=LOCATION, limit=None, sources=["maps", "pj", "google"], min_score=2, **settings)
+    return tables, chosen
+
+
+def report(spark, sf_dir, mode: str):
+    tables, settings = _run_inputs(spark, sf_dir, dedup_mode=mode)
     return _text(run(tables, settings).ranked().select(*EXPORT_COLUMNS))
 
 
+@_register
+def export_run(spark, sf_dir):
+    """A run with verdicts, exported by the dispatcher and read back: kept and refused, both formats."""
+    tables, settings = _run_inputs(spark, sf_dir, output_dir=shared_path(spark, "export-run"), output_format="both")
+    tables.verdicts = table(spark, sf_dir, "lead_verdicts")
+    parts = []
+    for path in run_and_export(tables, settings):
+        kind, refused = path.rsplit(".", 1)[-1], F.lit("_refused" in path)
+        if kind == "json":
+            rows = spark.read.schema(LEAD_JSON).json(path)
+        else:
+            rows = spark.read.schema(", ".join(f"{c} string" for c in EXPORT_COLUMNS)).option("header", True).option("escape", '"').csv(path)
+        named = rows.select(F.lit(kind).alias("format"), refused.alias("refused"), "company_name", "website", F.col("score").cast("int").alias("score"))
+        parts.append(named)
+    return reduce(DataFrame.unionByName, parts)
+
+
 @_register
 def lead_report(spark, sf_dir):
     return report(spark, sf_dir, "exact")

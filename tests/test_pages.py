@@ -108,14 +108,69 @@ def test_enrich(spark, crawl_of):
     assert got[4]["score"] == 4 and got[1]["score"] == 0
 
 
-def test_pages_of_leads(spark, crawl_of):
-    crawl = crawl_of(page("https://a.fr/x", "1"), page("https://a.fr/contact", "2"), page("https://b.fr", "3"))
-    leads = spark.createDataFrame([lead(1, website="a.fr"), lead(2), lead(3, website="c.fr")], LEAD)
-    picked = enrich.pages_of(leads, crawl)
-    assert sorted(r["html"] for r in picked.collect()) == ["1", "2"]
-    assert "BroadcastHashJoin" in picked._jdf.queryExecution().executedPlan().toString()
-    assert enrich.pages_of(leads, crawl, most_bytes=10).count() == 3
-    assert enrich.pages_of(leads.where("lead_id = 2"), crawl).count() == 0
+def test_only_usable_pages_of_leads_are_read(spark, crawl_of):
+    """A site's other pages are left alone, however many they are."""
+    crawl = crawl_of(page("https://a.fr/x", "1"), page("https://a.fr/contact", "2"), page("https://b.fr", "3"),
+                     page("https://b.fr/contact", "4"), *[page(f"https://a.fr/blog/{i}", "no") for i in range(50)])
+    leads = spark.createDataFrame([lead(1, website="a.fr/x"), lead(2), lead(3, website="c.fr")], LEAD)
+    homes, contacts = enrich.pages_of(leads, crawl)
+    assert [r["html"] for r in homes.collect()] == ["1"]
+    assert [r["html"] for r in contacts.collect()] == ["2"]
+    assert all(df.count() == 0 for df in enrich.pages_of(leads.where("lead_id = 2"), crawl))
+    assert [r["html"] for r in enrich.pages_of(leads, crawl, ["/blog/7"])[1].collect()] == ["no"]
+
+
+def test_repeated_pages_do_not_multiply(spark, crawl_of):
+    crawl = crawl_of(
+        page("https://a.fr", "<p>one@a.fr</p>"), page("https://a.fr", '<a href="mailto:two@a.fr">x</a>'), page("https://a.fr", ""),
+        *[page("https://a.fr/contact", "nothing")] * 5, page("https://a.fr/about", "<p>about@a.fr</p>"),
+    )
+    row = enrich_rows(spark, crawl, lead(1, website="https://a.fr"))
+    assert len(row) == 1 and row[1]["email"] == "about@a.fr" and row[1]["contact_page"] == "https://a.fr/contact"
+    features = enrich.page_features(crawl).where("url = 'https://a.fr'").collect()
+    assert [f["email"] for f in features] == ["two@a.fr"]
+
+
+BROKEN = "<![foo[ x ]]>"
+
+
+def test_broken_pages_do_not_fail(spark, crawl_of):
+    from pyspark.sql import Observation
+
+    crawl = crawl_of(page("https://a.fr", BROKEN + f"<div role=main><div>{BLOCK}</div> end</div>"))
+    seen = Observation("pages")
+    out = enrich.enriched(spark.createDataFrame([lead(1, website="https://a.fr")], LEAD), crawl, unread=seen)
+    assert out.first()["description"] == BLOCK + " end"
+    assert seen.get["pages_unread"] == 0
+    html = '<a href="http://[x"><h3>t</h3></a><a href="https://b.fr"><h3>B</h3></a>' + BROKEN
+    pages = spark.createDataFrame([("s", 0, "https://g.fr", html), ("s", 1, "http://[", html), ("s", 2, None, None)],
+                                  "search_term string, page_no int, url string, html string")
+    assert [r["website"] for r in R.search_leads(pages).collect()] == ["https://b.fr", "https://b.fr"]
+
+
+def test_a_page_that_the_parser_gives_up_on_is_null():
+    from leadweave.functions import dom
+
+    class Odd(str):
+        def __len__(self):
+            raise RuntimeError
+
+    assert dom._blocks(Odd("<p>")) is None and dom._blocks(None) is None and dom._items("<li><h2>a</h2>") != []
+
+
+def test_place_addresses(spark):
+    feed = spark.createDataFrame([
+        ("a", 0, "https://m.fr/search/x", '<button data-item-id="address"><i class="fontBodyMedium"> 1 rue </i></button>'),
+        ("b", 0, "https://m.fr/search/x", '<a href="/maps/place/1">x</a><a href="/maps/place/2">y</a>'),
+        ("c", 0, "https://m.fr/search/x", '<a href="https://m.fr/maps/place/3">x</a>'), ("d", 0, None, "<p>nothing"),
+    ], "search_term string, page_no int, url string, html string")
+    places = spark.createDataFrame([
+        ("https://m.fr/maps/place/1", "<h1>one</h1>"), ("https://m.fr/maps/place/2", '<b data-item-id="address">no</b>'),
+        ("https://m.fr/maps/place/3", "<h1>z</h1>"), ("https://m.fr/maps/place/3", '<b data-item-id="address">3 rue</b>'),
+    ], "url string, html string")
+    got = {r["search_term"]: (r["direct_address"], r["address"]) for r in R.place_addresses(feed, places).collect()}
+    assert got == {"a": ("1 rue", None), "b": (None, None), "c": (None, "3 rue"), "d": (None, None)}
+
 
 
 def test_contact_frontier_order(spark):

@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from leadweave.workload import fixtures
+from leadweave.workload import fixtures, oracle, queries
 
 SF_DIR = os.environ.get("LEADWEAVE_TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = queries.QUERIES, oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -91,7 +91,7 @@ def test_run(spark):
     ]
     assert outcome.counts() == {
         "discovered": 6, "merged": 4, "valid": 4, "addresses_filled": 1, "scored": 4, "dropped_domain": 1,
-        "dropped_name": 1, "dropped_empty": 0, "selected": 2,
+        "dropped_name": 1, "dropped_empty": 0, "selected": 2, "pages_unread": 0,
     }
 
 
