@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leadweave.session import settle
 
-SHARD, BLOCK = 4096, 256
-_SEED_TERMS, _SEEDS_PER_RESULT = 8, 4
+SHARD, BLOCK = 8192, 256
+_SEEDS_PER_RESULT, _PROBES = 4, 8
 
 
 def integers(vector: Column, scale: int = 64) -> Column:
@@ -54,48 +54,52 @@ def _pack(dim: int) -> Callable[[pa.Table], pa.Table]:
 
 
 class Shard:
-    """The postings of a shard, by dimension; :meth:`best` answers a query."""
+    """The vectors of a shard, and per term what it can add at most; :meth:`best` answers a block of queries."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        self.ids, self.columns = ids, np.ascontiguousarray(matrix.T)
-        self.most, self.least = self.columns.max(axis=1, initial=0), self.columns.min(axis=1, initial=0)
-        self.rising = [c > 0 for c in self.columns]
-        self.falling = [c < 0 for c in self.columns]
-
-    def _scores(self, at: np.ndarray, query: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        return query[terms] @ self.columns[np.ix_(terms, at)]
-
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the *k* best vectors but *own*, ties to the smaller id."""
-        terms = np.flatnonzero(query)
-        bounds = np.maximum(query[terms] * self.most[terms], query[terms] * self.least[terms])
-        order = np.argsort(-bounds, kind="stable")
-        terms, bounds = terms[order], bounds[order]
-        others = np.flatnonzero(self.ids != own)
-        # The k-th best of some promising vectors is a score that results must reach.
-        floor = None
-        if len(others) > _SEEDS_PER_RESULT * k and len(terms):
-            partial = self._scores(others, query, terms[:_SEED_TERMS])
-            seeds = others[np.argpartition(-partial, _SEEDS_PER_RESULT * k)[:_SEEDS_PER_RESULT * k]]
-            floor = np.partition(self._scores(seeds, query, terms), -k)[-k]
-        rest = np.r_[np.cumsum(bounds[::-1])[::-1], 0]
-        at, score = others, np.zeros(len(others), np.int64)
-        if floor is not None and floor > 0:
-            essential = int(np.argmax(rest < floor))
-            listed = np.zeros(len(self.ids), bool)
-            for t in terms[:essential]:
-                listed |= self.rising[t] if query[t] > 0 else self.falling[t]
-                if listed.all():
-                    break
-            at = others[listed[others]]
-            score = np.zeros(len(at), np.int64)
-        for start in range(0, len(terms), 4):
-            score = score + self._scores(at, query, terms[start:start + 4])
-            if floor is not None:
-                stay = score + rest[min(start + 4, len(terms))] >= floor
+        self.ids, self.matrix = ids, matrix
+        self.most, self.least = matrix.max(axis=0, initial=0), matrix.min(axis=0, initial=0)
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int, known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of the *k* best vectors but its *own*, ties to the smaller id.
+
+        Those below *known*, a score that k vectors elsewhere reach, may be left out.
+        """
+        dim, n = queries.shape[1], len(self.ids)
+        vectors, exact = self.matrix, queries
+        largest = dim * float(max(-self.least.min(), self.most.max())) * float(np.abs(queries).max(initial=0))
+        if largest < 1 << 53:  # doubles are exact then, and faster
+            vectors, exact = vectors.astype(np.float64), queries.astype(np.float64)
+        bounds = np.maximum(exact * self.most, exact * self.least)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        # What the terms from each place on can add; the essential ones are those before it falls below the floor.
+        rest = np.take_along_axis(bounds, order, axis=1)[:, ::-1].cumsum(axis=1)[:, ::-1]
+        rest = np.hstack([rest, np.zeros((len(queries), 1), rest.dtype)])
+        essential = np.where(known > 0, (rest >= known[:, None]).sum(axis=1), max(dim // 2, 1))
+        essential = np.minimum(essential, dim)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(dim), order.shape), axis=1)
+        # All essential lists of all queries are traversed by one product; a vector in none of them gets at most zero.
+        scores = np.where(rank < essential[:, None], exact, 0) @ vectors.T
+        found = []
+        for i in range(len(queries)):
+            score, floor, done = scores[i], known[i], int(essential[i])
+            if floor == -np.inf and n > _SEEDS_PER_RESULT * k:
+                # The k-th best of some promising vectors is a score that results must reach.
+                seeds = np.argpartition(-score, _SEEDS_PER_RESULT * k)[:_SEEDS_PER_RESULT * k]
+                seeds = seeds[self.ids[seeds] != own[i]]
+                floor = np.partition(vectors[seeds] @ exact[i], -k)[-k]
+            at = np.flatnonzero((score + rest[i, done] >= floor) & (self.ids != own[i]))
+            score = score[at]
+            while done < dim and len(at):
+                terms = order[i, done:done + _PROBES]
+                score = score + vectors[at[:, None], terms] @ exact[i, terms]
+                done += len(terms)
+                stay = score + rest[i, done] >= floor
                 at, score = at[stay], score[stay]
-        top = np.lexsort((self.ids[at], -score))[:k]
-        return self.ids[at[top]], score[top]
+            top = np.lexsort((self.ids[at], -score))[:k]
+            found.append((self.ids[at[top]], score[top].astype(np.int64)))
+        return found
 
 
 def _search(dim: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -104,10 +108,15 @@ def _search(dim: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         return ids, np.frombuffer(row[f"{side}_matrix"], row[f"{side}_kind"]).astype(np.int64).reshape(len(ids), dim)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, float] = {}  # per query the k-th best score of the shards so far
         for batch in batches:
             for row in batch.to_pylist():
                 shard, (queries, wanted) = Shard(*unpack(row, "shard")), unpack(row, "block")
-                found = [shard.best(q, own, k) for own, q in zip(queries, wanted)]
+                floors = np.array([known.get(own, -np.inf) for own in queries.tolist()])
+                found = shard.best(wanted, queries, k, floors)
+                for own, (_, scores) in zip(queries.tolist(), found):
+                    if len(scores) == k:
+                        known[own] = max(known.get(own, -np.inf), float(scores[-1]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat(queries, [len(ids) for ids, _ in found])),
                     pa.array(np.concatenate([ids for ids, _ in found])),
