@@ -2,9 +2,9 @@
 
 A fingerprint is cut into blocks. Two that differ in at most ``distance`` bits differ in at most that many
 blocks, so they agree on some choice of the other blocks. Each fingerprint is posted under every such
-choice, equal postings are joined, and the Hamming distance is checked on each pair found. Equal
-fingerprints are folded first, so a group of copies of any size is one posting, and the pairs made are
-links between different fingerprints only.
+choice, equal postings meet in a bucket, and the Hamming distance of all pairs in it is checked. Equal
+fingerprints are folded first, so a group of copies of any size is one posting. A bucket hands on links
+that connect what is close in it, not all of its pairs.
 
 Defined cases: a null text is empty; a text without words has the fingerprint zero and is linked like any
 other; fewer words than a shingle has are one shingle; texts are read whole. A row without id takes part,
@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from leadweave.llm.graph import components
+from leadweave.llm.graph import components, least_reachable
 from leadweave.session import settle
 
 _SEED = 42
 _SHINGLES_AT_ONCE = 1 << 16
+TILE = 1024
 
 
 def _hashes(text: str, width: int) -> Iterator[int]:
@@ -67,19 +68,55 @@ def _masks(blocks: int, distance: int) -> list[int]:
     return [sum(choice) - (1 << 64) * (sum(choice) >> 63) for choice in combinations(parts, blocks - distance)]
 
 
-def close_pairs(fingerprints: DataFrame, distance: int = 2, blocks: int = 5) -> DataFrame:
-    """``a, b`` (``a < b``) of the distinct longs ``fingerprint`` that differ in at most *distance* bits.
+def _tile_links(distance: int):
+    """Links that connect all fingerprints of two tiles that are close; one tree per component, not all pairs."""
 
-    A pair that agrees on several choices is made under the first one only.
+    def links(mine: np.ndarray, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        both = mine if other is None else np.r_[mine, other]
+        i, j = [], []
+        for start in range(0, len(mine), 256):
+            apart = np.bitwise_count(mine[start:start + 256, None] ^ both[None, :])
+            near = np.nonzero(apart <= distance)
+            i.append(near[0] + start)
+            j.append(near[1])
+        root = least_reachable(len(both), np.concatenate(i), np.concatenate(j))
+        some = np.flatnonzero(root != np.arange(len(both)))
+        return both[some], both[root[some]]
+
+    @F.arrow_udf("array<struct<a:long,b:long>>")
+    def linked(mine: pa.Array, other: pa.Array) -> pa.Array:
+        # Row by row and as plain arrays: a batch may hold many tiles.
+        read = lambda v: v.values.to_numpy() if v.is_valid else None
+        rows = [links(read(m), read(o)) for m, o in zip(mine, other)]
+        offsets = np.cumsum([0, *[len(a) for a, _ in rows]]).astype(np.int32)
+        ends = [pa.array(np.concatenate([r[i] for r in rows] or [np.empty(0, np.int64)])) for i in (0, 1)]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(ends, ["a", "b"]))
+
+    return linked
+
+
+def close_links(fingerprints: DataFrame, distance: int = 2, blocks: int = 5, tile: int = TILE) -> DataFrame:
+    """``a, b``: links that connect the distinct longs ``fingerprint`` that differ in at most *distance* bits.
+
+    A bucket (the fingerprints that agree on one choice of blocks) of more than *tile* members is cut into
+    tiles that are compared pair by pair, so no task holds more than two tiles, whatever the bucket's size.
     """
     masks = _masks(blocks, distance)
     posted = fingerprints.select(
         "fingerprint", F.posexplode(F.transform(F.array(*map(F.lit, masks)), lambda m: m.bitwiseAND(F.col("fingerprint")))).alias("choice", "key")
     )
-    one, two = posted.withColumnRenamed("fingerprint", "a"), posted.withColumnRenamed("fingerprint", "b")
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    pairs = one.join(two, ["choice", "key"]).where((F.col("a") < F.col("b")) & apart)
-    return pairs.select("a", "b").distinct()
+    bucket = ["choice", "key"]
+    large = settle(posted.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > tile))
+    cut = F.coalesce(F.pmod(F.xxhash64("fingerprint"), F.ceil(2 * F.col("n") / tile)), F.lit(0))
+    tiled = posted.join(large, bucket, "left").withColumn("tile", cut)
+    tiles = tiled.groupBy(*bucket, "tile").agg(F.collect_list("fingerprint").alias("members"), F.first("n").alias("n"))
+    tiles = settle(tiles.where((F.size("members") > 1) | F.col("n").isNotNull()))
+    link, none = _tile_links(distance), F.lit(None).cast("array<long>")
+    inside = tiles.select(F.explode(link("members", none)).alias("link"))
+    some = tiles.where("n is not null").select(*bucket, "tile", "members")
+    other = some.withColumnsRenamed({"tile": "other_tile", "members": "other"})
+    across = some.join(other, bucket).where("tile < other_tile").select(F.explode(link("members", "other")).alias("link"))
+    return inside.unionByName(across).select("link.*")
 
 
 def near_duplicates(documents: DataFrame, width: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
@@ -89,7 +126,7 @@ def near_duplicates(documents: DataFrame, width: int = 3, distance: int = 2, blo
     """
     marked = settle(documents.select("doc_id", fingerprint(F.col("text"), width).alias("fingerprint")))
     classes = settle(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    roots = components(close_pairs(classes.select("fingerprint"), distance, blocks)).withColumnRenamed("node", "fingerprint")
+    roots = components(close_links(classes.select("fingerprint"), distance, blocks)).withColumnRenamed("node", "fingerprint")
     placed = settle(classes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "root").select("fingerprint", "component_id")
