@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leadweave.session import settle
 
 BLOCK, ALLOW = "label:block", "label:allow"
+SALTS = 32
 
 
 def host_of(url: Column) -> Column:
@@ -152,7 +153,10 @@ def judge(
     seen = seen.withColumn("key", F.array_join("tokens", "\n"))
     urls = seen.where("fixed is null").select("key", "tokens").distinct()
     found = matched(urls, mined)
-    answered = seen.drop("tokens").join(found, "key", "left")
+    # One token set may be that of a third of all pages, so the join is salted.
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    drawn = F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"), F.lit(0))
+    answered = seen.drop("tokens").withColumn("salt", drawn).join(salted, ["key", "salt"], "left")
     by_method = F.when(F.col("label") == BLOCK, "block").otherwise("allow")
     return answered.select(
         "page_id", "host", "path", F.col("fixed.rule").alias("rule"),
