@@ -164,12 +164,25 @@ def write_shards(
     return n
 
 
+def _cut_shards(layout: Layout):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = content.as_buffer()
+                n = data.size // layout.stride
+                records = [data.slice(r * layout.stride, layout.stride - 1).to_pybytes() for r in range(n)]
+                slots = np.arange(n) + shard * layout.per_shard
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slots), pa.array(np.full(n, shard)), pa.array(records, pa.binary())], ["slot", "shard", "tokens"]
+                )
+
+    return rows
+
+
 def read_slots(spark: SparkSession, folder: str, layout: Layout = Layout(), start: int = 0) -> DataFrame:
     """``slot, shard, tokens`` (binary) from slot *start* on; shards before it are not opened."""
     files = spark.read.format("binaryFile").load(folder).where(F.col("shard") >= start // layout.per_shard)
-    count = F.length("content") / layout.stride
-    record = lambda r: F.substring("content", (r * layout.stride + 1).cast("int"), F.lit(layout.stride - 1))
-    numbers = F.sequence(F.lit(0), count.cast("int") - 1)
-    cut = files.select("shard", F.posexplode(F.transform(numbers, record)).alias("record", "tokens"))
-    slot = F.col("shard") * layout.per_shard + F.col("record")
-    return cut.select(slot.cast("long").alias("slot"), F.col("shard").cast("long").alias("shard"), "tokens").where(F.col("slot") >= start)
+    rows = files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(
+        _cut_shards(layout), "slot long, shard long, tokens binary"
+    )
+    return rows.where(F.col("slot") >= start)
