@@ -128,9 +128,10 @@ def _compare(threshold: float, axes: dict[int, np.ndarray]) -> Callable[[Iterato
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pair in batch.to_pylist():
-                dim, same = pair["dim"], pair["same"]
-                read = lambda c, kind: np.frombuffer(pair[c], kind)
+            columns = dict(zip(batch.schema.names, batch.columns))
+            for row in range(batch.num_rows):
+                dim, same = columns["dim"][row].as_py(), columns["same"][row].as_py()
+                read = lambda c, kind: np.frombuffer(columns[c][row].as_buffer(), kind)  # noqa: B023, E731
                 x, y = read("x_vectors", "<f8").reshape(-1, dim), read("y_vectors", "<f8").reshape(-1, dim)
                 extreme = any(not 1e-100 < m < 1e100 for v in (x, y) for m in (np.abs(v).max(axis=1).min(), np.abs(v).max()))
                 turn = axes.get(dim)
