@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from leadweave.functions.name import name_key
 from leadweave.functions.url import site_key
-from leadweave.operators.skew import hot_keys, skew_join, spread_min, with_bucket
+from leadweave.operators.skew import spread_min, with_bucket
 from leadweave.session import discard, settle
 
 
@@ -53,7 +53,8 @@ def exact_slots(keys: DataFrame) -> DataFrame:
     ).unionByName(
         links.where(~on_site).select("seq", "name", F.col("parent").alias("via"), F.col("root").alias("own"))
     )
-    placed = skew_join(routes, sites.select(F.col("site").alias("via"), "root"), "via", "seq")
+    # One row per site on the right: adaptive execution splits a hot site, or the rows without one.
+    placed = routes.join(sites.select(F.col("site").alias("via"), "root"), "via", "left")
     return placed.select("seq", "name", F.coalesce("root", "own").alias("slot"))
 
 
@@ -99,8 +100,7 @@ def _site_slots(links: DataFrame) -> DataFrame:
         target = closed.select(F.col("site").alias("parent"), F.lit(None).cast("string").alias("next"), "root").unionByName(
             open_.select(F.col("site").alias("parent"), F.col("parent").alias("next"), F.lit(None).cast("long").alias("root"))
         )
-        hot = hot_keys(open_, "parent")
-        moved = settle(skew_join(open_, target, "parent", "site", hot=hot).select("site", F.col("next").alias("parent"), "root"))
+        moved = settle(open_.join(target, "parent", "left").select("site", F.col("next").alias("parent"), "root"))
         closed = closed.unionByName(moved.where(F.col("root").isNotNull()).select("site", "root"))
         open_ = moved.where(F.col("root").isNull()).select("site", "parent")
     return closed
@@ -112,7 +112,7 @@ def closure_slots(keys: DataFrame) -> DataFrame:
     pairs = exact.where(F.col("name").isNotNull()).select("name", "slot").distinct()
     low = spread_min(pairs, "name", "slot", "slot", "low")
     stars = _stars(low.where(F.col("slot") != F.col("low")).select(F.col("slot").alias("a"), F.col("low").alias("b")).distinct())
-    joined = skew_join(exact, stars.select(F.col("a").alias("slot"), "b"), "slot", "seq")
+    joined = exact.join(stars.select(F.col("a").alias("slot"), "b"), "slot", "left")
     return joined.select("seq", "name", F.coalesce("b", "slot").alias("slot"))
 
 

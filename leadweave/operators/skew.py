@@ -22,8 +22,8 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     hot_rows = int(spark.conf.get(_HOT_ROWS_SETTING, _HOT_ROWS_DEFAULT))
     keyed = df.where(F.col(key).isNotNull())
-    least = max(hot_rows, int(keyed.count() * _HOT_SHARE / fan_out(spark)))
-    return keyed.groupBy(key).count().where(F.col("count") >= least).select(key)
+    share = keyed.agg((F.count("*") * _HOT_SHARE / fan_out(spark)).alias("share")).scalar()
+    return keyed.groupBy(key).count().where((F.col("count") >= hot_rows) & (F.col("count") >= share)).select(key)
 
 
 def skew_join(
