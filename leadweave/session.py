@@ -33,7 +33,9 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, "settled")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled._settled_at = path
+    return settled
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -42,11 +44,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def discard(*settled: DataFrame) -> None:
-    """Delete the tables of *settled* frames that nothing will read again."""
+    """Delete the tables that :func:`settle` has written for frames that nothing will read again."""
     for df in settled:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-        if path is not None and path.getName().startswith("settled-"):
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fan_out(spark: SparkSession) -> int:

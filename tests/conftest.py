@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,6 +15,7 @@ def spark():
         SparkSession.builder.master("local[4]").appName("leadweave-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="leadweave-tests-"))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
