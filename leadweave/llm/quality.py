@@ -70,7 +70,7 @@ def statistics(text: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def of(batch: pa.Array) -> pa.Array:
-        return pa.array([_statistics(t or "") for t in batch.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([_statistics(t.as_py() or "") for t in batch], pa.list_(pa.float64()))
 
     return of(text)
 
@@ -218,5 +218,6 @@ def scored(documents: DataFrame, labels: DataFrame, **settings: object) -> DataF
 def trained(documents: DataFrame, labels: DataFrame, **settings: object) -> Model | None:
     """The model alone, to be applied with ``model.score(statistics(text))``."""
     marks = labels.select("doc_id", F.col("quality").alias("y")).where("y in (0, 1)")
-    learning = documents.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(marks, "doc_id")
-    return fit(settle(learning.select("doc_id", "y", statistics(F.col("text")).alias("x"))), **settings)
+    # Statistics are taken where the text is read, so only they are shuffled.
+    known = documents.where(~held_out(F.col("doc_id"))).select("doc_id", statistics(F.col("text")).alias("x"))
+    return fit(settle(known.join(marks, "doc_id")), **settings)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
@@ -25,7 +25,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SPACE = "▁"  # what a model writes for a space
 _SPACE_BYTES = len(SPACE.encode())
@@ -214,6 +214,35 @@ def _codec(path: str) -> Codec:
 # --- column functions ---------------------------------------------------------------------------------
 
 
+_ROWS_AT_ONCE = 1000
+
+
+def encode_rows(
+    documents: DataFrame, path: str, kept: Sequence[str] = ("doc_id",), text: str = "text", decode: bool = False
+) -> DataFrame:
+    """The *kept* columns with ``ids``, ``starts`` and ``ends`` of each text, and ``decoded`` if asked for.
+
+    As :func:`encoded`, but results are handed on in small runs of rows, so a task holds little at once.
+    """
+    lists = [T.StructField(name, T.ArrayType(T.IntegerType())) for name in ("ids", "starts", "ends")]
+    decoded_field = [T.StructField("decoded", T.StringType())] if decode else []
+    given = documents.select(*kept, F.col(text).alias("_text"))
+    schema = T.StructType([*given.schema.fields[:-1], *lists, *decoded_field])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(path)
+        for batch in batches:
+            for start in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                part = batch.slice(start, _ROWS_AT_ONCE)
+                found = [codec.encode((t.as_py() or "").encode("utf-8", "replace").decode()) for t in part.columns[-1]]
+                columns = [*part.columns[:-1], *[_lists([f[i] for f in found]) for i in range(3)]]
+                if decode:
+                    columns.append(pa.array([codec.decode(f[0].tolist()) for f in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return given.mapInArrow(rows, schema)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.empty(0)
@@ -224,7 +253,7 @@ def _udf(path: str, kind: str, with_text: bool) -> Callable[[Column], Column]:
     @F.arrow_udf(kind)
     def encoded(batch: pa.Array) -> pa.Array:
         codec = _codec(path)
-        found = [codec.encode((t or "").encode("utf-8", "replace").decode()) for t in batch.to_pylist()]
+        found = [codec.encode((t.as_py() or "").encode("utf-8", "replace").decode()) for t in batch]
         columns = [_lists([f[i] for f in found]) for i in range(3)]
         names = ["ids", "starts", "ends"]
         if with_text:

@@ -52,7 +52,7 @@ def fingerprint(text: Column, width: int = 3) -> Column:
 
     @F.arrow_udf("long")
     def bits(batch: pa.Array) -> pa.Array:
-        return pa.array([_fingerprint(t or "", width) for t in batch.to_pylist()], pa.int64())
+        return pa.array([_fingerprint(t.as_py() or "", width) for t in batch], pa.int64())
 
     return bits(text)
 
@@ -102,18 +102,22 @@ def close_links(fingerprints: DataFrame, distance: int = 2, blocks: int = 5, til
     tiles that are compared pair by pair, so no task holds more than two tiles, whatever the bucket's size.
     """
     masks = _masks(blocks, distance)
-    posted = fingerprints.select(
+    # A table of numbers is few splits; as many tasks as a shuffle has write the postings.
+    dealt = fingerprints.repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
+    posted = dealt.select(
         "fingerprint", F.posexplode(F.transform(F.array(*map(F.lit, masks)), lambda m: m.bitwiseAND(F.col("fingerprint")))).alias("choice", "key")
     )
     bucket = ["choice", "key"]
-    large = settle(posted.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > tile))
-    cut = F.coalesce(F.pmod(F.xxhash64("fingerprint"), F.ceil(2 * F.col("n") / tile)), F.lit(0))
-    tiled = posted.join(large, bucket, "left").withColumn("tile", cut)
-    tiles = tiled.groupBy(*bucket, "tile").agg(F.collect_list("fingerprint").alias("members"), F.first("n").alias("n"))
-    tiles = settle(tiles.where((F.size("members") > 1) | F.col("n").isNotNull()))
+    # Most buckets have one member only; they are gone before any list is made.
+    shared = settle(posted.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"))
+    large = F.col("n") > tile
+    cut = F.when(large, F.pmod(F.xxhash64("fingerprint"), F.ceil(2 * F.col("n") / tile))).otherwise(F.lit(0).cast("long"))
+    tiled = posted.join(shared, bucket).select(*bucket, cut.alias("tile"), large.alias("large"), "fingerprint")
+    tiles = tiled.groupBy(*bucket, "tile", "large").agg(F.collect_list("fingerprint").alias("members"))
+    tiles = settle(tiles)
     link, none = _tile_links(distance), F.lit(None).cast("array<long>")
     inside = tiles.select(F.explode(link("members", none)).alias("link"))
-    some = tiles.where("n is not null").select(*bucket, "tile", "members")
+    some = tiles.where("large").select(*bucket, "tile", "members")
     other = some.withColumnsRenamed({"tile": "other_tile", "members": "other"})
     across = some.join(other, bucket).where("tile < other_tile").select(F.explode(link("members", "other")).alias("link"))
     return inside.unionByName(across).select("link.*")

@@ -82,6 +82,15 @@ def test_columns_round_trip(spark):
         assert len(row["x"]["starts"]) == len(row["x"]["ends"]) == len(ids)
 
 
+def test_rows_equal_columns(spark):
+    docs = documents(spark, ODD + _texts(4, 1200))
+    rows = sentencepiece.encode_rows(docs, PIECES, ("doc_id", "fingerprint"), decode=True)
+    want = docs.select("doc_id", "fingerprint", sentencepiece.round_trip(F.col("text"), PIECES).alias("x")).select("doc_id", "fingerprint", "x.*")
+    assert rows.columns == want.columns
+    assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect()))
+    assert sentencepiece.encode_rows(documents(spark, []), PIECES).count() == 0
+
+
 def test_no_rows_to_encode(spark):
     assert documents(spark, []).select(sentencepiece.encoded(F.col("text"), PIECES)).collect() == []
 
