@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from leadweave.session import settle, shared_path
 
 _WIDTH = np.dtype("<u2").itemsize
+_IDS_AT_ONCE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -99,17 +100,20 @@ def _sequences(path: str, pattern: str, end_id: int, length: int):
                 pa.array([data[i * size:(i + 1) * size] for i in range(n)], pa.binary()),
             ], ["split", "number", "tokens"])
 
+        end, parts, pending = np.array([end_id], "<u2"), [], 0
         for texts in batches:
-            parts = [left]
-            for text in texts.column(0).to_pylist():
-                ids = encoder.encode_ordinary((text or "").encode("utf-8", "replace").decode())
-                parts.append(np.array([*ids, end_id], "<u2"))
-            stream = np.concatenate(parts)
-            whole = len(stream) // length * length
-            yield batch(stream[:whole])
-            left = stream[whole:]
-        if len(left):
-            yield batch(np.r_[left, np.full(length - len(left), end_id, "<u2")])
+            for text in texts.column(0):
+                text = (text.as_py() or "").encode("utf-8", "replace").decode()
+                parts += [encoder.encode_to_numpy(text, disallowed_special=()).astype("<u2"), end]
+                pending += len(parts[-2]) + 1
+                if pending >= _IDS_AT_ONCE:
+                    stream = np.concatenate([left, *parts])
+                    whole = len(stream) // length * length
+                    yield batch(stream[:whole])
+                    left, parts, pending = stream[whole:], [], 0
+        stream = np.concatenate([left, *parts])
+        if len(stream):
+            yield batch(np.r_[stream, np.full(-len(stream) % length, end_id, "<u2")])
 
     return rows
 
