@@ -30,14 +30,13 @@ PIECE_MODEL, BYTE_VOCABULARY, END_ID = "piece_bpe_32k.model", "byte_bpe_multi_50
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = documents.select("doc_id", sentencepiece.round_trip(F.col("text"), public_tokenizers.path(PIECE_MODEL)).alias("x"))
-    spans = F.concat_ws(",", F.array_join(F.col("x.starts").cast("array<string>"), ","), F.array_join(F.col("x.ends").cast("array<string>"), ","))
+    documents = table(spark, sf_dir, "documents")
+    found = sentencepiece.encode_rows(documents, public_tokenizers.path(PIECE_MODEL), decode=True)
+    joined = lambda numbers: F.array_join(F.col(numbers).cast("array<string>"), ",")
     return found.select(
-        "doc_id", F.size("x.ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("x.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("x.decoded", 256).alias("decoded_sha256"),
-        F.sha2(spans, 256).alias("spans_sha256"),
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.xxhash64("starts", "ends").alias("spans_hash"),
     )
 
 
