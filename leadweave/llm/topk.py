@@ -1,10 +1,11 @@
 """Exact top-k search by integer inner product, with MaxScore over shards.
 
-Vectors are rounded to integers and cut into shards by hash; queries go in blocks. A shard is an index of
-postings: a term is a dimension with a sign, and lists the vectors whose component has that sign. What a
-query's term can add is bounded by the shard's extreme component. Terms are sorted by that bound. Given the
-k-th best score known so far, the weakest terms whose bounds together stay below it are non-essential:
-a vector that occurs in no other list cannot get there. So only essential lists are traversed, and of
+Vectors are rounded to integers and cut into shards by hash; queries go in blocks. A term is a dimension with
+a sign. What a query's term can add is bounded by the shard's extreme component. Terms are sorted by that
+bound. Given the k-th best score known so far, the weakest terms whose bounds together stay below it are
+non-essential: a vector that has no other term cannot get there. There are no posting lists: one dense
+product scores every vector of the shard on the essential terms of a block of queries (half of the
+dimensions while no floor is known), so the essential terms select no candidates; the bounds filter afterwards. Of
 the vectors found the other terms are probed as long as the bounds that are left keep them competitive. The
 best of each shard are merged at the end.
 
@@ -79,7 +80,7 @@ class Shard:
         essential = np.minimum(essential, dim)
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.broadcast_to(np.arange(dim), order.shape), axis=1)
-        # All essential lists of all queries are traversed by one product; a vector in none of them gets at most zero.
+        # One dense product over the essential terms of all queries; a vector that has none of them gets at most zero.
         scores = np.where(rank < essential[:, None], exact, 0) @ vectors.T
         found = []
         for i in range(len(queries)):
