@@ -162,7 +162,8 @@ def write_shards(
         _placed(n, key, layout.per_shard), "shard long, slot long, packed binary"
     )
     shards = -(-n // layout.per_shard)
-    # A shard is a range of slots, so dealing by it deals by range, and nothing has to be sampled for bounds.
+    # A shard is a range of slots. Shards are dealt by hash: a task may get several or none, each of them whole,
+    # and nothing has to be sampled for bounds.
     dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
     # The cast keeps the bytes as they are.
     dealt.select("shard", _unpacked(F.col("packed")).cast("string").alias("value")).write.partitionBy("shard").text(folder)
