@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadweave.llm import (
-    embed_dedup, mixing, quality, secrets, sentencepiece, simhash, substring, token_store, topk, url_rules,
+    embed_dedup, lexical, mixing, quality, secrets, sentencepiece, simhash, substring, token_store, topk, url_rules,
 )
 from leadweave.llm.common import table
 from leadweave.llm.sql import ORACLE_SQL  # noqa: F401  registered beside the queries
@@ -113,6 +113,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
@@ -124,5 +128,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_rules": op10_url_rules,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from leadweave.llm.common import WORD
+from leadweave.llm.lexical import TERM
 from leadweave.llm.secrets import BASE, RULES
 
 _FINITE = "len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
@@ -69,9 +70,28 @@ FROM texts LEFT JOIN listed USING (doc_id)
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+LEXICAL_SEARCH = f"""
+WITH parts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{TERM}') AS terms FROM documents),
+docs AS (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n, terms FROM parts WHERE len(terms) > 0),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM docs),
+held AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{TERM}')) AS term FROM benchmark),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(all_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM held, totals WHERE term IN (SELECT term FROM asked) GROUP BY term),
+long AS (SELECT r, doc_id, 100 - 90 + ((90 * n * all_docs) // all_terms) AS m FROM docs, totals),
+scored AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN long USING (r) GROUP BY item_id, r),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 ORACLE_SQL = {
     "op4_embedding_dedup": EMBEDDING_DEDUP,
     "op5_secret_scan": _secret_scan(),
     "op7_topk": TOP_K,
     "op9_substring_dedup": SUBSTRING_DEDUP,
+    "op13_lexical_search": LEXICAL_SEARCH,
 }
