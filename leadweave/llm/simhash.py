@@ -123,15 +123,38 @@ def close_links(fingerprints: DataFrame, distance: int = 2, blocks: int = 5, til
     return inside.unionByName(across).select("link.*")
 
 
+def classes(documents: DataFrame, width: int = 3, distance: int = 2, blocks: int = 5, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns *keys* of every row, its ``fingerprint`` and ``root``, a fingerprint that names its component."""
+    marked = settle(documents.select(*keys, fingerprint(F.col("text"), width).alias("fingerprint")))
+    links = close_links(marked.select("fingerprint").distinct(), distance, blocks)
+    roots = components(links).withColumnRenamed("node", "fingerprint")
+    return marked.join(roots, "fingerprint", "left").select(*keys, "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, width: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row per document.
 
     *fingerprint* is a long; ``component_id`` the least ``doc_id`` reachable over links.
     """
     marked = settle(documents.select("doc_id", fingerprint(F.col("text"), width).alias("fingerprint")))
-    classes = settle(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    roots = components(close_links(classes.select("fingerprint"), distance, blocks)).withColumnRenamed("node", "fingerprint")
-    placed = settle(classes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
+    folded = settle(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+    roots = components(close_links(folded.select("fingerprint"), distance, blocks)).withColumnRenamed("node", "fingerprint")
+    placed = settle(folded.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "root").select("fingerprint", "component_id")
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def representatives(documents: DataFrame, columns: tuple[str, ...], width: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
+    """The *columns* of the rows that stay if one row of each component does.
+
+    That is the row with the least ``doc_id``; of different rows with that id the one with the least hash, of
+    equal ones any. Rows with one id and different texts are decided each for itself. Rows without id all
+    stay, and no other row goes for their sake.
+    """
+    rows = documents.select(*columns, F.xxhash64(*columns).alias("row"))
+    named = rows.where("doc_id is not null")
+    found = classes(named, width, distance, blocks, ("doc_id", "row"))
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.*")
+    stay = named.join(first, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    return stay.unionByName(rows.where("doc_id is null")).select(*columns)
