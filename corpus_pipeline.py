@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and works on all documents that the one
 the last return the columns of documents.
 
 * quality: documents that the classifier rejects go.
-* near_duplicates: of each group of near copies the row with the smallest id stays.
+* near_duplicates: of each group of documents that close fingerprints link, the row with the smallest id stays.
 * secrets: the spans found are replaced by their kind; no document goes.
 * mixing: every source is brought to its target by repeating or leaving out documents, and the
   rows are sorted into training order.
@@ -12,8 +12,8 @@ the last return the columns of documents.
 
 Defined cases: null texts are empty texts; a row without id is never a copy of another one that is dropped, and
 the mix takes it like any other; extra columns are not handed on; an empty table stays empty. Of equal rows with
-one id one stays. Different texts under one id are decided each for itself; if they are near copies, or rows differ
-in another column only, the row with the least hash stays.
+one id one stays. Different texts under one id are decided each for itself; if their fingerprints are linked, or
+rows differ in another column only, the row with the least hash stays.
 """
 
 from __future__ import annotations
@@ -23,15 +23,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadweave.llm import mixing, near_copies, quality, secrets, sentencepiece
+from leadweave.llm import mixing, quality, secrets, sentencepiece, simhash
 from leadweave.llm.common import table
 from leadweave.session import settle
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.3
-# Near copies have 0.8 or more of their shingles of five words in common (near_copies).
-# DISTANCE is that of the former fingerprints, which the tests still compare with.
-SHINGLE, DISTANCE = 5, 5
+# Words in a shingle, and the bits in which the fingerprints of near copies may differ.
+SHINGLE, DISTANCE = 3, 2
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
@@ -42,12 +41,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(*DOCUMENT, F.xxhash64(*DOCUMENT).alias("row"))
-    found = near_copies.near_copies(rows.select("doc_id", "row", "text"), SHINGLE)
-    named = found.where("doc_id is not null")
-    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.*")
-    stay = rows.where("doc_id is not null").join(first, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
-    return stay.unionByName(rows.where("doc_id is null")).select(*DOCUMENT)
+    return simhash.representatives(docs, DOCUMENT, width=SHINGLE, distance=DISTANCE)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
