@@ -10,15 +10,17 @@ decide which hashes have to be counted across the cluster:
 2. The windows under the other anchors are counted by two independent hashes of 96 bits in all.
 
 In either step a task tells of each hash once: repeats within a segment (a bounded run of rows) are decided
-there. So a passage that a third of all documents hold sends one row per segment. Removed windows then
-merge into maximal intervals of words.
+there, and an anchor that several documents of a segment have is theirs without further question. So a passage
+that a third of all documents hold sends one short row per segment, without a list of those documents. Removed
+windows then merge into maximal intervals of words.
 
 Documents whose whole word sequence equals that of a smaller id are settled by a digest beforehand: all
 of their windows are repeated.
 
 Defined cases: a null text has no words; texts are read whole; repeated ids are one document each time
-they occur, and as their ids are equal, none is smaller, so they do not shorten each other; a row without
-id is never shortened and shortens none. Only ``doc_id`` and ``text`` are read.
+they occur, whatever their texts (rows go by id and a digest of the text), and as their ids are equal, none is
+smaller, so they do not shorten each other; a row without id is never shortened and shortens none. Only
+``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -108,59 +110,87 @@ def _rest(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[np
     return [values[s + 1:s + n] if n > 1 else None for s, n in zip(starts.tolist(), counts.tolist())]
 
 
-def _places(ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-    """By document: its first place and the other ones."""
-    order = np.lexsort((place, ids))
-    ids, place = ids[order], place[order]
-    starts, counts = _groups(ids)
-    return ids[starts], place[starts], _rest(place, starts, counts)
+def _places(ids: np.ndarray, keys: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """By row: its first place and the other ones."""
+    order = np.lexsort((place, keys, ids))
+    ids, keys, place = ids[order], keys[order], place[order]
+    starts, counts = _groups(ids, keys)
+    return ids[starts], keys[starts], place[starts], _rest(place, starts, counts)
 
 
-_PIECES = "one long, two int, doc_id long, place int, places array<int>"
+_PIECES = "one long, two int, doc_id long, key long, place int, places array<int>"
 
 
-def _pieces(one: np.ndarray | None, two: np.ndarray | None, ids: np.ndarray, place: np.ndarray, rest: list) -> pa.RecordBatch:
-    """Windows of one document: those of one hash, or (no hash) those that are decided."""
+def _pieces(
+    one: np.ndarray | None, two: np.ndarray | None, ids: np.ndarray, keys: np.ndarray, place: np.ndarray, rest: list
+) -> pa.RecordBatch:
+    """Windows of one row: those of one hash, or (no hash) those that are decided."""
     hashes = [
         pa.nulls(len(ids), kind) if h is None else pa.array(h.view(np.int64).astype(t))
         for h, kind, t in ((one, pa.int64(), np.int64), (two, pa.int32(), np.int32))
     ]
     return pa.RecordBatch.from_arrays(
-        [*hashes, pa.array(ids), pa.array(place.astype(np.int32)), pa.array(rest, pa.list_(pa.int32()))],
-        ["one", "two", "doc_id", "place", "places"],
+        [*hashes, pa.array(ids), pa.array(keys), pa.array(place.astype(np.int32)), pa.array(rest, pa.list_(pa.int32()))],
+        ["one", "two", "doc_id", "key", "place", "places"],
     )
 
 
+def _ids(segment: list[tuple], row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and text digests of the rows of a segment, at *row*."""
+    return tuple(np.fromiter((r[c] for r in segment), np.int64, len(segment))[row] for c in (0, 2))
+
+
+_ANCHORS = "slot long, doc_id long, key long, anchors array<long>"
+
+
 def _anchor_rows(width: int, run: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Three kinds of rows, see ``_ANCHORS``.
+
+    An anchor that one document of the segment has: the anchor as slot, and the document, which asks whether others
+    have it too. An anchor that several have: the slot alone. Of each document all of the latter, in ``anchors``.
+    """
+
+    def batch(slot: np.ndarray, ids: np.ndarray | None, keys: np.ndarray | None, anchors: list | None) -> pa.RecordBatch:
+        n = len(slot)
+        columns = [pa.nulls(n, pa.int64()) if c is None else pa.array(c) for c in (ids, keys)]
+        lists = pa.nulls(n, pa.list_(pa.int64())) if anchors is None else pa.array(anchors, pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(slot), *columns, lists], ["slot", "doc_id", "key", "anchors"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segment in _segments(batches):
             texts = _Segment(segment, width)
-            ids = np.fromiter((r[0] for r in segment), np.int64, len(segment))[texts.row[texts.whole]]
+            ids, keys = _ids(segment, texts.row[texts.whole])
             anchor = texts.anchors(run)[texts.whole].view(np.int64)
-            order = np.lexsort((ids, anchor))
-            anchor, ids = anchor[order], ids[order]
-            keep = np.r_[True, (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1])] if len(ids) else np.empty(0, bool)
-            anchor, ids = anchor[keep], ids[keep]
+            order = np.lexsort((keys, ids, anchor))
+            anchor, ids, keys = anchor[order], ids[order], keys[order]
+            starts, _ = _groups(anchor, ids, keys)
+            anchor, ids, keys = anchor[starts], ids[starts], keys[starts]
             starts, counts = _groups(anchor)
-            # One row per anchor: its document, or all of its documents here.
-            alone = counts == 1
-            lists = [None if one else ids[s:s + n] for s, n, one in zip(starts.tolist(), counts.tolist(), alone.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[starts]), pa.array(ids[starts], mask=~alone), pa.array(lists, pa.list_(pa.int64()))],
-                ["anchor", "doc_id", "docs"],
-            )
+            alone = starts[counts == 1]
+            yield batch(anchor[alone], ids[alone], keys[alone], None)
+            yield batch(anchor[starts[counts > 1]], None, None, None)
+            several = np.repeat(counts > 1, counts)
+            anchor, ids, keys = anchor[several], ids[several], keys[several]
+            order = np.lexsort((keys, ids))
+            anchor, ids, keys = anchor[order], ids[order], keys[order]
+            starts, counts = _groups(ids, keys)
+            lists = [anchor[s:s + n] for s, n in zip(starts.tolist(), counts.tolist())]
+            yield batch(keys[starts], ids[starts], keys[starts], lists)
 
     return rows
 
 
 def shared_anchors(documents: DataFrame, width: int, run: int) -> DataFrame:
-    """``doc_id, anchors``: of each document those of its anchors that other documents have too."""
-    told = documents.mapInArrow(_anchor_rows(width, run), "anchor long, doc_id long, docs array<long>")
-    # A segment sends an anchor once, so even the commonest one has only as many rows as segments.
-    several = F.count("*").over(Window.partitionBy("anchor")) > 1
-    shared = told.withColumn("shared", several).where(F.col("shared") | F.col("docs").isNotNull())
-    pairs = shared.select("anchor", F.explode(F.coalesce("docs", F.array("doc_id"))).alias("doc_id"))
-    return pairs.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    """``doc_id, key, anchors``: of each of ``doc_id, text, key`` those of its anchors that other documents have too."""
+    told = documents.mapInArrow(_anchor_rows(width, run), _ANCHORS)
+    # A segment sends an anchor once, so even the commonest one has only as many short rows as there are segments.
+    # Rows that are settled lie in slots of their own texts; one shuffle takes all kinds. A text's digest that
+    # equals an anchor only means that windows are counted in vain.
+    asked = F.col("anchors").isNull()
+    segments, told_of = (f.over(Window.partitionBy("slot")) for f in (F.count_if(asked), F.count_if(asked & F.col("doc_id").isNull())))
+    shared = told.withColumn("shared", ~asked | (segments > 1) | (told_of > 0)).where(F.col("shared") & F.col("doc_id").isNotNull())
+    lists = shared.select("doc_id", "key", F.coalesce("anchors", F.array("slot")).alias("anchors"))
+    return lists.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
 
 
 def _window_rows(width: int, run: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -170,20 +200,20 @@ def _window_rows(width: int, run: int) -> Callable[[Iterator[pa.RecordBatch]], I
             owned = [np.isin(a, np.asarray(s, np.int64)) for a, s in _by_row(texts, run, segment)]
             at = np.flatnonzero(np.concatenate(owned)) if owned else np.empty(0, np.int64)
             at = np.flatnonzero(texts.whole)[at]
-            ids = np.fromiter((r[0] for r in segment), np.int64, len(segment))[texts.row[at]]
+            ids, keys = _ids(segment, texts.row[at])
             one, two = (texts.windows(b)[at] for b in _BASES)
             two = _mixed(two) >> np.uint64(32)
             place = texts.place[at]
-            order = np.lexsort((place, ids, two, one))
-            one, two, ids, place = one[order], two[order], ids[order], place[order]
+            order = np.lexsort((place, keys, ids, two, one))
+            one, two, ids, keys, place = one[order], two[order], ids[order], keys[order], place[order]
             new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])] if len(one) else np.empty(0, bool)
             least = ids[new][np.cumsum(new) - 1]
             # A larger id than the least one here is decided; the least one asks the other segments.
             decided = ids > least
-            yield _pieces(None, None, *_places(ids[decided], place[decided]))
-            one, two, ids, place = one[~decided], two[~decided], ids[~decided], place[~decided]
-            starts, counts = _groups(one, two)
-            yield _pieces(one[starts], two[starts], ids[starts], place[starts], _rest(place, starts, counts))
+            yield _pieces(None, None, *_places(ids[decided], keys[decided], place[decided]))
+            one, two, ids, keys, place = (v[~decided] for v in (one, two, ids, keys, place))
+            starts, counts = _groups(one, two, keys)
+            yield _pieces(one[starts], two[starts], ids[starts], keys[starts], place[starts], _rest(place, starts, counts))
 
     return rows
 
@@ -206,7 +236,7 @@ def _merged(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
 def _cut_rows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, starts = (column.to_pylist() for column in batch.columns)
+            texts, starts = (batch.column(c).to_pylist() for c in ("text", "starts"))
             spans = [_merged(np.asarray(s), width) for s in starts]
             kept, removed = [], []
             for text, cut in zip(texts, spans):
@@ -218,8 +248,8 @@ def _cut_rows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             interval = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             intervals = pa.array([[{"start": a, "end": b} for a, b in cut] for cut in spans], interval)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), intervals, pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                ["doc_id", "intervals", "n_removed", "kept"],
+                [batch.column("doc_id"), batch.column("key"), intervals, pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                ["doc_id", "key", "intervals", "n_removed", "kept"],
             )
 
     return rows
@@ -237,19 +267,23 @@ def joined_words(text: Column) -> Column:
     return digest(text)
 
 
+ROW = ["doc_id", "key"]
+
+
 def removed_windows(documents: DataFrame, copies: DataFrame, width: int = WIDTH, run: int = ANCHOR) -> DataFrame:
-    """``doc_id, starts``: the documents with removed windows, and where those start (in words).
+    """``doc_id, key, starts``: the rows of ``doc_id, text, key`` with removed windows, and where those start (in words).
 
-    *copies* are the ids that need no look, as all of their windows are in a smaller one.
+    *copies* are the rows (id and key) that need no look, as all of their windows are in a smaller id.
     """
-    told = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    owned = shared_anchors(told, width, run).join(copies, "doc_id", "left_anti")
-    pieces = settle(told.join(owned, "doc_id").mapInArrow(_window_rows(width, run), _PIECES))
+    told = documents.where("doc_id is not null and text is not null").select("doc_id", "text", "key")
+    owned = shared_anchors(told, width, run).join(copies, ROW, "left_anti")
+    asked = told.join(owned, ROW).select("doc_id", "text", "key", "anchors")
+    pieces = settle(asked.mapInArrow(_window_rows(width, run), _PIECES))
     least = F.min("doc_id").over(Window.partitionBy("one", "two"))
     open_ = pieces.where("one is not null").withColumn("least", least).where("doc_id > least")
     removed = pieces.where("one is null").unionByName(open_.drop("least"))
     every = F.array_union(F.array("place"), F.coalesce("places", F.array().cast("array<int>")))
-    return removed.groupBy("doc_id").agg(F.flatten(F.collect_list(every)).alias("starts"))
+    return removed.groupBy(*ROW).agg(F.flatten(F.collect_list(every)).alias("starts"))
 
 
 def deduplicated(documents: DataFrame, width: int = WIDTH, run: int = ANCHOR) -> DataFrame:
@@ -258,19 +292,20 @@ def deduplicated(documents: DataFrame, width: int = WIDTH, run: int = ANCHOR) ->
     ``intervals`` are the maximal removed runs of words and ``kept`` the words that are left, null where
     nothing was removed; ``kept_sha256`` is always the digest of what is left.
     """
-    digests = settle(documents.select("doc_id", joined_words(F.col("text")).alias("all")).select("doc_id", "all.*"))
+    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    digests = settle(keyed.select(*ROW, joined_words(F.col("text")).alias("all")).select(*ROW, "all.*"))
     firsts = digests.where(F.col("n") >= width).groupBy("sha256").agg(F.min("doc_id").alias("first"))
     marked = digests.join(firsts, "sha256", "left")
-    copies = settle(marked.where("doc_id > first").select("doc_id").distinct())
-    removed = removed_windows(documents, copies, width, run)
-    cut = documents.where("text is not null").select("doc_id", "text").join(removed, "doc_id").mapInArrow(
+    copies = settle(marked.where("doc_id > first").select(*ROW).distinct())
+    removed = removed_windows(keyed, copies, width, run)
+    cut = keyed.where("text is not null").join(removed, ROW).select(*ROW, "text", "starts").mapInArrow(
         _cut_rows(width),
-        "doc_id long, intervals array<struct<start:int,end:int>>, n_removed long, kept string",
+        "doc_id long, key long, intervals array<struct<start:int,end:int>>, n_removed long, kept string",
     )
-    cut = cut.withColumn("kept_sha256", F.sha2("kept", 256)).dropDuplicates(["doc_id"])
+    cut = cut.withColumn("kept_sha256", F.sha2("kept", 256)).dropDuplicates(ROW)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end")))
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    return marked.join(cut, "doc_id", "left").select(
+    return marked.join(cut, ROW, "left").select(
         "doc_id", F.col("n").alias("n_words"),
         F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, whole).otherwise(F.col("intervals")).alias("intervals"),
