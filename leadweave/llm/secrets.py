@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
+# The standard library's own parse of a pattern; it has no public name since Python 3.11.
 from re import _constants as op, _parser as parser
 
 import numpy as np
@@ -30,16 +31,22 @@ _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of *pattern*, leftmost and non-overlapping; kept if *group* has *least* characters."""
+    """Matches of *pattern*, leftmost and non-overlapping; kept if *group* has *least* characters.
+
+    A match never starts behind a character of the class *not_after*: where a pattern's first part is a run of a
+    class that also holds its start, it would otherwise be tried again from each place within the run.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
     any_case: bool = False
+    not_after: str = ""
 
     def compiled(self) -> re.Pattern:
-        return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.any_case else 0))
+        behind = f"(?<![{self.not_after}])" if self.not_after else ""
+        return re.compile(behind + self.pattern, re.ASCII | (re.IGNORECASE if self.any_case else 0))
 
 
 # Fixed values of the contract. A run of hex digits that is too short is dropped, so asking for 24 at once
@@ -54,7 +61,7 @@ ADDED = (
     Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", not_after="A-Za-z0-9_-"),
     Rule("bearer", r"Bearer\x20+([A-Za-z0-9._~+/=-]+)", 1, 20, True),
     Rule("login_url", r"://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@", 1, 6),
 )

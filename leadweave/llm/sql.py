@@ -48,10 +48,14 @@ FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
 def _secret_scan() -> str:
     found = []
     for place, rule in enumerate(RULES):
-        pattern = ("(?i)" if rule.any_case else "") + rule.pattern.replace("'", "''")
+        pattern = rule.pattern.replace("'", "''")
+        # There is no look-behind here: the character before is matched too and its length taken off.
+        before = f"(^|[^{rule.not_after}])" if rule.not_after else "()"
+        pattern = f"{'(?i)' if rule.any_case else ''}{before}({pattern})"
         found.append(
             f"SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, {rule.least} AS least, "
-            f"regexp_extract_all(t, '{pattern}', 0) AS whole, regexp_extract_all(t, '{pattern}', {rule.group}) AS part, "
+            f"regexp_extract_all(t, '{pattern}', 1) AS lead, regexp_extract_all(t, '{pattern}', 0) AS whole, "
+            f"regexp_extract_all(t, '{pattern}', {rule.group + 2}) AS part, "
             f"regexp_split_to_array(t, '{pattern}') AS rest FROM texts"
         )
     base = ", ".join(f"'{r.kind}'" for r in BASE)
@@ -61,8 +65,8 @@ def _secret_scan() -> str:
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 matches AS ({" UNION ALL ".join(found)}),
 single AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM matches),
-spans AS (SELECT doc_id, kind, place, length(whole[i]) AS n,
-    CAST(list_sum(list_transform(rest[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+spans AS (SELECT doc_id, kind, place, length(whole[i]) - length(lead[i]) AS n,
+    CAST(length(lead[i]) + list_sum(list_transform(rest[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
   FROM single WHERE length(part[i]) >= least),
 listed AS (SELECT doc_id, {counts}, {written} AS spans, {written} FILTER (kind IN ({base})) AS base FROM spans GROUP BY doc_id)
 SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)},
