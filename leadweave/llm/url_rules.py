@@ -21,10 +21,11 @@ from collections.abc import Sequence
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leadweave.operators.skew import skew_join
 from leadweave.session import settle
 
 BLOCK, ALLOW = "label:block", "label:allow"
-SALTS = 32
+LEAST_PAGES = 30
 
 
 def host_of(url: Column) -> Column:
@@ -41,7 +42,8 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
     A rule fits its host and all subdomains, if the path starts with the rule's.
     """
-    fits = F.coalesce(*[
+    none = F.lit(None).cast("struct<rule:string,verdict:string>")
+    fits = F.coalesce(none, *[
         F.when(
             ((host == h) | F.endswith(host, F.lit(f".{h}"))) & F.startswith(path, F.lit(p)),
             F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")),
@@ -81,14 +83,14 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mine_rules(
-    labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, least_pages: int = 30
+    labelled: DataFrame, support: float = 0.0, confidence: float = 0.6, least_pages: int = LEAST_PAGES
 ) -> DataFrame:
     """``rule_id, tokens, label, confidence, support, rarest`` from ``tokens, label``.
 
-    Kept are rules of at least that support (a share of the labelled pages, and at least *least_pages* of
-    them) and confidence, and of those only the ones that no rule with one
-    token less for the same label equals in confidence. The number of rules is bounded by the
-    support, whatever the number of pages.
+    Kept are rules of at least that confidence that hold on *least_pages* labelled pages, and of those only the ones
+    that no rule with one token less for the same label equals in confidence. The number of pages is absolute: a
+    host with enough bad pages is found in a table of any size. *support* may ask for a share of all labelled pages
+    besides, where a table has so many kinds of pages that fewer rules are wanted.
     """
     spark = labelled.sparkSession
     baskets = settle(labelled.select(F.concat("tokens", F.array("label")).alias("items")))
@@ -137,26 +139,25 @@ def judge(
     pages: DataFrame,
     labels: DataFrame,
     rules: Sequence[tuple[str, str, str]],
-    support: float = 0.002,
+    support: float = 0.0,
     confidence: float = 0.6,
-    least_pages: int = 30,
+    least_pages: int = LEAST_PAGES,
 ) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, mined``.
 
     A host rule decides; where none fits, the best mined rule; else the page is allowed. The match goes
-    by distinct token set, so pages with the same tokens are matched once.
+    by distinct token set, so pages with the same tokens are matched once, and the verdict of a token set that very
+    many pages have is salted on its way back to them (:func:`skew_join`). Rows with one ``page_id`` are judged each.
     """
     mined = mine_rules(labelled_urls(pages, labels), support, confidence, least_pages)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     seen = settle(pages.select("page_id", host.alias("host"), path.alias("path"), F.array_sort(url_tokens(F.col("url"))).alias("tokens")))
     seen = seen.withColumn("fixed", longest_rule(F.col("host"), F.col("path"), rules))
-    seen = seen.withColumn("key", F.array_join("tokens", "\n"))
-    urls = seen.where("fixed is null").select("key", "tokens").distinct()
-    found = matched(urls, mined)
-    # One token set may be that of a third of all pages, so the join is salted.
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    drawn = F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"), F.lit(0))
-    answered = seen.drop("tokens").withColumn("salt", drawn).join(salted, ["key", "salt"], "left")
+    # The token set itself is the key: joined to one string, two sets could look alike. A page with a host rule has none.
+    seen = seen.select("page_id", "host", "path", "fixed", F.when(F.col("fixed").isNull(), F.col("tokens")).alias("key"))
+    urls = seen.where("key is not null").select("key", F.col("key").alias("tokens")).distinct()
+    found = settle(matched(urls, mined))
+    answered = skew_join(seen, found, "key", "page_id")
     by_method = F.when(F.col("label") == BLOCK, "block").otherwise("allow")
     return answered.select(
         "page_id", "host", "path", F.col("fixed.rule").alias("rule"),
