@@ -11,7 +11,7 @@ sequential, and can start anywhere.
 Shards are written by Spark's own text writer (a record's bytes and one line feed), so failed tasks
 leave no half-written shard, and any file system that Spark knows will do.
 
-Defined cases: a null text is empty and gives only its end mark; texts are encoded whole; repeated
+Defined cases: an id that does not fit two bytes is an error; a null text is empty and gives only its end mark; texts are encoded whole; repeated
 rows are documents of their own; an empty table writes nothing. Only ``text`` is read.
 """
 
@@ -30,10 +30,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from leadweave.llm.common import spread
 from leadweave.session import settle, shared_path
 
 _WIDTH = np.dtype("<u2").itemsize
 _IDS_AT_ONCE = 1 << 20
+_MOST_IDS = 1 << 8 * _WIDTH
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,8 @@ class Layout:
 def _encoder(path: str, pattern: str) -> tiktoken.Encoding:
     lines = (line.split() for line in Path(path).read_bytes().splitlines() if line)
     ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
+    if max(ranks.values(), default=0) >= _MOST_IDS:
+        raise ValueError(f"{path} has ids of {_MOST_IDS} and more, which do not fit a record's {_WIDTH} bytes")
     return tiktoken.Encoding("tokens", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -144,6 +148,8 @@ def write_shards(
     documents: DataFrame, folder: str, path: str, pattern: str, end_id: int, layout: Layout = Layout(), key: int = 17
 ) -> int:
     """Writes all shards below *folder* (one file in ``shard=N`` each) and returns the number of sequences."""
+    if not 0 <= end_id < _MOST_IDS:
+        raise ValueError(f"end_id must lie between 0 and {_MOST_IDS - 1}")
     spark = documents.sparkSession
     stored = shared_path(spark, "sequences")
     documents.select("text").mapInArrow(
@@ -162,9 +168,10 @@ def write_shards(
         _placed(n, key, layout.per_shard), "shard long, slot long, packed binary"
     )
     shards = -(-n // layout.per_shard)
-    # A shard is a range of slots. Shards are dealt by hash: a task may get several or none, each of them whole,
-    # and nothing has to be sampled for bounds.
-    dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    # A shard is a range of slots, and a task writes a range of shards. Slots are dense, so the bounds are known
+    # without sampling. Tasks are bounded by the session's partitions, however many shards there are.
+    tasks = min(shards, spread(spark))
+    dealt = placed.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("shard", "slot")
     # The cast keeps the bytes as they are.
     dealt.select("shard", _unpacked(F.col("packed")).cast("string").alias("value")).write.partitionBy("shard").text(folder)
     return n
