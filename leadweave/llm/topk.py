@@ -11,7 +11,9 @@ best of each shard are merged at the end.
 
 Defined cases: vectors that are null, have no id, or hold null or non-finite components take no part; of
 rows with the same id the least vector counts; components beyond the length of the shorter vector count as
-zero; an empty vector scores zero; ties go to the smaller id. Only ``vec_id, embedding`` are read.
+zero; an empty vector scores zero; ties go to the smaller id. Where scores could leave the range of doubles' whole
+numbers they are computed in integers, and beyond that in integers of any length; a component or a result that does
+not fit a long is an error, never a wrong number. Only ``vec_id, embedding`` are read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ def integers(vector: Column, scale: int = 64) -> Column:
     """``floor(scale * x)`` of each component, or null if the vector takes no part."""
     double = vector.cast("array<double>")
     bad = F.exists(double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, F.transform(double, lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
+    scaled = lambda x: x * F.lit(float(scale))
+    fits = lambda x: F.abs(scaled(x)) < float(1 << 63)
+    error = F.raise_error(F.lit("a component times the scale does not fit a long")).cast("long")
+    return F.when(~bad, F.transform(double, lambda x: F.when(fits(x), F.floor(scaled(x)).cast("long")).otherwise(error)))
 
 
 def _pack(dim: int) -> Callable[[pa.Table], pa.Table]:
@@ -68,7 +73,9 @@ class Shard:
         """
         dim, n = queries.shape[1], len(self.ids)
         vectors, exact = self.matrix, queries
-        largest = dim * float(max(-self.least.min(), self.most.max())) * float(np.abs(queries).max(initial=0))
+        largest = dim * max(-float(self.least.min()), float(self.most.max())) * float(np.abs(queries.astype(np.float64)).max(initial=0))
+        if largest >= 1 << 62:
+            return [self._best_of_any_length(q, i, k) for q, i in zip(queries, own)]
         if largest < 1 << 53:  # doubles are exact then, and faster
             vectors, exact = vectors.astype(np.float64), queries.astype(np.float64)
         bounds = np.maximum(exact * self.most, exact * self.least)
@@ -103,6 +110,14 @@ class Shard:
         return found
 
 
+    def _best_of_any_length(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = (self.matrix.astype(object) @ query.astype(object)).tolist()
+        at = sorted((i for i in range(len(self.ids)) if self.ids[i] != own), key=lambda i: (-scores[i], self.ids[i]))[:k]
+        if any(abs(scores[i]) >= 1 << 63 for i in at):
+            raise OverflowError("a score does not fit a long")
+        return self.ids[at], np.array([scores[i] for i in at], np.int64)
+
+
 def _search(dim: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def unpack(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
         ids = np.frombuffer(row[f"{side}_ids"], "<i8")
