@@ -285,3 +285,66 @@ def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert url_rules.judge(pages, labels, URL_RULES).count() == 0
+
+
+def test_rare_bad_hosts_are_found_in_a_large_table(spark):
+    """A few bad hosts, each on a share of the labelled pages far below a thousandth of them, decide verdicts."""
+    n = 120_000
+    pages = spark.range(n).select(
+        F.col("id").alias("page_id"),
+        F.concat(
+            F.lit("http://"), F.when(F.col("id") % 2400 == 7, F.concat(F.lit("bad"), F.col("id") % 4800, F.lit(".net")))
+            .otherwise(F.concat(F.lit("host"), F.col("id") % 500, F.lit(".net"))), F.lit("/en/"), F.col("id"),
+        ).alias("url"),
+    )
+    bad = F.col("id") % 2400 == 7
+    labels = spark.range(0, n, 1).select(
+        F.col("id").alias("doc_id"), F.when(bad, 0).when(F.col("id") % 5 == 1, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic")
+    ).where("doc_id % 4 != 2")
+    judged = url_rules.judge(pages, labels, URL_RULES, least_pages=10)
+    verdicts = {tuple(r) for r in judged.select(F.startswith("host", F.lit("bad")), "verdict").distinct().collect()}
+    assert verdicts == {(True, "block"), (False, "allow")}
+    mined = judged.where(F.startswith("host", F.lit("bad"))).select("mined").distinct().collect()
+    assert all("host:bad" in r["mined"] for r in mined)
+
+
+def test_awkward_urls(spark):
+    urls = ["http://a.net/x\ny", "http://a.net/x/y", "http://a.net/" + "p/" * 50_000 + "q" * 100_000, "http://" + "s." * 2_000 + "net/", None, ""]
+    rows = [(i % 5, u) for i, u in enumerate(urls * 3)]  # ids repeat, with other URLs
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("z") for c in ("key", "tokens", "label", "mined", "fixed")})
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for rules in (URL_RULES, ()):
+        found = url_rules.judge(pages, labels, rules).collect()
+        assert len(found) == len(rows) and {(r["rule"], r["verdict"]) for r in found} == {(None, "allow")}
+    # Tokens with line feeds: sets that would look alike in one string have rules of their own.
+    told = [(k, t, "label:block" if len(t) == 2 else "label:allow") for k in range(40) for t in (["path:x\npath:y", "b"], ["path:x", "path:y", "b"])]
+    labelled = spark.createDataFrame([(t, y) for _, t, y in told], "tokens array<string>, label string")
+    mined = url_rules.mine_rules(labelled, 0.01, 0.9, 5)
+    asked = spark.createDataFrame([(t, t) for t in (["b", "path:x\npath:y"], ["b", "path:x", "path:y"])], "key array<string>, tokens array<string>")
+    found = {len(r["key"]): r["label"] for r in url_rules.matched(asked, mined).collect()}
+    assert found == {2: "label:block", 3: "label:allow"}
+
+
+def test_scores_beyond_doubles_are_exact_or_an_error(spark):
+    drawn = random.Random(4)
+    rows = [(i, [float(drawn.randint(-3, 3) * 10**6 + drawn.randint(-9, 9)) for _ in range(6)]) for i in range(40)]
+    found = topk.top_k(vectors_of(spark, rows), F.col("vec_id") % 20 == 0, 5, 64).collect()
+    for query in (0, 20):
+        got = [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == query]
+        assert got == brute.best(dict(rows), query, 5)
+    # Whole numbers up to 6.4e8: sums of products of over 2^53 and below 2^62.
+    big = [(i, [x * 100 for x in v]) for i, v in rows]
+    found = topk.top_k(vectors_of(spark, big), F.col("vec_id") == 0, 5, 1).collect()
+    want = sorted((-sum(int(a) * int(b) for a, b in zip(big[0][1], v)), i) for i, v in big[1:])[:5]
+    assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [(i, -s) for s, i in want]
+    # Bounds above 2^62, results below: integers of any length.
+    wide = [(0, [3e9, 1.0]), (1, [2e9, 5.0]), (2, [-3e9, 3e9]), (3, [1.0, 7.0]), (4, [0.0, -3e9])]
+    found = topk.top_k(vectors_of(spark, wide), F.col("vec_id") == 3, 2, 1).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [(2, 18 * 10**9), (0, 3 * 10**9 + 7)]
+    for huge in ([(0, [1e12]), (1, [1e12])], [(0, [1e20]), (1, [1.0])]):
+        with pytest.raises(Exception, match="does not fit a long"):
+            topk.top_k(vectors_of(spark, huge), F.col("vec_id") == 0, 2, 64).collect()
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")

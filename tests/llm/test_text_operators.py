@@ -1,7 +1,9 @@
 """SentencePiece, secrets, SimHash, substring dedup and the token store on small awkward inputs."""
 
+import base64
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -157,6 +159,35 @@ def test_redaction(spark):
     assert got == ["é [assign] and [hex] end", "clean", None, "[assign]"]
 
 
+@pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
+def test_patterns_take_linear_time(rule):
+    """Hostile runs of whatever a pattern may begin with, at twice the length."""
+    starts = ["eyJ", "eyJ-", "eyJ.", "eyJhbGciOiJ.", "password", "password ", "token:", "api_key= ", "AKIA", "0a", "ghp_", "xoxb-", "xoxb-a ",
+              "Bearer", "Bearer ", "://", "://a:", "://a", "-----BEGIN ", "a", " ", ":", "="]
+
+    def seconds(start, size):
+        text, found = start * (size // len(start)), []
+        for _ in range(2):
+            before = time.perf_counter()
+            for m in rule.compiled().finditer(text):
+                pass
+            found.append(time.perf_counter() - before)
+        return min(found)
+
+    for start in starts:
+        assert seconds(start, 400_000) < max(3.2 * seconds(start, 200_000), 0.05), start
+
+
+def test_a_token_within_a_longer_run_is_not_one(spark):
+    token = "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10
+    texts = [token, "x" + token, "x." + token, f"{token} {token}", "x-" + token]
+    found = documents(spark, texts).select("doc_id", secrets.secret_spans(F.col("text")).alias("s")).collect()
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["s"] if s["kind"] == "web_token"] for r in found}
+    n = len(token)
+    # Behind another character of the class the second part begins the first run that may be one, and lacks a third.
+    assert spans == {1: [(0, n)], 2: [], 3: [(2, n + 2)], 4: [(0, n), (n + 1, 2 * n + 1)], 5: []}
+
+
 # --- SimHash --------------------------------------------------------------------------------------
 
 
@@ -177,9 +208,9 @@ def test_large_buckets_are_cut_into_tiles(spark):
     prints = {0} | {1 << b for b in range(30)} | {1 << a | 1 << b for a in range(12) for b in range(a)} | set(drawn.integers(0, 1 << 62, 40).tolist())
     frame = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
     links = [(r["a"], r["b"]) for r in simhash.close_links(frame, 2, 5, tile=8).collect()]
-    assert all((a ^ b).bit_count() <= 64 for a, b in links)
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = brute.components(prints, lambda a, b: (a ^ b).bit_count() <= 2)
+    assert links and all(want[a] == want[b] for a, b in links)
     assert {p: found.get(p, p) for p in prints} == want
 
 
@@ -220,6 +251,33 @@ def test_substring_ids(spark):
     assert substring.deduplicated(documents(spark, [])).count() == 0
 
 
+def test_texts_that_share_an_id(spark):
+    passage, other = " ".join(f"b{i}" for i in range(20)), " ".join(f"a{i}" for i in range(20))
+
+    def removed(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("key", "slot", "n", "anchors", "first")})
+        return sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring.deduplicated(docs.repartition(3)).collect())
+
+    # The second text under 2 has nothing of the first one's.
+    assert removed([(0, passage), (2, "x1 x2 " + passage), (2, " ".join(f"c{i}" for i in range(22)))]) == [(0, 20, 0), (2, 22, 0), (2, 22, 20)]
+    # One of the texts under 2 is a whole copy, the other holds a repeated passage.
+    assert removed([(0, passage), (1, other), (2, other), (2, passage + " tail")]) == [(0, 20, 0), (1, 20, 0), (2, 20, 20), (2, 21, 20)]
+    # Equal ids do not shorten each other.
+    assert removed([(2, passage + " one"), (2, passage + " two"), (None, passage)]) == [(0, 20, 0), (2, 21, 0), (2, 21, 0)]
+
+
+def test_a_passage_that_most_documents_share(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"s{j} t{j} " + passage + f" u{j} v{j}" if j % 3 else " ".join(f"q{j}x{i}" for i in range(25)) for j in range(300)]
+    rows = substring.deduplicated(documents(spark, texts).repartition(20)).collect()
+    kept = brute.kept_words(dict(enumerate(texts, 1)), 13)
+    assert {r["doc_id"]: r["kept_sha256"] for r in rows} == {i: brute.sha(" ".join(k)) for i, k in kept.items()}
+    # What segments send: an anchor once, whatever the number of its documents.
+    told = documents(spark, texts).repartition(1).select("doc_id", "text", F.xxhash64("text").alias("key"))
+    sent = told.mapInArrow(substring._anchor_rows(13, 7), substring._ANCHORS).where("anchors is null")
+    assert sent.groupBy("slot").count().where("count > 1").isEmpty()
+
+
 def test_segments_decide_alike(spark, monkeypatch):
     """Whatever the segments are, the result is the same."""
     texts = [" ".join(f"w{(i * j) % 7}" for i in range(20)) for j in range(30)]
@@ -261,3 +319,26 @@ def test_shards_hold_every_id_once_at_a_fixed_stride(spark):
 
 def test_nothing_to_store(spark):
     assert token_store.write_shards(documents(spark, []), shared_path(spark, "none"), VOCABULARY, public_tokenizers.PATTERN, END) == 0
+
+
+def test_ids_that_do_not_fit_a_record_are_an_error(spark, tmp_path):
+    docs = documents(spark, ["a b"])
+    with pytest.raises(ValueError, match="end_id"):
+        token_store.write_shards(docs, f"{tmp_path}/a", VOCABULARY, public_tokenizers.PATTERN, 1 << 16)
+    wide = tmp_path / "wide.tiktoken"
+    wide.write_text("\n".join(f"{base64.b64encode(bytes([i])).decode()} {i if i != 97 else 70_000}" for i in range(256)))
+    with pytest.raises(Exception, match="do not fit a record"):
+        token_store.write_shards(docs, f"{tmp_path}/b", str(wide), public_tokenizers.PATTERN, END)
+
+
+def test_a_task_writes_a_range_of_shards(spark, tmp_path):
+    layout = token_store.Layout(4, 2)
+    docs = documents(spark, [f"some words {i} and more of them" for i in range(120)])
+    n = token_store.write_shards(docs, f"{tmp_path}/s", VOCABULARY, public_tokenizers.PATTERN, END, layout)
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/s").select("path", "shard").collect()
+    assert len(files) == -(-n // 2) > 16
+    tasks = {}
+    for row in files:
+        tasks.setdefault(re.search(r"part-(\d+)", row["path"])[1], []).append(row["shard"])
+    assert all(sorted(s) == list(range(min(s), max(s) + 1)) for s in tasks.values()) and len(tasks) == 16
+    assert [r["slot"] for r in token_store.read_slots(spark, f"{tmp_path}/s", layout).orderBy("slot").collect()] == list(range(n))
