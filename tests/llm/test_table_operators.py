@@ -299,7 +299,7 @@ def test_rare_bad_hosts_are_found_in_a_large_table(spark):
     )
     bad = F.col("id") % 2400 == 7
     labels = spark.range(0, n, 1).select(
-        F.col("id").alias("doc_id"), F.when(bad, 0).when(F.col("id") % 5 == 1, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic")
+        F.col("id").alias("doc_id"), F.when(bad, 0).when(F.col("id") % 7 == 1, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic")
     ).where("doc_id % 4 != 2")
     judged = url_rules.judge(pages, labels, URL_RULES, least_pages=10)
     verdicts = {tuple(r) for r in judged.select(F.startswith("host", F.lit("bad")), "verdict").distinct().collect()}
