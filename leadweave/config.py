@@ -44,7 +44,9 @@ class Settings:
     filter_empty: bool = True
     address_backfill: bool = True
     dedup_mode: str = "exact"  # or "closure"
-    output_format: str = "both"  # "json", "csv" or "both"
+    # Hosts that many companies share (directories, social networks): they do not make two sightings one company.
+    ignore_hosts: list[str] = field(default_factory=list)
+    output_format: str = "both"  # "json" (one record a line), "json_array", "csv" or "both" (json and csv)
     output_dir: str = "results"
     # Reproduce the character-wise strip of leading "w" and "." in host names.
     legacy_hosts: bool = False
@@ -55,7 +57,7 @@ class Settings:
     def __post_init__(self):
         if self.dedup_mode not in ("exact", "closure"):
             raise ValueError(f"unknown dedup mode: {self.dedup_mode}")
-        if self.output_format.lower() not in ("json", "csv", "both"):
+        if self.output_format.lower() not in ("json", "json_array", "csv", "both"):
             raise ValueError(f"unknown output format: {self.output_format}")
         object.__setattr__(self, "sources", self.sources or ["maps"])
 

@@ -21,18 +21,22 @@ companies and connects those that share a name.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from leadweave.functions.name import name_key
-from leadweave.functions.url import site_key
+from leadweave.functions.url import on_listed_site, site_key
 from leadweave.operators.skew import spread_min, with_bucket
 from leadweave.session import discard, settle
 
 
-def duplicate_keys(sightings: DataFrame, legacy_hosts: bool = False) -> DataFrame:
+def duplicate_keys(sightings: DataFrame, legacy_hosts: bool = False, ignore_hosts: Sequence[str] = ()) -> DataFrame:
+    """``seq, site, name``; a site on one of *ignore_hosts*, or below one, is no key."""
+    site = site_key(F.col("website"), legacy_hosts)
     return sightings.select(
         "seq",
-        site_key(F.col("website"), legacy_hosts).alias("site"),
+        (F.when(~on_listed_site(site, ignore_hosts), site) if ignore_hosts else site).alias("site"),
         F.nullif(name_key(F.col("company_name")), F.lit("")).alias("name"),
     )
 
@@ -142,8 +146,10 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return centres.where(F.col("low") != F.col("high")).isEmpty()
 
 
-def duplicate_slots(sightings: DataFrame, mode: str = "exact", legacy_hosts: bool = False) -> DataFrame:
+def duplicate_slots(
+    sightings: DataFrame, mode: str = "exact", legacy_hosts: bool = False, ignore_hosts: Sequence[str] = ()
+) -> DataFrame:
     """``(seq, slot)`` for every sighting. A repeated ``seq`` is an error."""
-    keys = duplicate_keys(sightings, legacy_hosts)
+    keys = duplicate_keys(sightings, legacy_hosts, ignore_hosts)
     slots = exact_slots(keys) if mode == "exact" else closure_slots(keys)
     return slots.select("seq", "slot")

@@ -13,7 +13,8 @@ from leadweave.functions import email as E, html as H
 from leadweave.functions.dom import content_blocks
 from leadweave.functions.text import cut, drop_boilerplate, matches_any, present, strip
 from leadweave.functions.url import is_http_url, site_base, with_scheme
-from leadweave.operators.skew import hot_keys, skew_join
+from leadweave.operators.key_filter import key_filter
+from leadweave.operators.skew import hot_keys, hot_keys_of, skew_join
 from leadweave.session import settle
 
 
@@ -114,10 +115,13 @@ def page_contacts(pages: DataFrame) -> DataFrame:
     return found.withColumns({"email": F.col("best.email"), "strategy": F.col("best.strategy")}).drop("best")
 
 
+_FEATURES = ("url", "email", "strategy", "description", "has_html", "unread")
+
+
 def page_features(crawl: DataFrame, length: int = DESCRIPTION_LENGTH) -> DataFrame:
     """Per usable URL: best address, its strategy, description, and whether it has HTML."""
     found = with_description(page_contacts(crawl), length)
-    return one_per_url(found.select("url", "email", "strategy", "description", "has_html", "unread"))
+    return one_per_url(found.select(*_FEATURES))
 
 
 def one_per_url(features: DataFrame) -> DataFrame:
@@ -194,25 +198,55 @@ def lead_pages(leads: DataFrame, homes: DataFrame, contacts: DataFrame, paths: S
     home = homes.select(
         F.col("url").alias("fetch"), F.col("email").alias("home_email"), F.col("description").alias("home_description")
     )
-    joined = skew_join(keyed, home, "fetch", "lead_id")
+    hot = hot_keys_of(keyed, ["fetch", "base"])
+    joined = skew_join(keyed, home, "fetch", "lead_id", hot=hot["fetch"])
     found = site_contacts(contacts, paths)
-    return skew_join(joined, found, "base", "lead_id", hot=hot_keys(keyed, "base")).drop("base", "fetch")
+    return skew_join(joined, found, "base", "lead_id", hot=hot["base"]).drop("base", "fetch")
 
 
-def pages_of(leads: DataFrame, crawl: DataFrame, paths: Sequence[str] = CONTACT_PATHS) -> tuple[DataFrame, DataFrame]:
-    """The crawled pages that *leads* can use: their homepages, and the contact-like pages of their sites.
+def role_pages(leads: DataFrame, crawl: DataFrame, paths: Sequence[str] = CONTACT_PATHS) -> tuple[DataFrame, DataFrame]:
+    """The crawled pages that *leads* may use, in one scan, and the list of what they ask for.
 
-    The URL alone decides, before any HTML is looked at. The lists of URLs and sites are written, so their
-    sizes are known to the joins.
+    A page's URL alone decides, before any HTML is looked at: ``is_home`` and ``is_contact`` tell whether it may be the
+    homepage of a lead, or a contact-like page of a lead's site. The keys are tested by a filter that lets
+    a few other pages through, so HTML is neither joined nor moved. The list has ``key`` and
+    whether it is a ``home`` (else a site).
     """
-    asked = settle(_with_urls(leads).where("url is not null").select("fetch", "base").distinct())
-    homes = asked.where("fetch is not null").select(F.col("fetch").alias("url")).distinct()
-    sites = asked.where("base is not null").select("base").distinct()
-    contact = crawl.where(contact_place(F.col("url"), paths) >= 0)
-    return (
-        crawl.join(homes, "url", "left_semi"),
-        contact.join(sites, site_base(F.col("url")) == F.col("base"), "left_semi"),
-    )
+    keyed = _with_urls(leads).where("url is not null")
+    keys = F.array(F.struct(F.col("fetch").alias("key"), F.lit(True).alias("home")), F.struct(F.col("base").alias("key"), F.lit(False).alias("home")))
+    asked = settle(keyed.select(F.inline(keys)).where("key is not null").distinct())
+    wanted = key_filter(asked.select(_role_key(F.col("home"), F.col("key")).alias("key")))
+    contact = contact_place(F.col("url"), paths) >= 0
+    tagged = crawl.withColumns({
+        "is_home": wanted.may_hold(_role_key(F.lit(True), F.col("url"))),
+        "is_contact": F.when(contact, wanted.may_hold(_role_key(F.lit(False), site_base(F.col("url"))))).otherwise(False),
+    })
+    return tagged.where("is_home or is_contact"), asked
+
+
+def _role_key(home: Column, key: Column) -> Column:
+    """One filter for both kinds of keys."""
+    return F.concat(F.when(home, F.lit("h ")).otherwise(F.lit("s ")), key)
+
+
+def asked_features(
+    leads: DataFrame, crawl: DataFrame, paths: Sequence[str] = CONTACT_PATHS, length: int = DESCRIPTION_LENGTH
+) -> tuple[DataFrame, DataFrame]:
+    """Features of the homepages and of the contact-like pages that *leads* use, each unique by URL; from one scan.
+
+    Contact pages are read for addresses only, homepages also for a description.
+    """
+    pages, asked = role_pages(leads, crawl, paths)
+    found = page_contacts(pages)
+    # A page that is no homepage has no markup from here on, so nothing looks for its description.
+    found = with_description(found.withColumn("markup", F.when(F.col("is_home"), F.col("markup"))), length)
+    found = settle(found.select(*_FEATURES, "is_home", "is_contact"))
+    homes = asked.where("home").select(F.col("key").alias("url"))
+    sites = asked.where("not home").select(F.col("key").alias("base"))
+    # What is left has no HTML; now the keys are compared themselves.
+    home = found.where("is_home").select(*_FEATURES).join(homes, "url", "left_semi")
+    contact = found.where("is_contact").select(*_FEATURES).join(sites, site_base(F.col("url")) == F.col("base"), "left_semi")
+    return one_per_url(home), one_per_url(contact.withColumn("description", F.lit(None).cast("string")))
 
 
 def enriched(
@@ -224,16 +258,11 @@ def enriched(
     A lead without website stays as it is; the others get the full URL even if no page was found,
     and lose an earlier contact page. *unread* counts the homepages that could not be parsed.
     """
-    home_pages, contact_pages = pages_of(leads, crawl, paths)
-    homes = page_features(home_pages, length)
+    homes, contacts = asked_features(leads, crawl, paths, length)
     if unread is not None:
         homes = homes.observe(unread, F.count_if("unread").alias("pages_unread"))
-    homes = settle(homes)
-    # Contact pages are read for addresses only.
-    contacts = page_contacts(contact_pages).withColumn("description", F.lit(None).cast("string"))
-    contacts = settle(one_per_url(contacts.select("url", "email", "strategy", "description", "has_html")))
     has_site = F.col("url").isNotNull()
-    found = lead_pages(leads, homes, contacts, paths)
+    found = lead_pages(leads, settle(homes), settle(contacts), paths)
     return found.select(
         "lead_id", "company_name",
         F.when(has_site, F.col("url")).otherwise(F.col("website")).alias("website"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -51,11 +52,13 @@ class LeadRun:
         return {k: n for o in self.counters.values() for k, n in o.get.items()}
 
 
-def merged_leads(sightings: DataFrame, mode: str = "exact", legacy_hosts: bool = False) -> DataFrame:
+def merged_leads(
+    sightings: DataFrame, mode: str = "exact", legacy_hosts: bool = False, ignore_hosts: Sequence[str] = ()
+) -> DataFrame:
     """Merge the duplicates among sightings that carry ``seq`` and ``sources``."""
     absent = [F.lit(None).cast("string").alias(c) for c in ("email", "contact_page") if c not in sightings.columns]
     records = sightings.select("*", *absent)
-    return merge_duplicates(records, duplicate_slots(sightings, mode, legacy_hosts))
+    return merge_duplicates(records, duplicate_slots(sightings, mode, legacy_hosts, ignore_hosts))
 
 
 def run(tables: LandedTables, settings: Settings) -> LeadRun:
@@ -68,7 +71,7 @@ def run(tables: LandedTables, settings: Settings) -> LeadRun:
     # Source parsing runs once; the keys and the merge both read the result.
     sightings = settle(counted(discover(tables, settings), "discovered"))
     found = source_counts(sightings)
-    merged = merged_leads(sightings, settings.dedup_mode, settings.legacy_hosts)
+    merged = merged_leads(sightings, settings.dedup_mode, settings.legacy_hosts, settings.ignore_hosts)
     # The joins count their hot keys on the merged leads, so these are written once.
     merged = settle(counted(merged, "merged"))
     counters["pages"] = Observation("pages")

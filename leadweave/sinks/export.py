@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadweave.fixed_values import SUMMARY_LENGTH
-from leadweave.operators.score import MAX_SCORE
+from leadweave.operators.score import MAX_SCORE, ranked
 from leadweave.operators.skew import numbered
 from leadweave.schema import EXPORT_COLUMNS
 
@@ -29,6 +29,28 @@ def write_json(leads: DataFrame, path: str) -> None:
     _clean(leads).write.json(path)
 
 
+def json_array_lines(leads: DataFrame) -> DataFrame:
+    """``record``: the lines of one JSON array, best lead first; *leads* (with unique ``seq``) are read twice.
+
+    The first line opens the array, the others begin with a comma, and the last one closes it. Which ones these are
+    follows from the least and the greatest place, so the lines can be written in parallel.
+    """
+    place = F.struct((-F.col("score")).alias("best"), "seq")
+    ends = leads.agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first, last = (ends.select(c).scalar() for c in ("first", "last"))
+    text = F.to_json(F.struct(*[c for c in EXPORT_COLUMNS]))
+    line = F.concat(F.when(place == first, "[").otherwise(","), text, F.when(place == last, "]").otherwise(""))
+    listed = leads.withColumn("sources", F.when(F.size("sources") > 0, F.col("sources")))
+    return ranked(listed).select(line.alias("record"))
+
+
+def write_json_array(leads: DataFrame, path: str) -> None:
+    """Text files that form one JSON array when put together in the order of their names; ``[]`` for no leads."""
+    spark = leads.sparkSession
+    lines = json_array_lines(leads)
+    (spark.createDataFrame([("[]",)], "record string") if leads.isEmpty() else lines).write.text(path)
+
+
 def list_text(items: Column) -> Column:
     """A list as ``['a', 'b']``."""
     joined = F.concat(F.lit("['"), F.array_join(items, "', '"), F.lit("']"))
@@ -56,10 +78,12 @@ def export(leads: DataFrame, path: str, output_format: str = "both") -> list[str
     if leads.isEmpty():
         return []
     paths = []
-    for name, write in (("json", write_json), ("csv", write_csv)):
-        if output_format.lower() in (name, "both"):
-            write(leads, f"{path}.{name}")
-            paths.append(f"{path}.{name}")
+    chosen = {"both": ("json", "csv")}.get(output_format.lower(), (output_format.lower(),))
+    for name, write in (("json", write_json), ("json_array", write_json_array), ("csv", write_csv)):
+        if name in chosen:
+            ending = name.removesuffix("_array")
+            write(leads, f"{path}.{ending}")
+            paths.append(f"{path}.{ending}")
     return paths
 
 

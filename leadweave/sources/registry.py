@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from leadweave.operators.enrich import lookup_term, with_looked_up_site
-from leadweave.operators.skew import first_per_group
+from leadweave.operators.skew import first_per_group, ranked_by_page
 from leadweave.session import settle
 from leadweave.sources import result_pages as R
 
@@ -25,10 +25,14 @@ def _of_search(pages: DataFrame, settings) -> DataFrame:
 
 
 def _limited(results: DataFrame, settings) -> DataFrame:
-    """The first results of the search; without a limit, their order serves as rank."""
-    if settings.limit is None:
-        return results.withColumnRenamed("place_order", "source_rank")
-    return first_per_group(results, ["search_term"], "place_order", settings.limit, "source_rank")
+    """The first results of the search with their rank among all of them; *results* are read twice.
+
+    Without a limit, ranks are counted page by page: the results of the pages before, then the place on the page.
+    """
+    if settings.limit is not None:
+        return first_per_group(results, ["search_term"], "place_order", settings.limit, "source_rank")
+    placed = results.withColumn("page", F.col("place_order.page_no"))
+    return ranked_by_page(placed, ["search_term"], "page", "place_order", "source_rank").drop("page")
 
 
 def _columns(df: DataFrame) -> DataFrame:

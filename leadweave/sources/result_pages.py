@@ -12,12 +12,9 @@ from leadweave.functions import dom, html as H
 from leadweave.functions.text import cut_snippet, present, strip
 from leadweave.functions.url import on_listed_site, resolved, site
 
-# Page number and place on the page, as one number that orders the results of a search.
-_PAGE_STEP = 1 << 32
-
-
 def result_order(page: str, pos: str) -> Column:
-    return F.col(page).cast("long") * _PAGE_STEP + F.col(pos)
+    """What orders the results of a search: the page's number, of any size, then the place on the page."""
+    return F.struct(F.col(page).cast("long").alias("page_no"), F.col(pos).cast("long").alias("pos"))
 
 
 def _first_of_each(rows: Column, key) -> Column:

@@ -215,12 +215,18 @@ SELECT c.name1 || ' {location}' AS search_term, s.page_no, s.url, s.html
 FROM {cards} c JOIN {search_pages} s ON s.page_id = c.page_no
 """
 
+# Listed domains: some are sites of sightings, some lie above them, most are neither.
+DOMAINS = """
+SELECT CASE o_orderkey % 3 WHEN 0 THEN 'lead' || o_orderkey || '.fr' WHEN 1 THEN ' Lead' || o_orderkey || '.MALT.fr' ELSE 'x.y' || o_orderkey || '.com' END AS domain
+FROM {orders} UNION ALL SELECT 'malt.fr' UNION ALL SELECT '' UNION ALL SELECT CAST(NULL AS STRING)
+"""
+
 RECIPES = {
     "raw_leads": RAW_LEADS, "crawl": CRAWL, "sightings": SIGHTINGS, "candidates": CANDIDATES,
     "spellings": SPELLINGS, "dressed": DRESSED, "hits": HITS, "search_pages": SEARCH_PAGES, "cards": CARDS,
     "directory_pages": DIRECTORY_PAGES, "places_seen": PLACES_SEEN, "feed_pages": FEED_PAGES,
     "place_pages": PLACE_PAGES, "lookup_hits": LOOKUP_HITS, "places": PLACES, "verdicts": VERDICTS,
-    "lead_verdicts": LEAD_VERDICTS, "address_pages": ADDRESS_PAGES, "lookup_pages": LOOKUP_PAGES,
+    "lead_verdicts": LEAD_VERDICTS, "address_pages": ADDRESS_PAGES, "lookup_pages": LOOKUP_PAGES, "domains": DOMAINS,
 }
 GIVEN = ["supplier", "customer", "nation", "orders", "pages", "documents"]
 

@@ -224,6 +224,14 @@ _STEPS: dict[str, str] = {
     "closure_slots": "SELECT a AS seq, min(b) AS slot FROM reach GROUP BY a",
     "ordered_pass": _ordered_pass("keys"),
     "exact_slots": "SELECT k.seq, o.slot FROM keys k JOIN ordered_pass o ON o.rn = k.rn",
+    "degrees": """SELECT site AS host, count(*) AS n_links, count(DISTINCT name) AS n_names FROM keys WHERE site IS NOT NULL
+GROUP BY site HAVING count(*) >= 0.004 * (SELECT count(site) FROM keys)""",
+    "open_keys": """SELECT seq, rn, CASE WHEN NOT EXISTS (SELECT 1 FROM degrees d WHERE d.n_names >= 3 AND (d.host = k.site OR ends_with(k.site, '.' || d.host))) THEN site END AS site, name
+FROM keys k""",
+    "open_pass": _ordered_pass("open_keys").replace("ordered_pass", "open_pass"),
+    "listed_suffixes": f"""SELECT DISTINCT site, array_to_string(labels[i:], '.') AS listed FROM (
+  SELECT site, labels, unnest(range(1, len(labels) + 1)) AS i FROM (SELECT DISTINCT {site_key('website')} AS site, string_split({site_key('website')}, '.') AS labels FROM plain) s) p
+WHERE listed IN (SELECT lower(trim(domain)) FROM domains WHERE domain <> '')""",
     "usable": r"SELECT * FROM crawl WHERE status = 200 AND (contains(content_type, 'text/html') OR content_type = '')",
     "texts": f"""SELECT *, {long_enough(cleaned(text_of("regexp_extract(markup, '(?s)<article>(.*)</article>', 1)")), cleaned(text_of("regexp_extract(markup, '(?s)<body>(.*)', 1)")))} AS block, {text_of('markup')} AS visible FROM (SELECT *, {markup('html')} AS markup FROM crawl) t""",
     "page_rows": f"""SELECT url, coalesce({', '.join(f'({accepted(s)})[1]' for s in STRATEGIES.values())}) AS email,
@@ -273,7 +281,7 @@ def _sql(body: str, extra: dict[str, str] | None = None) -> str:
                     order.append(name)
 
     add(body)
-    ctes = ", ".join(f"{n} AS MATERIALIZED ({steps[n] or recipe_sql(n)})" if n not in ("reach", "ordered_pass")
+    ctes = ", ".join(f"{n} AS MATERIALIZED ({steps[n] or recipe_sql(n)})" if n not in ("reach", "ordered_pass", "open_pass")
                      else f"{n} AS ({steps[n]})" for n in order)
     return f"WITH RECURSIVE {ctes} {body}" if order else body
 
@@ -335,6 +343,8 @@ UNION ALL SELECT 'google', company_name, website, description, NULL FROM search_
     "serp_leads": "SELECT * FROM search_found",
     "merge_fields": "SELECT * FROM by_name",
     "dedup_exact": "SELECT seq, slot FROM exact_slots",
+    "host_degrees": "SELECT * FROM degrees",
+    "dedup_ignore_hosts": "SELECT k.seq, o.slot FROM open_keys k JOIN open_pass o ON o.rn = k.rn",
     "dedup_closure": "SELECT seq, slot FROM closure_slots",
     "dedup_merge": ("SELECT * FROM report_leads", "exact_slots"),
     "dedup_merge_closure": ("SELECT * FROM report_leads", "closure_slots"),
@@ -343,6 +353,7 @@ UNION ALL SELECT 'google', company_name, website, description, NULL FROM search_
     "rank_leads": "SELECT lead_id, company_name, score FROM scored ORDER BY score DESC, lead_id",
     "only_fields": f"SELECT lead_id FROM plain WHERE {present('email')} AND {present('website')} AND {present('address')}",
     "junk_domain": f"SELECT lead_id, {_JUNK_SITE} AS junk FROM plain",
+    "junk_domain_table": f"""SELECT lead_id, listed FROM plain LEFT JOIN (SELECT site, arg_max(listed, length(listed)) AS listed FROM listed_suffixes GROUP BY site) s ON s.site = {site_key('website')}""",
     "junk_name": f"SELECT lead_id, {_JUNK_NAME} AS junk FROM plain",
     "empty_records": f"SELECT lead_id FROM plain WHERE {_EMPTY}",
     "junk_filter": f"SELECT lead_id, company_name, website FROM plain WHERE {_REASON} IS NULL",
@@ -391,6 +402,8 @@ def _json_record() -> str:
 
 
 BODIES["json_records"] = _json_record()
+BODIES["export_json_array"] = f"""SELECT CASE WHEN row_number() OVER best = 1 THEN '[' ELSE ',' END AS mark, row_number() OVER best = count(*) OVER () AS closes, record
+FROM ({_json_record().replace(' AS record FROM', ' AS record, score, lead_id FROM')}) r WINDOW best AS (ORDER BY score DESC, lead_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadweave.config import Settings
 from leadweave.functions import email as E, html as H, name as N, text as T, url as U
-from leadweave.operators import dedup, enrich, filters, relevance, score
+from leadweave.operators import dedup, enrich, filters, hosts, relevance, score
 from leadweave.operators.merge import merge_records
 from leadweave.plans.lead_run import LandedTables, merged_leads, run, run_and_export
 from leadweave.schema import EXPORT_COLUMNS
@@ -184,7 +184,8 @@ def source_run(spark, sf_dir):
 
 @_register
 def place_urls(spark, sf_dir):
-    return R.place_urls(table(spark, sf_dir, "feed_pages"))
+    found = R.place_urls(table(spark, sf_dir, "feed_pages"))
+    return found.withColumn("place_order", F.col("place_order.page_no") * (1 << 32) + F.col("place_order.pos"))
 
 
 @_register
@@ -232,6 +233,20 @@ def dedup_closure(spark, sf_dir):
     return dedup.duplicate_slots(table(spark, sf_dir, "raw_leads"), "closure")
 
 
+@_register
+def host_degrees(spark, sf_dir):
+    """Hosts with one in 250 of the websites."""
+    return hosts.host_degrees(table(spark, sf_dir, "raw_leads"), least_share=0.004)
+
+
+@_register
+def dedup_ignore_hosts(spark, sf_dir):
+    """Hosts of several company names join nothing."""
+    sightings = table(spark, sf_dir, "raw_leads")
+    ignored = hosts.shared_hosts(sightings, least_names=3, least_share=0.004)
+    return dedup.duplicate_slots(sightings, ignore_hosts=ignored)
+
+
 @_register
 def dedup_merge(spark, sf_dir):
     return _text(merged_leads(_tagged(spark, sf_dir, "raw_leads"))).drop("score", "seq")
@@ -268,6 +283,13 @@ def junk_domain(spark, sf_dir):
     return _plain_leads(spark, sf_dir, "sightings").select("lead_id", filters.is_junk_site().alias("junk"))
 
 
+@_register
+def junk_domain_table(spark, sf_dir):
+    """Sites against a long table of domains, subdomains included."""
+    leads = _plain_leads(spark, sf_dir, "sightings")
+    return hosts.with_listed_domain(leads, table(spark, sf_dir, "domains")).select("lead_id", "listed")
+
+
 @_register
 def junk_name(spark, sf_dir):
     return _plain_leads(spark, sf_dir, "sightings").select("lead_id", filters.is_junk_name().alias("junk"))
@@ -444,6 +466,18 @@ def export_json(spark, sf_dir):
     return _text(spark.read.schema(LEAD_JSON).json(path))
 
 
+@_register
+def export_json_array(spark, sf_dir):
+    """The lines of the array as written: their marks and the records between them."""
+    path = shared_path(spark, "export-json-array")
+    export.write_json_array(settle(_scored(spark, sf_dir)), path)
+    lines = spark.read.text(path)
+    return lines.select(
+        F.substring("value", 1, 1).alias("mark"), F.endswith("value", F.lit("}]")).alias("closes"),
+        F.regexp_extract("value", r"^.(\{.*\})\]?$", 1).alias("record"),
+    )
+
+
 @_register
 def json_records(spark, sf_dir):
     return export.json_record(_scored(spark, sf_dir))

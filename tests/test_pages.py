@@ -1,5 +1,7 @@
 """Page features, joins to pages, result pages, look-ups."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,11 +115,27 @@ def test_only_usable_pages_of_leads_are_read(spark, crawl_of):
     crawl = crawl_of(page("https://a.fr/x", "1"), page("https://a.fr/contact", "2"), page("https://b.fr", "3"),
                      page("https://b.fr/contact", "4"), *[page(f"https://a.fr/blog/{i}", "no") for i in range(50)])
     leads = spark.createDataFrame([lead(1, website="a.fr/x"), lead(2), lead(3, website="c.fr")], LEAD)
-    homes, contacts = enrich.pages_of(leads, crawl)
-    assert [r["html"] for r in homes.collect()] == ["1"]
-    assert [r["html"] for r in contacts.collect()] == ["2"]
-    assert all(df.count() == 0 for df in enrich.pages_of(leads.where("lead_id = 2"), crawl))
-    assert [r["html"] for r in enrich.pages_of(leads, crawl, ["/blog/7"])[1].collect()] == ["no"]
+    pages, asked = enrich.role_pages(leads, crawl)
+    assert {(r["key"], r["home"]) for r in asked.collect()} == {
+        ("https://a.fr/x", True), ("https://a.fr", False), ("https://c.fr", True), ("https://c.fr", False)}
+    assert {(r["html"], r["is_home"], r["is_contact"]) for r in pages.collect()} == {("1", True, False), ("2", False, True)}
+    assert enrich.role_pages(leads.where("lead_id = 2"), crawl)[0].count() == 0
+    some = enrich.role_pages(leads, crawl, ["/blog/7"])[0]
+    assert [r["html"] for r in some.where("is_contact").collect()] == ["no"]
+    homes, contacts = enrich.asked_features(leads, crawl)
+    assert [r["url"] for r in homes.collect()] == ["https://a.fr/x"] and [r["url"] for r in contacts.collect()] == ["https://a.fr/contact"]
+
+
+def test_html_is_read_by_one_scan_and_never_moved(spark, crawl_of, tmp_path):
+    crawl_of(*[page(f"https://s{i}.fr{p}", f"<p>m{i}@s{i}.fr</p>") for i in range(30) for p in ("", "/contact", "/x")]).write.parquet(f"{tmp_path}/crawl")
+    leads = spark.createDataFrame([lead(i, website=f"s{i}.fr") for i in range(30)], LEAD)
+    pages, _ = enrich.role_pages(leads, spark.read.parquet(f"{tmp_path}/crawl"))
+    read = enrich.with_description(enrich.page_contacts(pages), 100).select("url", "email", "description")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("Subquery")[0]
+    assert len(set(re.findall(r"FileScan parquet \[[^\]]*html#(\d+)", plan))) == 1 and plan.count("html#") > 0
+    assert "Exchange" not in above and "Join" not in above
+    assert read.count() == 60
 
 
 def test_repeated_pages_do_not_multiply(spark, crawl_of):
