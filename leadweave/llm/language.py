@@ -110,11 +110,9 @@ class Windows:
         return np.maximum(self.end - self.start - 1 - t, 0)
 
 
-def _sigmoid(x: np.ndarray) -> None:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    np.reciprocal(x, out=x)
+def _by_gate(weights: np.ndarray) -> np.ndarray:
+    """Weights of the two gates and of the fresh state one behind the other, so that each lies in one piece."""
+    return np.ascontiguousarray(np.stack(np.split(weights, 3, axis=-1)))
 
 
 def _states(net: Network, steps: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -122,25 +120,32 @@ def _states(net: Network, steps: np.ndarray, keep: list | None = None) -> np.nda
     t, _, n = steps.shape
     size = net.state.shape[1]
     states = np.zeros((t + 1, 2, n, size), np.float32)
-    given, own = np.empty((2, n, 3 * size), np.float32), np.empty((2, n, 3 * size), np.float32)
-    for i in range(t):
-        h = states[i]
-        np.take(net.byte, steps[i], axis=0, out=given)
-        np.matmul(h, net.state, out=own)
-        gates = given[..., :2 * size]
-        gates += own[..., :2 * size]
-        with np.errstate(over="ignore"):
-            _sigmoid(gates)
-        fresh = own[..., 2 * size:] * gates[..., size:]
-        fresh += given[..., 2 * size:]
-        np.tanh(fresh, out=fresh)
-        if keep is not None:
-            keep.append((gates.copy(), fresh.copy(), own[..., 2 * size:].copy()))
-        # z h + (1 - z) fresh
-        following = states[i + 1]
-        np.subtract(h, fresh, out=following)
-        following *= gates[..., :size]
-        following += fresh
+    byte, state = _by_gate(net.byte), _by_gate(net.state)
+    # A gate is 1 / (1 + exp(-x)); the sign is put into the weights once.
+    byte[:2] *= -1
+    state[:2] *= -1
+    given, own = np.empty((3, 2, n, size), np.float32), np.empty((3, 2, n, size), np.float32)
+    gates, fresh = given[:2], given[2]
+    with np.errstate(over="ignore"):
+        for i in range(t):
+            h, following = states[i], states[i + 1]
+            np.take(byte, steps[i], axis=1, out=given, mode="clip")
+            np.matmul(h, state, out=own)
+            gates += own[:2]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            if keep is not None:
+                mine = own[2].copy()
+            own[2] *= gates[1]
+            fresh += own[2]
+            np.tanh(fresh, out=fresh)
+            if keep is not None:
+                keep.append((gates[0].copy(), gates[1].copy(), fresh.copy(), mine))
+            # z h + (1 - z) fresh
+            np.subtract(h, fresh, out=following)
+            following *= gates[0]
+            following += fresh
     return states
 
 
@@ -199,8 +204,7 @@ def gradients(net: Network, windows: Windows, language: np.ndarray) -> tuple[flo
     state, byte = np.zeros_like(net.state), np.empty((t, 2, n, 3 * size), np.float32)
     turned, back = net.state.transpose(0, 2, 1), np.zeros((2, n, size), np.float32)
     for i in range(t - 1, -1, -1):
-        h, (gates, fresh, mine) = states[i], keep[i]
-        z, r = gates[..., :size], gates[..., size:]
+        h, (z, r, fresh, mine) = states[i], keep[i]
         error = down[i] + back
         d_fresh = error * (1 - z) * (1 - fresh * fresh)
         through = byte[i]
