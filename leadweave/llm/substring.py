@@ -175,7 +175,7 @@ def _anchor_rows(width: int, run: int) -> Callable[[Iterator[pa.RecordBatch]], I
             anchor, ids, keys = anchor[order], ids[order], keys[order]
             starts, counts = _groups(ids, keys)
             lists = [anchor[s:s + n] for s, n in zip(starts.tolist(), counts.tolist())]
-            yield batch(keys[starts], ids[starts], keys[starts], lists)
+            yield batch(_mixed((ids ^ keys).view(np.uint64))[starts].view(np.int64), ids[starts], keys[starts], lists)
 
     return rows
 
@@ -184,8 +184,8 @@ def shared_anchors(documents: DataFrame, width: int, run: int) -> DataFrame:
     """``doc_id, key, anchors``: of each of ``doc_id, text, key`` those of its anchors that other documents have too."""
     told = documents.mapInArrow(_anchor_rows(width, run), _ANCHORS)
     # A segment sends an anchor once, so even the commonest one has only as many short rows as there are segments.
-    # Rows that are settled lie in slots of their own texts; one shuffle takes all kinds. A text's digest that
-    # equals an anchor only means that windows are counted in vain.
+    # Rows that are settled lie in slots of their own; one shuffle takes all kinds. A slot that happens to
+    # equal an anchor only means that windows are counted in vain.
     asked = F.col("anchors").isNull()
     segments, told_of = (f.over(Window.partitionBy("slot")) for f in (F.count_if(asked), F.count_if(asked & F.col("doc_id").isNull())))
     shared = told.withColumn("shared", ~asked | (segments > 1) | (told_of > 0)).where(F.col("shared") & F.col("doc_id").isNotNull())
@@ -292,8 +292,14 @@ def deduplicated(documents: DataFrame, width: int = WIDTH, run: int = ANCHOR) ->
     ``intervals`` are the maximal removed runs of words and ``kept`` the words that are left, null where
     nothing was removed; ``kept_sha256`` is always the digest of what is left.
     """
-    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    digests = settle(keyed.select(*ROW, joined_words(F.col("text")).alias("all")).select(*ROW, "all.*"))
+    digests = documents.select("doc_id", F.xxhash64("text").alias("digest"), joined_words(F.col("text")).alias("all"))
+    digests = settle(digests.select("doc_id", "digest", "all.*"))
+    # Only rows whose id has several texts need the digest of theirs; for all others it would be moved for nothing.
+    ends = digests.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    several = settle(ends.where("low <> high").select("doc_id", F.lit(True).alias("several")))
+    key = lambda digest: F.when(F.col("several"), digest).otherwise(F.lit(0).cast("long")).alias("key")
+    keyed = documents.select("doc_id", "text").join(several, "doc_id", "left").select("doc_id", "text", key(F.xxhash64("text")))
+    digests = digests.join(several, "doc_id", "left").select("doc_id", key(F.col("digest")), "n", "sha256")
     firsts = digests.where(F.col("n") >= width).groupBy("sha256").agg(F.min("doc_id").alias("first"))
     marked = digests.join(firsts, "sha256", "left")
     copies = settle(marked.where("doc_id > first").select(*ROW).distinct())
