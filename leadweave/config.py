@@ -6,7 +6,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from leadweave.fixed_values import ACCEPTED_ANSWERS, CONTACT_PATHS, DESCRIPTION_LENGTH, REQUIRED_FIELDS, SOURCE_NAMES
+from leadweave.fixed_values import (
+    ACCEPTED_ANSWERS, BUSINESS_EMAIL_POINTS, CONTACT_PATHS, DESCRIPTION_LENGTH, FIELD_POINTS, FREE_EMAIL_POINTS,
+    JUNK_NAME_PARTS, JUNK_SITES, MULTI_SOURCE_POINTS, REQUIRED_FIELDS, SOURCE_NAMES,
+)
 
 
 def _listed(text: str, allowed: Iterable[str], what: str) -> list[str]:
@@ -32,6 +35,33 @@ def parse_only(raw: str) -> list[str]:
     return _listed(raw, REQUIRED_FIELDS, "field")
 
 
+@dataclass(frozen=True)
+class ScoreWeights:
+    """Points of a lead; the bounds of the score follow from them."""
+
+    fields: dict[str, int] = field(default_factory=lambda: dict(FIELD_POINTS))
+    business_email: int = BUSINESS_EMAIL_POINTS
+    free_email: int = FREE_EMAIL_POINTS
+    several_sources: int = MULTI_SOURCE_POINTS
+
+    def __post_init__(self):
+        unknown = set(self.fields) - (set(REQUIRED_FIELDS.values()) - {"email"})
+        if unknown:
+            raise ValueError(f"no points can be given for: {', '.join(sorted(unknown))}")
+
+    @property
+    def most(self) -> int:
+        return self._bound(max)
+
+    @property
+    def least(self) -> int:
+        return self._bound(min)
+
+    def _bound(self, pick) -> int:
+        email = pick(self.business_email, self.free_email, 0)
+        return sum(pick(p, 0) for p in self.fields.values()) + email + pick(self.several_sources, 0)
+
+
 @dataclass(frozen=True)
 class Settings:
     query: str = ""
@@ -53,6 +83,12 @@ class Settings:
     contact_paths: list[str] = field(default_factory=lambda: list(CONTACT_PATHS))
     max_description_length: int = DESCRIPTION_LENGTH
     accepted_answers: list[str] = field(default_factory=lambda: list(ACCEPTED_ANSWERS))
+    weights: ScoreWeights = field(default_factory=ScoreWeights)
+    # What the junk filter drops, besides the domains of a landed table. Any length.
+    junk_sites: list[str] = field(default_factory=lambda: list(JUNK_SITES))
+    junk_name_parts: list[str] = field(default_factory=lambda: list(JUNK_NAME_PARTS))
+    # Spelled-out addresses count only if "at" and "dot" stand in brackets or between white space.
+    strict_spelled_out: bool = False
 
     def __post_init__(self):
         if self.dedup_mode not in ("exact", "closure"):

@@ -20,6 +20,12 @@ _LOCAL = r"[a-zA-Z0-9._%+\-]+"
 _LABEL = r"[a-zA-Z0-9\-]+"
 # Fixed value: a spelled-out address.
 SPELLED_OUT = rf"({_LOCAL}){_AT}({_LABEL}(?:{_DOT}{_LABEL})+)"
+# The marks of strict mode: in brackets, or between white space, never inside a word.
+_STRICT_AT, _STRICT_DOT = (
+    rf"(?:{_S}[\[({{]{_S}(?:{words}){_S}[\])}}]{_S}|[{SPACE}]++(?:{words})[{SPACE}]++)"
+    for words in ("at|AT|At|arobase", "dot|DOT|Dot|point")
+)
+STRICTLY_SPELLED_OUT = rf"({_LOCAL}){_STRICT_AT}({_LABEL}(?:{_STRICT_DOT}{_LABEL})+)"
 # Where a run of local-part characters begins, or where the last match ended. A match that fails
 # there fails at every later character of the run, so long runs cost one try instead of one each.
 _RUN_START = r"(?:(?<![a-zA-Z0-9._%+\-])|\G)"
@@ -75,16 +81,20 @@ def in_code(text: Column) -> Column:
     return find_all(text, MAIL_LINK, 1)
 
 
-def spelled_out(text: Column) -> Column:
-    """``name [at] host [dot] tld`` and its variants, as addresses."""
+def spelled_out(text: Column, strict: bool = False) -> Column:
+    """``name [at] host [dot] tld`` and its variants, as addresses.
+
+    The marks may stand inside words, so ``datapointing`` is read as one too; not so if *strict*.
+    """
+    pattern, dot = (STRICTLY_SPELLED_OUT, _STRICT_DOT) if strict else (SPELLED_OUT, _DOT)
     # Without these words there is no match; the first test is the rarer one to pass.
     possible = contains_any(text, ["dot", "DOT", "Dot", "point"]) & contains_any(text, ["at", "AT", "At", "arobase"])
-    matches = F.coalesce(F.when(possible, find_all(text, _RUN_START + SPELLED_OUT)), find_all(F.lit(""), "x"))
+    matches = F.coalesce(F.when(possible, find_all(text, _RUN_START + pattern)), find_all(F.lit(""), "x"))
 
     def restore(match):
-        local = F.regexp_extract(match, SPELLED_OUT, 1)
-        domain = F.regexp_extract(match, SPELLED_OUT, 2)
-        return F.concat(strip(local), F.lit("@"), F.btrim(F.regexp_replace(domain, _DOT, "."), F.lit(".")))
+        local = F.regexp_extract(match, pattern, 1)
+        domain = F.regexp_extract(match, pattern, 2)
+        return F.concat(strip(local), F.lit("@"), F.btrim(F.regexp_replace(domain, dot, "."), F.lit(".")))
 
     return F.filter(
         F.transform(matches, restore), lambda a: F.contains(F.substring_index(a, "@", -1), F.lit("."))

@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, functions as F
 
 from leadweave.fixed_values import BOILERPLATE, DESCRIPTION_LENGTH, SPACE, SPACE_CHARS
+from leadweave.functions.phrases import holds_any
 
 
 def let(value: Column, fn) -> Column:
@@ -43,8 +44,8 @@ def contains_any(c: Column, parts) -> Column:
 
 
 def matches_any(c: Column, parts) -> Column:
-    """The same for an expression: one pattern, so *c* is computed once."""
-    return c.rlike("|".join(rf"\Q{p}\E" for p in parts))
+    """The same for an expression and for lists of any length: one pattern, so *c* is computed once."""
+    return holds_any(c, parts)
 
 
 def drop_boilerplate(c: Column) -> Column:

@@ -70,6 +70,8 @@ def on_listed_site(key: Column, sites) -> Column:
     by_labels: dict[int, list[str]] = {}
     for site in sites:
         by_labels.setdefault(site.count(".") + 1, []).append(site)
+    if not by_labels:
+        return F.lit(False)
     tests = [F.substring_index(key, ".", -n).isin(group) for n, group in by_labels.items()]
     return F.coalesce(reduce(or_, tests), F.lit(False))
 

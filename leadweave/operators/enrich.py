@@ -37,20 +37,20 @@ def with_page_text(pages: DataFrame) -> DataFrame:
     return texts.withColumn("visible", H.text_of(F.col("markup")))
 
 
-def email_strategies() -> dict[str, Column]:
+def email_strategies(strict: bool = False) -> dict[str, Column]:
     """Raw candidates by strategy, best strategy first; over :func:`with_page_text`."""
     return {
         "link": E.in_links(H.link_targets(F.col("markup"))),
         "script": E.in_code(F.col("scripts")),
-        "spelled_out": E.spelled_out(F.col("visible")),
+        "spelled_out": E.spelled_out(F.col("visible"), strict),
         "raw_link": E.in_code(F.coalesce("html", F.lit(""))),
         "plain": E.in_text(F.col("visible")),
     }
 
 
-def page_emails(pages: DataFrame) -> DataFrame:
+def page_emails(pages: DataFrame, strict: bool = False) -> DataFrame:
     """All accepted addresses of each page in ``emails``, by strategy, then place."""
-    found = with_page_text(pages).withColumn("candidates", F.concat(*email_strategies().values()))
+    found = with_page_text(pages).withColumn("candidates", F.concat(*email_strategies(strict).values()))
     return found.withColumn("emails", E.accepted(F.col("candidates"))).drop("candidates")
 
 
@@ -105,11 +105,11 @@ def _candidates(strategy: int, found: Column) -> Column:
     return F.transform(found, lambda c: F.struct(F.lit(strategy).alias("strategy"), E.clean_email(c).alias("email")))
 
 
-def page_contacts(pages: DataFrame) -> DataFrame:
+def page_contacts(pages: DataFrame, strict: bool = False) -> DataFrame:
     """Add the best address of each usable page, its strategy (0 is best), and whether the page has HTML."""
     texts = with_page_text(usable_pages(pages).withColumn("has_html", present(F.col("html"))))
     # One pass of cleaning and judging over the candidates of all strategies.
-    tagged = F.concat(*[_candidates(i, found) for i, found in enumerate(email_strategies().values())])
+    tagged = F.concat(*[_candidates(i, found) for i, found in enumerate(email_strategies(strict).values())])
     best = F.get(F.filter(tagged, lambda c: E.is_valid_email(c["email"])), F.lit(0))
     found = texts.withColumn("best", best).drop("html", "visible", "scripts")
     return found.withColumns({"email": F.col("best.email"), "strategy": F.col("best.strategy")}).drop("best")
@@ -118,9 +118,9 @@ def page_contacts(pages: DataFrame) -> DataFrame:
 _FEATURES = ("url", "email", "strategy", "description", "has_html", "unread")
 
 
-def page_features(crawl: DataFrame, length: int = DESCRIPTION_LENGTH) -> DataFrame:
+def page_features(crawl: DataFrame, length: int = DESCRIPTION_LENGTH, strict: bool = False) -> DataFrame:
     """Per usable URL: best address, its strategy, description, and whether it has HTML."""
-    found = with_description(page_contacts(crawl), length)
+    found = with_description(page_contacts(crawl, strict), length)
     return one_per_url(found.select(*_FEATURES))
 
 
@@ -230,14 +230,15 @@ def _role_key(home: Column, key: Column) -> Column:
 
 
 def asked_features(
-    leads: DataFrame, crawl: DataFrame, paths: Sequence[str] = CONTACT_PATHS, length: int = DESCRIPTION_LENGTH
+    leads: DataFrame, crawl: DataFrame, paths: Sequence[str] = CONTACT_PATHS, length: int = DESCRIPTION_LENGTH,
+    strict: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Features of the homepages and of the contact-like pages that *leads* use, each unique by URL; from one scan.
 
     Contact pages are read for addresses only, homepages also for a description.
     """
     pages, asked = role_pages(leads, crawl, paths)
-    found = page_contacts(pages)
+    found = page_contacts(pages, strict)
     # A page that is no homepage has no markup from here on, so nothing looks for its description.
     found = with_description(found.withColumn("markup", F.when(F.col("is_home"), F.col("markup"))), length)
     found = settle(found.select(*_FEATURES, "is_home", "is_contact"))
@@ -251,14 +252,14 @@ def asked_features(
 
 def enriched(
     leads: DataFrame, crawl: DataFrame, paths: Sequence[str] = CONTACT_PATHS, length: int = DESCRIPTION_LENGTH,
-    unread: Observation | None = None,
+    unread: Observation | None = None, strict: bool = False,
 ) -> DataFrame:
     """Leads with e-mail, description and contact page from their site.
 
     A lead without website stays as it is; the others get the full URL even if no page was found,
     and lose an earlier contact page. *unread* counts the homepages that could not be parsed.
     """
-    homes, contacts = asked_features(leads, crawl, paths, length)
+    homes, contacts = asked_features(leads, crawl, paths, length, strict)
     if unread is not None:
         homes = homes.observe(unread, F.count_if("unread").alias("pages_unread"))
     has_site = F.col("url").isNotNull()

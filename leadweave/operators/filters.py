@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 from operator import and_
 
@@ -16,21 +17,28 @@ def valid_leads(leads: DataFrame) -> DataFrame:
     return leads.where(present(strip(F.col("company_name"))))
 
 
-def is_junk_site(legacy_hosts: bool = False) -> Column:
-    return on_listed_site(site(F.col("website"), legacy_hosts), JUNK_SITES)
+def is_junk_site(legacy_hosts: bool = False, sites: Iterable[str] = JUNK_SITES) -> Column:
+    return on_listed_site(site(F.col("website"), legacy_hosts), sites)
 
 
-def is_junk_name() -> Column:
-    return matches_any(F.lower("company_name"), JUNK_NAME_PARTS)
+def is_junk_name(parts: Iterable[str] = JUNK_NAME_PARTS) -> Column:
+    return matches_any(F.lower("company_name"), parts)
 
 
 def is_empty_record() -> Column:
     return reduce(and_, [~present(F.col(c)) for c in REQUIRED_FIELDS.values()])
 
 
-def drop_reason(filter_empty: bool = True, legacy_hosts: bool = False) -> Column:
-    """``domain``, ``name`` or ``empty``, the first that applies; null for a lead to keep."""
-    reason = F.when(is_junk_site(legacy_hosts), "domain").when(is_junk_name(), "name")
+def drop_reason(
+    filter_empty: bool = True, legacy_hosts: bool = False, sites: Iterable[str] = JUNK_SITES,
+    name_parts: Iterable[str] = JUNK_NAME_PARTS, listed: Column | None = None,
+) -> Column:
+    """``domain``, ``name`` or ``empty``, the first that applies; null for a lead to keep.
+
+    *listed* tells which leads a table of domains names as well.
+    """
+    junk_site = is_junk_site(legacy_hosts, sites)
+    reason = F.when(junk_site if listed is None else listed | junk_site, "domain").when(is_junk_name(name_parts), "name")
     return reason.when(is_empty_record(), "empty") if filter_empty else reason
 
 
@@ -38,9 +46,9 @@ def without_junk(leads: DataFrame, filter_empty: bool = True, legacy_hosts: bool
     return leads.where(drop_reason(filter_empty, legacy_hosts).isNull())
 
 
-def drop_report(leads: DataFrame, filter_empty: bool = True, legacy_hosts: bool = False) -> DataFrame:
-    """How many leads each reason drops, and how many stay."""
-    reason = F.coalesce(drop_reason(filter_empty, legacy_hosts), F.lit("kept"))
+def drop_report(leads: DataFrame, filter_empty: bool = True, legacy_hosts: bool = False, reason: Column | None = None) -> DataFrame:
+    """How many leads each reason drops, and how many stay; *reason* is a :func:`drop_reason` with other lists."""
+    reason = F.coalesce(drop_reason(filter_empty, legacy_hosts) if reason is None else reason, F.lit("kept"))
     return leads.groupBy(reason.alias("reason")).agg(F.count("*").alias("n_leads"))
 
 

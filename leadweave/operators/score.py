@@ -7,34 +7,32 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadweave.fixed_values import (
-    BUSINESS_EMAIL_POINTS, FIELD_POINTS, FREE_EMAIL_POINTS, MULTI_SOURCE_POINTS,
-)
+from leadweave.config import ScoreWeights
 from leadweave.functions.email import is_free_email
 from leadweave.functions.text import present
 
-MAX_SCORE = sum(FIELD_POINTS.values()) + BUSINESS_EMAIL_POINTS + MULTI_SOURCE_POINTS
-MIN_SCORE = FREE_EMAIL_POINTS
+DEFAULT = ScoreWeights()
+MAX_SCORE, MIN_SCORE = DEFAULT.most, DEFAULT.least
 
 
-def lead_score() -> Column:
-    fields = [F.when(present(F.col(c)), points).otherwise(0) for c, points in FIELD_POINTS.items()]
+def lead_score(weights: ScoreWeights = DEFAULT) -> Column:
+    fields = [F.when(present(F.col(c)), points).otherwise(0) for c, points in weights.fields.items()]
     email = F.when(
         present(F.col("email")),
-        F.when(is_free_email(F.col("email")), FREE_EMAIL_POINTS).otherwise(BUSINESS_EMAIL_POINTS),
+        F.when(is_free_email(F.col("email")), weights.free_email).otherwise(weights.business_email),
     ).otherwise(0)
     seen_by = F.coalesce(F.size(F.array_distinct("sources")), F.lit(0))
-    several = F.when(seen_by >= 2, MULTI_SOURCE_POINTS).otherwise(0)
+    several = F.when(seen_by >= 2, weights.several_sources).otherwise(0)
     return reduce(add, [*fields, email, several]).cast("int")
 
 
-def scored(leads: DataFrame) -> DataFrame:
-    return leads.withColumn("score", lead_score())
+def scored(leads: DataFrame, weights: ScoreWeights = DEFAULT) -> DataFrame:
+    return leads.withColumn("score", lead_score(weights))
 
 
-def with_min_score(leads: DataFrame, least: int) -> DataFrame:
+def with_min_score(leads: DataFrame, least: int, weights: ScoreWeights = DEFAULT) -> DataFrame:
     """Leads with at least this score; the lowest possible score keeps all."""
-    return leads if least <= MIN_SCORE else leads.where(F.col("score") >= least)
+    return leads if least <= weights.least else leads.where(F.col("score") >= least)
 
 
 def ranked(leads: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from leadweave.config import Settings, output_base
 from leadweave.operators import enrich, filters, relevance, score
 from leadweave.operators.dedup import duplicate_slots
+from leadweave.operators.hosts import with_listed_domain
 from leadweave.operators.merge import merge_duplicates
 from leadweave.session import settle
 from leadweave.sinks.export import export
@@ -33,6 +34,8 @@ class LandedTables:
     places: DataFrame | None = None
     address_pages: DataFrame | None = None
     verdicts: DataFrame | None = None
+    # Further domains whose sites the junk filter drops, in ``domain``; a table of any length.
+    junk_domains: DataFrame | None = None
 
 
 @dataclass
@@ -76,7 +79,7 @@ def run(tables: LandedTables, settings: Settings) -> LeadRun:
     merged = settle(counted(merged, "merged"))
     counters["pages"] = Observation("pages")
     leads = filters.valid_leads(enrich.enriched(
-        merged, tables.crawl, settings.contact_paths, settings.max_description_length, counters["pages"]
+        merged, tables.crawl, settings.contact_paths, settings.max_description_length, counters["pages"], settings.strict_spelled_out
     ))
     places = tables.places
     if places is None and tables.address_pages is not None:
@@ -87,16 +90,23 @@ def run(tables: LandedTables, settings: Settings) -> LeadRun:
         leads = leads.drop("address_filled")
     else:
         leads = counted(leads, "valid")
-    leads = score.scored(leads)
+    leads = score.scored(leads, settings.weights)
     if settings.filter_junk:
-        reason = filters.drop_reason(settings.filter_empty, settings.legacy_hosts)
+        listed = None
+        if tables.junk_domains is not None:
+            # Sites and hot keys are looked up on the leads first, so these are written once.
+            leads = with_listed_domain(settle(leads), tables.junk_domains, settings.legacy_hosts)
+            listed = F.col("listed").isNotNull()
+        reason = filters.drop_reason(
+            settings.filter_empty, settings.legacy_hosts, settings.junk_sites, settings.junk_name_parts, listed
+        )
         leads = leads.withColumn("reason", reason)
         leads = counted(leads, "scored", *[
             F.count_if(F.col("reason") == r).alias(f"dropped_{r}") for r in ("domain", "name", "empty")
         ])
-        leads = leads.where(F.col("reason").isNull()).drop("reason")
+        leads = leads.where(F.col("reason").isNull()).drop("reason", "listed")
     leads = filters.with_fields(leads, settings.only)
-    leads = counted(score.with_min_score(leads, settings.min_score), "selected")
+    leads = counted(score.with_min_score(leads, settings.min_score, settings.weights), "selected")
     if tables.verdicts is None:
         return LeadRun(settle(leads), None, found, counters)
     # Written once: both halves read it.

@@ -87,12 +87,12 @@ def export(leads: DataFrame, path: str, output_format: str = "both") -> list[str
     return paths
 
 
-def summary(leads: DataFrame) -> DataFrame:
-    """Numbered listing, best first. Numbers come from bucket totals, not from one sorted task."""
+def summary(leads: DataFrame, most: int = MAX_SCORE) -> DataFrame:
+    """Numbered listing, best first, with scores out of *most*. Numbers come from bucket totals, not from one sorted task."""
     order = numbered(leads, ["score"], "seq", "number", across=[F.desc("score")])
     snippet = F.rtrim(F.substring("description", 1, SUMMARY_LENGTH))
     return order.select(
-        "number", "company_name", F.concat(F.lit("["), F.col("score"), F.lit(f"/{MAX_SCORE}]")).alias("score_tag"),
+        "number", "company_name", F.concat(F.lit("["), F.col("score"), F.lit(f"/{most}]")).alias("score_tag"),
         F.concat_ws(", ", "sources").alias("sources_tag"), "website", "email", "address", "contact_page",
         F.when(F.length("description") > SUMMARY_LENGTH, F.concat(snippet, F.lit("…"))).otherwise(snippet).alias("snippet"),
     ).orderBy("number")

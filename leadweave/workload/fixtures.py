@@ -221,12 +221,22 @@ SELECT CASE o_orderkey % 3 WHEN 0 THEN 'lead' || o_orderkey || '.fr' WHEN 1 THEN
 FROM {orders} UNION ALL SELECT 'malt.fr' UNION ALL SELECT '' UNION ALL SELECT CAST(NULL AS STRING)
 """
 
+# Spelled-out addresses: set off by brackets or white space, or read out of plain words.
+SPELLED_PAGES = """
+SELECT page_id, CASE page_id % 6
+    WHEN 0 THEN '<p>info' || page_id || ' [at] site' || page_id || '[dot]fr</p>' WHEN 1 THEN '<p>some datapointing words</p>'
+    WHEN 2 THEN '<p>sales' || page_id || ' at site dot co dot uk</p>' WHEN 3 THEN '<p>call(arobase) site (point) fr</p>'
+    WHEN 4 THEN '<p>format site' || page_id || 'dotfr</p>' ELSE '' END || html AS html
+FROM {pages}
+"""
+
 RECIPES = {
     "raw_leads": RAW_LEADS, "crawl": CRAWL, "sightings": SIGHTINGS, "candidates": CANDIDATES,
     "spellings": SPELLINGS, "dressed": DRESSED, "hits": HITS, "search_pages": SEARCH_PAGES, "cards": CARDS,
     "directory_pages": DIRECTORY_PAGES, "places_seen": PLACES_SEEN, "feed_pages": FEED_PAGES,
     "place_pages": PLACE_PAGES, "lookup_hits": LOOKUP_HITS, "places": PLACES, "verdicts": VERDICTS,
     "lead_verdicts": LEAD_VERDICTS, "address_pages": ADDRESS_PAGES, "lookup_pages": LOOKUP_PAGES, "domains": DOMAINS,
+    "spelled_pages": SPELLED_PAGES,
 }
 GIVEN = ["supplier", "customer", "nation", "orders", "pages", "documents"]
 

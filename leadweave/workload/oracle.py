@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from leadweave import fixed_values as V
 from leadweave.workload.fixtures import LOCATION, RECIPES, inputs_of, recipe_sql
-from leadweave.workload.queries import FEW_PATHS, SHORT
+from leadweave.workload.queries import FEW_PATHS, JUNK_PHRASES, OTHER_PARTS, OTHER_SITES, OTHER_WEIGHTS, SHORT
 
 
 def _q(text: str) -> str:
@@ -119,9 +119,21 @@ STRATEGIES = {
 }
 _ALL_EMAILS = "list_concat(" + ", ".join(STRATEGIES.values()) + ")"
 
-_POINTS = " + ".join(f"CASE WHEN {present(c)} THEN {p} ELSE 0 END" for c, p in V.FIELD_POINTS.items())
-_SCORE = (f"CAST({_POINTS} + CASE WHEN NOT {present('email')} THEN 0 WHEN {email_free('email')} THEN {V.FREE_EMAIL_POINTS} "
-          f"ELSE {V.BUSINESS_EMAIL_POINTS} END + CASE WHEN len(string_split(sources, ' ')) >= 2 THEN {V.MULTI_SOURCE_POINTS} ELSE 0 END AS INT)")
+
+def _score(fields, business, free, several):
+    points = " + ".join(f"CASE WHEN {present(c)} THEN {p} ELSE 0 END" for c, p in fields.items())
+    return (f"CAST({points} + CASE WHEN NOT {present('email')} THEN 0 WHEN {email_free('email')} THEN {free} "
+            f"ELSE {business} END + CASE WHEN len(string_split(sources, ' ')) >= 2 THEN {several} ELSE 0 END AS INT)")
+
+
+_SCORE = _score(V.FIELD_POINTS, V.BUSINESS_EMAIL_POINTS, V.FREE_EMAIL_POINTS, V.MULTI_SOURCE_POINTS)
+_OTHER_SCORE = _score(OTHER_WEIGHTS.fields, OTHER_WEIGHTS.business_email, OTHER_WEIGHTS.free_email, OTHER_WEIGHTS.several_sources)
+# Marks in brackets, or between white space.
+_APART_AT, _APART_DOT = (
+    rf"(?:{_WS}[\[({{]{_WS}(?:{words}){_WS}[\])}}]{_WS}|[\s\x0b]+(?:{words})[\s\x0b]+)" for words in ("at|AT|At|arobase", "dot|DOT|Dot|point")
+)
+_APART = rf"([a-zA-Z0-9._%+\-]+){_APART_AT}([a-zA-Z0-9\-]+(?:{_APART_DOT}[a-zA-Z0-9\-]+)+)"
+_STRICT_EMAILS = rf"""list_transform(regexp_extract_all(visible, '{_APART}'), lambda m: regexp_extract(m, '{_APART}', 1) || '@' || trim(regexp_replace(regexp_extract(m, '{_APART}', 2), '{_APART_DOT}', '.', 'g'), '.'))"""
 
 _JUNK_SITE = listed(site_key("website"), V.JUNK_SITES)
 _JUNK_NAME = _any("lower(company_name)", V.JUNK_NAME_PARTS)
@@ -349,6 +361,14 @@ UNION ALL SELECT 'google', company_name, website, description, NULL FROM search_
     "dedup_merge": ("SELECT * FROM report_leads", "exact_slots"),
     "dedup_merge_closure": ("SELECT * FROM report_leads", "closure_slots"),
     "score": "SELECT lead_id, score FROM scored",
+    "score_weights": f"SELECT lead_id, s AS score, {OTHER_WEIGHTS.most} AS most FROM (SELECT lead_id, {_OTHER_SCORE} AS s FROM by_name) b WHERE s >= 3",
+    "junk_phrases": f"""SELECT lead_id, EXISTS (SELECT 1 FROM range({JUNK_PHRASES}) r(n) WHERE contains(lower(company_name), 'é ' || (3 * n) || ' s')) AS junk FROM plain""",
+    "drop_report_lists": f"""SELECT reason, count(*) AS n_leads FROM (
+  SELECT CASE WHEN l.site IS NOT NULL OR {listed(site_key('website'), OTHER_SITES)} THEN 'domain' WHEN {_any('lower(company_name)', OTHER_PARTS)} THEN 'name'
+    WHEN {_EMPTY} THEN 'empty' ELSE 'kept' END AS reason
+  FROM plain LEFT JOIN (SELECT DISTINCT site FROM listed_suffixes) l ON l.site = {site_key('website')}) r GROUP BY reason""",
+    "email_strict": f"""SELECT page_id, CAST(unnest(range(len(found))) AS INT) AS pos, unnest(found) AS email FROM (
+  SELECT page_id, {accepted(_STRICT_EMAILS)} AS found FROM (SELECT page_id, {text_of(markup('html'))} AS visible FROM spelled_pages) t) f""",
     "min_score": "SELECT lead_id, score FROM scored WHERE score >= 8",
     "rank_leads": "SELECT lead_id, company_name, score FROM scored ORDER BY score DESC, lead_id",
     "only_fields": f"SELECT lead_id FROM plain WHERE {present('email')} AND {present('website')} AND {present('address')}",

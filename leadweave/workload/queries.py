@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadweave.config import Settings
+from leadweave.config import ScoreWeights, Settings
 from leadweave.functions import email as E, html as H, name as N, text as T, url as U
 from leadweave.operators import dedup, enrich, filters, hosts, relevance, score
 from leadweave.operators.merge import merge_records
@@ -263,6 +263,17 @@ def dedup_merge_closure(spark, sf_dir):
 QUERIES["score"] = lambda spark, sf_dir: _scored(spark, sf_dir).select("lead_id", "score")
 
 
+# Other points than the usual ones, some below zero.
+OTHER_WEIGHTS = ScoreWeights(fields={"website": 5, "description": -1, "address": 3}, business_email=4, free_email=1, several_sources=-2)
+
+
+@_register
+def score_weights(spark, sf_dir):
+    """Other points; leads from the given score on, with the highest possible one."""
+    leads = score.scored(_by_name(spark, sf_dir), OTHER_WEIGHTS)
+    return score.with_min_score(leads, 3, OTHER_WEIGHTS).select("lead_id", "score", F.lit(OTHER_WEIGHTS.most).alias("most"))
+
+
 @_register
 def min_score(spark, sf_dir):
     return score.with_min_score(_scored(spark, sf_dir), 8).select("lead_id", "score")
@@ -290,6 +301,25 @@ def junk_domain_table(spark, sf_dir):
     return hosts.with_listed_domain(leads, table(spark, sf_dir, "domains")).select("lead_id", "listed")
 
 
+JUNK_PHRASES = 10_000
+OTHER_SITES, OTHER_PARTS = ["lead13.fr", "malt.fr"], ["top soci", "sarl"]
+
+
+@_register
+def junk_phrases(spark, sf_dir):
+    """Names against a long list of phrases, all in one pattern."""
+    phrases = [f"é {3 * n} s" for n in range(JUNK_PHRASES)]
+    return _plain_leads(spark, sf_dir, "sightings").select("lead_id", filters.is_junk_name(phrases).alias("junk"))
+
+
+@_register
+def drop_report_lists(spark, sf_dir):
+    """Other lists of junk sites and names, and a table of domains besides."""
+    leads = hosts.with_listed_domain(_plain_leads(spark, sf_dir, "sightings"), table(spark, sf_dir, "domains"))
+    reason = filters.drop_reason(sites=OTHER_SITES, name_parts=OTHER_PARTS, listed=F.col("listed").isNotNull())
+    return filters.drop_report(leads, reason=reason)
+
+
 @_register
 def junk_name(spark, sf_dir):
     return _plain_leads(spark, sf_dir, "sightings").select("lead_id", filters.is_junk_name().alias("junk"))
@@ -347,6 +377,14 @@ for _key, _name in [
     QUERIES[_key] = _strategy(_name)
 
 
+@_register
+def email_strict(spark, sf_dir):
+    """Spelled-out addresses whose marks stand apart; one page in two has one, or a word that looks like one."""
+    pages = enrich.with_page_text(table(spark, sf_dir, "spelled_pages"))
+    found = E.accepted(E.spelled_out(F.col("visible"), strict=True))
+    return pages.select("page_id", F.posexplode(found).alias("pos", "email"))
+
+
 @_register
 def email_all(spark, sf_dir):
     return enrich.page_emails(table(spark, sf_dir, "crawl")).select("url", _joined("emails").alias("emails"))
