@@ -66,6 +66,23 @@ def accepted(candidates: Column) -> Column:
     return F.array_distinct(F.filter(cleaned, is_valid_email))
 
 
+_AT_WORDS, _DOT_WORDS = ["at", "AT", "At", "arobase"], ["dot", "DOT", "Dot", "point"]
+
+
+def may_hold_link(html: Column) -> Column:
+    """False only for pages without any mail link: they neither have its mark nor numeric references to spell it by."""
+    return F.contains(F.lower(html), F.lit("mailto:")) | F.contains(html, F.lit("&#"))
+
+
+def may_hold_address(html: Column) -> Column:
+    """False only for pages whose visible text has no address, plain or spelled out.
+
+    No named reference gives one of the characters looked for, and a removed tag never joins two texts.
+    """
+    spelled = contains_any(html, _DOT_WORDS) & contains_any(html, _AT_WORDS)
+    return F.contains(html, F.lit("@")) | F.contains(html, F.lit("&#")) | spelled
+
+
 def in_text(text: Column) -> Column:
     return find_all(text, _RUN_START + ADDRESS, needs="@")
 
@@ -88,7 +105,7 @@ def spelled_out(text: Column, strict: bool = False) -> Column:
     """
     pattern, dot = (STRICTLY_SPELLED_OUT, _STRICT_DOT) if strict else (SPELLED_OUT, _DOT)
     # Without these words there is no match; the first test is the rarer one to pass.
-    possible = contains_any(text, ["dot", "DOT", "Dot", "point"]) & contains_any(text, ["at", "AT", "At", "arobase"])
+    possible = contains_any(text, _DOT_WORDS) & contains_any(text, _AT_WORDS)
     matches = F.coalesce(F.when(possible, find_all(text, _RUN_START + pattern)), find_all(F.lit(""), "x"))
 
     def restore(match):

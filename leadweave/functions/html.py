@@ -112,10 +112,12 @@ def _unquote(value: Column) -> Column:
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
-def link_targets(markup_: Column) -> Column:
-    """Decoded ``href`` values of all links, in page order."""
+def link_targets(markup_: Column, like: str | None = None) -> Column:
+    """Decoded ``href`` values of all links, in page order; with *like*, of those whose raw value, in quotes or not, has this pattern."""
     # Up to the next link at most, so that links without target are not read to the end each.
     values = find_all(markup_, rf"(?is)<a(?=\s)(?:(?!<a\s)[^>])*?\shref\s*+=\s*+{_VALUE}", 1)
+    if like is not None:
+        values = F.filter(values, lambda v: v.rlike(like))
     return F.transform(values, lambda v: decode_entities(_unquote(v)))
 
 

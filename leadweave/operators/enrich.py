@@ -30,28 +30,35 @@ def usable_pages(crawl: DataFrame) -> DataFrame:
     return crawl.where(is_usable() & is_http_url(F.col("url")))
 
 
-def with_page_text(pages: DataFrame) -> DataFrame:
-    """Add ``markup``, ``visible`` and ``scripts``; each is computed once and used several times."""
+def with_page_text(pages: DataFrame, mail_only: bool = False) -> DataFrame:
+    """Add ``markup``, ``visible``, ``scripts`` and ``has_link``; each is computed once and used several times.
+
+    ``has_link`` is false for pages that cannot have a mail link; their scripts are left out. With *mail_only* the visible text
+    is null where it cannot have an address, so pages without any mark of one are not looked through.
+    """
     html = F.coalesce("html", F.lit(""))
-    texts = pages.withColumns({"markup": H.markup(html), "scripts": H.script_text(html)})
-    return texts.withColumn("visible", H.text_of(F.col("markup")))
+    marked = pages.withColumns({"has_link": E.may_hold_link(html), "has_address": E.may_hold_address(html) if mail_only else F.lit(True)})
+    texts = marked.withColumns({"markup": H.markup(html), "scripts": F.when(F.col("has_link"), H.script_text(html)).otherwise("")})
+    return texts.withColumn("visible", F.when(F.col("has_address"), H.text_of(F.col("markup")))).drop("has_address")
 
 
 def email_strategies(strict: bool = False) -> dict[str, Column]:
     """Raw candidates by strategy, best strategy first; over :func:`with_page_text`."""
+    linked = lambda found: F.when(F.col("has_link"), found).otherwise(F.array().cast("array<string>"))
     return {
-        "link": E.in_links(H.link_targets(F.col("markup"))),
-        "script": E.in_code(F.col("scripts")),
+        # A link without references is a mail link as it stands or never.
+        "link": linked(E.in_links(H.link_targets(F.col("markup"), "(?i)^[\"']?mailto:|&#"))),
+        "script": linked(E.in_code(F.col("scripts"))),
         "spelled_out": E.spelled_out(F.col("visible"), strict),
-        "raw_link": E.in_code(F.coalesce("html", F.lit(""))),
+        "raw_link": linked(E.in_code(F.coalesce("html", F.lit("")))),
         "plain": E.in_text(F.col("visible")),
     }
 
 
 def page_emails(pages: DataFrame, strict: bool = False) -> DataFrame:
     """All accepted addresses of each page in ``emails``, by strategy, then place."""
-    found = with_page_text(pages).withColumn("candidates", F.concat(*email_strategies(strict).values()))
-    return found.withColumn("emails", E.accepted(F.col("candidates"))).drop("candidates")
+    found = with_page_text(pages, mail_only=True).withColumn("candidates", F.concat(*email_strategies(strict).values()))
+    return found.withColumn("emails", E.accepted(F.col("candidates"))).drop("candidates", "has_link")
 
 
 def with_blocks(pages: DataFrame) -> DataFrame:
@@ -107,11 +114,11 @@ def _candidates(strategy: int, found: Column) -> Column:
 
 def page_contacts(pages: DataFrame, strict: bool = False) -> DataFrame:
     """Add the best address of each usable page, its strategy (0 is best), and whether the page has HTML."""
-    texts = with_page_text(usable_pages(pages).withColumn("has_html", present(F.col("html"))))
+    texts = with_page_text(usable_pages(pages).withColumn("has_html", present(F.col("html"))), mail_only=True)
     # One pass of cleaning and judging over the candidates of all strategies.
     tagged = F.concat(*[_candidates(i, found) for i, found in enumerate(email_strategies(strict).values())])
     best = F.get(F.filter(tagged, lambda c: E.is_valid_email(c["email"])), F.lit(0))
-    found = texts.withColumn("best", best).drop("html", "visible", "scripts")
+    found = texts.withColumn("best", best).drop("html", "visible", "scripts", "has_link")
     return found.withColumns({"email": F.col("best.email"), "strategy": F.col("best.strategy")}).drop("best")
 
 

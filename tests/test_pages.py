@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from leadweave.functions import email as E, html as H
 from leadweave.operators import enrich
 from leadweave.schema import CRAWL, LEAD, PLACES
 from leadweave.sources import result_pages as R
@@ -23,6 +24,27 @@ def page(url, html, status=200, kind=HTML):
     return (url, status, kind, html)
 
 
+def test_pages_without_marks_are_skipped_and_no_others(crawl_of):
+    """Every way to hide an address: what is skipped has none."""
+    pages = [
+        '<a href="&#109;ailto:a@x.fr">m</a>', '<a href=MailTo:b@x.fr?subject=s>m</a>', "<a href='mailto:c&#64;x.fr'>m</a>", "<p>d&#64;x.fr</p>",
+        "<p>e &#97;t x d&#111;t fr</p>", "<p>f at x dot fr</p>", "<p>datapointing</p>", "<script>'mailto:g@x.fr'</script>", "<!-- mailto:h@x.fr -->",
+        "<p>i<b>@</b>x.fr</p>", "<p>no address</p>", "", None, '<a href="/m&#97;il">x</a>', '<a title="j@x.fr" href="mailto:">x</a>', "<p>k&#x40;x.fr &amp; l</p>",
+        '<a href="x mailto:l@x.fr">m</a>', "<p>format dots</p>",
+    ]
+    crawl = crawl_of(*[(f"https://s{i}.fr", 200, "text/html", html) for i, html in enumerate(pages)])
+    found = {r["url"]: r["emails"] for r in enrich.page_emails(crawl).collect()}
+    everything = F.concat(*[
+        E.in_links(H.link_targets(F.col("markup"))), E.in_code(H.script_text(F.coalesce("html", F.lit("")))), E.spelled_out(F.col("visible")),
+        E.in_code(F.coalesce("html", F.lit(""))), E.in_text(F.col("visible")),
+    ])
+    plain = {r["url"]: r["emails"] for r in enrich.with_page_text(crawl).select("url", E.accepted(everything).alias("emails")).collect()}
+    assert found == plain
+    assert found["https://s0.fr"] == ["a@x.fr"] and found["https://s2.fr"] == ["c@x.fr"] and found["https://s4.fr"] == ["e@x.fr"]
+    skipped = enrich.with_page_text(crawl, mail_only=True).where("visible is null and not has_link").collect()
+    assert {r["url"] for r in skipped} == {"https://s10.fr", "https://s11.fr", "https://s12.fr"}
+
+
 def test_usable_pages(crawl_of):
     df = crawl_of(page("http://a.fr", "x"), page("http://b.fr", "x", 404), page("http://c.fr", "x", kind="application/pdf"),
                   page("http://d.fr", "x", kind=""), page("http://e.fr", "x", kind=None), page("http://f.fr", "x", kind="TEXT/HTML"),
