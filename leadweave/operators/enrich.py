@@ -187,7 +187,7 @@ def site_contacts(features: DataFrame, paths: Sequence[str] = CONTACT_PATHS) ->
     )
 
 
-def _with_urls(leads: DataFrame) -> DataFrame:
+def with_urls(leads: DataFrame) -> DataFrame:
     """Add ``url`` (the website with scheme), ``base`` (its site) and ``fetch`` (the homepage to read)."""
     url = F.when(present(F.col("website")), with_scheme(F.col("website")))
     return leads.withColumn("url", url).withColumns({
@@ -201,7 +201,7 @@ def lead_pages(leads: DataFrame, homes: DataFrame, contacts: DataFrame, paths: S
     *homes* and *contacts* are features of pages, unique by URL. All are read several times: settle
     them first if they are costly.
     """
-    keyed = _with_urls(leads)
+    keyed = with_urls(leads)
     home = homes.select(
         F.col("url").alias("fetch"), F.col("email").alias("home_email"), F.col("description").alias("home_description")
     )
@@ -219,7 +219,7 @@ def role_pages(leads: DataFrame, crawl: DataFrame, paths: Sequence[str] = CONTAC
     a few other pages through, so HTML is neither joined nor moved. The list has ``key`` and
     whether it is a ``home`` (else a site).
     """
-    keyed = _with_urls(leads).where("url is not null")
+    keyed = with_urls(leads).where("url is not null")
     keys = F.array(F.struct(F.col("fetch").alias("key"), F.lit(True).alias("home")), F.struct(F.col("base").alias("key"), F.lit(False).alias("home")))
     asked = settle(keyed.select(F.inline(keys)).where("key is not null").distinct())
     wanted = key_filter(asked.select(_role_key(F.col("home"), F.col("key")).alias("key")))
@@ -269,8 +269,12 @@ def enriched(
     homes, contacts = asked_features(leads, crawl, paths, length, strict)
     if unread is not None:
         homes = homes.observe(unread, F.count_if("unread").alias("pages_unread"))
+    return with_findings(lead_pages(leads, settle(homes), settle(contacts), paths))
+
+
+def with_findings(found: DataFrame) -> DataFrame:
+    """Put what :func:`lead_pages` found into the leads' own columns."""
     has_site = F.col("url").isNotNull()
-    found = lead_pages(leads, settle(homes), settle(contacts), paths)
     return found.select(
         "lead_id", "company_name",
         F.when(has_site, F.col("url")).otherwise(F.col("website")).alias("website"),

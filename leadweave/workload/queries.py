@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,6 +13,7 @@ from leadweave.functions import email as E, html as H, name as N, text as T, url
 from leadweave.operators import dedup, enrich, filters, hosts, relevance, score
 from leadweave.operators.merge import merge_records
 from leadweave.plans.lead_run import LandedTables, merged_leads, run, run_and_export
+from leadweave.plans.site_store import SiteStore
 from leadweave.schema import EXPORT_COLUMNS
 from leadweave.session import settle, shared_path
 from leadweave.sinks import export
@@ -443,15 +445,26 @@ def enrich_homepage(spark, sf_dir):
     )
 
 
-def _enriched(spark, sf_dir, **settings):
+def _old_leads(spark, sf_dir) -> DataFrame:
     old = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("old"), "seq", F.lit("@x.fr")))
-    leads = _plain_leads(spark, sf_dir, "raw_leads").withColumn("email", old).withColumn("contact_page", F.lit("old"))
-    return enrich.enriched(leads, table(spark, sf_dir, "crawl"), **settings)
+    return _plain_leads(spark, sf_dir, "raw_leads").withColumn("email", old).withColumn("contact_page", F.lit("old"))
 
 
-QUERIES["enrich"] = lambda spark, sf_dir: _enriched(spark, sf_dir).select(
-    "lead_id", "website", "email", "description", "contact_page", "address"
-)
+def _enriched(spark, sf_dir, **settings):
+    return enrich.enriched(_old_leads(spark, sf_dir), table(spark, sf_dir, "crawl"), **settings)
+
+
+ENRICHED = ("lead_id", "website", "email", "description", "contact_page", "address")
+QUERIES["enrich"] = lambda spark, sf_dir: _enriched(spark, sf_dir).select(*ENRICHED)
+
+
+@_register
+def enrich_by_site(spark, sf_dir):
+    """The same from tables laid out by site."""
+    store = SiteStore.create(spark, f"by_site_{uuid.uuid4().hex}")
+    store.write_leads(settle(_old_leads(spark, sf_dir)))
+    store.write_crawl(table(spark, sf_dir, "crawl"))
+    return store.enriched().select(*ENRICHED)
 
 
 FEW_PATHS, SHORT = ["/team", "/about", "/infos"], 60
