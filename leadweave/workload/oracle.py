@@ -422,6 +422,7 @@ def _json_record() -> str:
 
 
 BODIES["json_records"] = _json_record()
+BODIES["page_features_once"] = BODIES["page_features"]
 BODIES["enrich_by_site"] = BODIES["enrich"]
 BODIES["export_json_array"] = f"""SELECT CASE WHEN row_number() OVER best = 1 THEN '[' ELSE ',' END AS mark, row_number() OVER best = count(*) OVER () AS closes, record
 FROM ({_json_record().replace(' AS record FROM', ' AS record, score, lead_id FROM')}) r WINDOW best AS (ORDER BY score DESC, lead_id)"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadweave.config import ScoreWeights, Settings
 from leadweave.functions import email as E, html as H, name as N, text as T, url as U
-from leadweave.operators import dedup, enrich, filters, hosts, relevance, score
+from leadweave.operators import dedup, enrich, filters, hosts, parse_once, relevance, score
 from leadweave.operators.merge import merge_records
 from leadweave.plans.lead_run import LandedTables, merged_leads, run, run_and_export
 from leadweave.plans.site_store import SiteStore
@@ -418,6 +418,13 @@ def page_features(spark, sf_dir):
     return features.withColumn("strategy", F.coalesce("strategy", F.lit(-1)))
 
 
+@_register
+def page_features_once(spark, sf_dir):
+    """The same from a landed crawl, each distinct content parsed once."""
+    features = parse_once.page_features(settle(table(spark, sf_dir, "crawl"))).drop("unread")
+    return features.withColumn("strategy", F.coalesce("strategy", F.lit(-1)))
+
+
 # --- joins ---------------------------------------------------------------------------------------
 
 
