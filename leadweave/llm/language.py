@@ -2,8 +2,8 @@
 
 One network reads the bytes forwards, one backwards; both states at a byte give it a probability for each
 language, and a document's probabilities are the mean over all of its bytes. A text is read whole, in windows of
-``BODY`` bytes; the ``CONTEXT`` bytes on either side of a window are read with it to bring the states up, but only
-the window's own bytes are labelled, so each byte is labelled once. Windows of many documents go through the
+``BODY`` bytes; the ``CONTEXT`` bytes on either side of a window are read with it to bring the states up, each side by
+the direction that comes from there, but only the window's own bytes are labelled, so each byte is labelled once. Windows of many documents go through the
 network together, so time and memory do not depend on the length of a text.
 
 Training is numpy, by backpropagation through time over windows of labelled documents: at most about ``per_language``
@@ -99,6 +99,21 @@ class Windows:
         forth, back = (np.where(inside, self.data[at].astype(np.int64), _PAD) for at in ways)
         return np.stack([forth, back + _PAD + 1], axis=1)
 
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``steps`` up to the last own byte of each direction, and by place and window, whether an own byte is there.
+
+        Own bytes are the last steps of both directions, the second in reverse; a step before the first byte is no byte.
+        """
+        lead = max((self.low - self.start).max(), (self.end - self.high).max())
+        size = (self.high - self.low).max()
+        t = np.arange(lead + size)[:, None]
+        steps = np.empty((lead + size, 2, len(self.low)), np.intp)
+        for way, at, first, last in ((0, self.low - lead + t, self.start, self.high), (1, self.low + size - 1 + lead - t, self.low, self.end)):
+            inside = (at >= first) & (at < last)
+            steps[:, way] = np.where(inside, self.data[np.where(inside, at, 0)].astype(np.intp), _PAD)
+        steps[:, 1] += _PAD + 1
+        return steps, t[:size] < self.high - self.low
+
     def own(self) -> np.ndarray:
         """By step and window, whether a byte is the window's own."""
         t = np.arange((self.end - self.start).max(initial=0))[:, None] + self.start
@@ -159,16 +174,55 @@ def _chances(net: Network, states: np.ndarray, windows: Windows) -> np.ndarray:
     return logits
 
 
+def _sums(net: Network, windows: Windows) -> np.ndarray:
+    """By window, the sum of its own bytes' probabilities.
+
+    The recurrence of ``_states`` over the sides that own bytes need. Only what the states say on the languages is kept.
+    """
+    steps, own = windows.sides()
+    t, _, n = steps.shape
+    size, lead = net.state.shape[1], t - len(own)
+    byte, state, out = _by_gate(net.byte), _by_gate(net.state), np.ascontiguousarray(net.out.transpose(0, 2, 1))
+    byte[:2] *= -1
+    state[:2] *= -1
+    # A state of zeros stays so until the first byte.
+    byte[:, [_PAD, 2 * _PAD + 1]] = 0
+    byte[0, [_PAD, 2 * _PAD + 1]] = -1e4
+    given, added = np.empty((3, 2, n, size), np.float32), np.empty((3, 2, n, size), np.float32)
+    gates, fresh = given[:2], given[2]
+    h, said = np.zeros((2, n, size), np.float32), np.empty((len(own), 2, len(net.bias), n), np.float32)
+    with np.errstate(over="ignore"):
+        for i in range(t):
+            np.take(byte, steps[i], axis=1, out=given, mode="clip")
+            np.matmul(h, state, out=added)
+            gates += added[:2]
+            np.exp(gates, out=gates)
+            gates += 1  # one by the gate
+            added[2] /= gates[1]
+            fresh += added[2]
+            np.tanh(fresh, out=fresh)
+            h -= fresh
+            h /= gates[0]
+            h += fresh
+            if i >= lead:
+                np.matmul(out, h.transpose(0, 2, 1), out=said[i - lead])
+    # Languages lie before windows, so that every step below is over long rows.
+    logits = said[:, 0]
+    logits += said[::-1, 1]
+    logits += net.bias[:, None]
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    return np.einsum("tcn,tn->nc", logits, own / logits.sum(axis=1))
+
+
 def pooled(net: Network, data: np.ndarray, bounds: np.ndarray, body: int = BODY, context: int = CONTEXT) -> np.ndarray:
     """By text, the mean of its bytes' probabilities; zeros where it has no byte."""
     windows, row = Windows.cut(data, bounds, body, context)
     sums = np.zeros((len(bounds) - 1, len(net.bias)))
-    order = np.argsort(windows.start - windows.end, kind="stable")  # of about one length together
+    order = np.argsort(windows.low - windows.high, kind="stable")  # of about one length together
     for at in range(0, len(order), _ROWS):
         some = order[at:at + _ROWS]
-        part = windows.take(some)
-        chances = _chances(net, _states(net, part.steps()), part)
-        np.add.at(sums, row[some], np.einsum("tnc,tn->nc", chances, part.own().astype(np.float32)))
+        np.add.at(sums, row[some], _sums(net, windows.take(some)))
     return sums / np.maximum(np.diff(bounds), 1)[:, None]
 
 

@@ -76,6 +76,35 @@ def test_a_window_of_a_whole_text_is_the_plain_recurrence():
     assert np.allclose(language.pooled(net, data, np.array([0, len(data)]))[0], chances.mean(axis=0), atol=1e-5)
 
 
+def test_each_direction_reads_only_the_context_that_its_own_bytes_need():
+    net = language.Network.drawn(3, 5, 2)
+    texts = [t.encode() for _, t, _ in _texts(40, words=9)] + [b"a", b"ab" * 8, b"x" * 17, b"y" * 33, bytes(range(256))]
+    data, bounds = language._joined(texts)
+    for body, context in ((16, 4), (16, 40), (500, 4), (1, 3), (16, 0)):
+        windows, _ = language.Windows.cut(data, bounds, body, context)
+        whole, (sides, own) = windows.steps(), windows.sides()
+        assert own.sum() == len(data) and len(own) == min(body, 256)
+        inner = (windows.end - windows.start).max() == body + 2 * context  # some window has context on both sides
+        assert len(sides) <= len(own) + context and (not inner or len(sides) == len(whole) - context)
+        # The same sums as by running both directions over all of each window.
+        chances = language._chances(net, language._states(net, whole), windows)
+        expected = np.einsum("tnc,tn->nc", chances, windows.own().astype(np.float32))
+        assert np.allclose(language._sums(net, windows), expected, rtol=1e-5, atol=1e-4)
+
+
+def test_gates_far_out_of_range():
+    net = language.Network.drawn(2, 4, 3)
+    data, bounds = language._joined([b"some text", b"", b"more of it, longer than a window"])
+    for scale in (1e3, -1e3):
+        wide = language.Network(net.byte * np.float32(scale), net.state, net.out, net.bias)
+        windows, row = language.Windows.cut(data, bounds, 8, 2)
+        chances = language._chances(wide, language._states(wide, windows.steps()), windows)
+        sums = np.zeros((3, 2))
+        np.add.at(sums, row, np.einsum("tnc,tn->nc", chances, windows.own().astype(np.float32)))
+        found = language.pooled(wide, data, bounds, body=8, context=2)
+        assert np.isfinite(found).all() and np.allclose(found, sums / np.maximum(np.diff(bounds), 1)[:, None], atol=1e-5)
+
+
 def test_languages_of_unseen_documents(spark):
     rows = _texts(600)
     # The held-out labels are wrong on purpose: they must not be learned.
