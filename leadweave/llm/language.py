@@ -182,7 +182,7 @@ def _sums(net: Network, windows: Windows) -> np.ndarray:
     steps, own = windows.sides()
     t, _, n = steps.shape
     size, lead = net.state.shape[1], t - len(own)
-    byte, state, out = _by_gate(net.byte), _by_gate(net.state), np.ascontiguousarray(net.out.transpose(0, 2, 1))
+    byte, state = _by_gate(net.byte), _by_gate(net.state)
     byte[:2] *= -1
     state[:2] *= -1
     # A state of zeros stays so until the first byte.
@@ -197,29 +197,32 @@ def _sums(net: Network, windows: Windows) -> np.ndarray:
             np.matmul(h, state, out=added)
             gates += added[:2]
             np.exp(gates, out=gates)
-            gates += 1  # one by the gate
-            added[2] /= gates[1]
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            added[2] *= gates[1]
             fresh += added[2]
             np.tanh(fresh, out=fresh)
             h -= fresh
-            h /= gates[0]
+            h *= gates[0]
             h += fresh
             if i >= lead:
-                np.matmul(out, h.transpose(0, 2, 1), out=said[i - lead])
+                said[i - lead] = np.matmul(h, net.out).transpose(0, 2, 1)
     # Languages lie before windows, so that every step below is over long rows.
     logits = said[:, 0]
     logits += said[::-1, 1]
     logits += net.bias[:, None]
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    return np.einsum("tcn,tn->nc", logits, own / logits.sum(axis=1))
+    logits /= logits.sum(axis=1, keepdims=True)
+    logits *= own[:, None]
+    return logits.sum(axis=0).T
 
 
 def pooled(net: Network, data: np.ndarray, bounds: np.ndarray, body: int = BODY, context: int = CONTEXT) -> np.ndarray:
     """By text, the mean of its bytes' probabilities; zeros where it has no byte."""
     windows, row = Windows.cut(data, bounds, body, context)
     sums = np.zeros((len(bounds) - 1, len(net.bias)))
-    order = np.argsort(windows.low - windows.high, kind="stable")  # of about one length together
+    order = np.argsort(windows.start - windows.end, kind="stable")  # of about one length together
     for at in range(0, len(order), _ROWS):
         some = order[at:at + _ROWS]
         np.add.at(sums, row[some], _sums(net, windows.take(some)))
